@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, substring_dedup
+from . import common, exact_dedup, language_id, packing, substring_dedup
+from . import quality as quality_model
+from . import quality_rules as rules
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -50,3 +52,29 @@ WITH n AS (SELECT doc_id, length(coalesce(text, '')) AS cp, regexp_replace(coale
 r AS (SELECT doc_id, norm, first_value(doc_id) OVER (PARTITION BY norm ORDER BY cp DESC, doc_id) AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size FROM n)
 SELECT doc_id, keep_id, CAST(group_size AS BIGINT) AS group_size, doc_id = keep_id AS kept, sha256(norm) AS text_sha256 FROM r
 """
+
+
+@query
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.best_fit(table(spark, sf_dir, "documents"))
+
+
+@query
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = quality_model.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", held_out("doc_id", 0), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def held_out(id_col: str, fold: int):
+    return F.coalesce(common.crc_fold(F.col(id_col)) == fold, F.lit(False)).alias("held_out")
+
+
+@query
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.language_id(table(spark, sf_dir, "documents")).select("doc_id", held_out("doc_id", 0), "lang_pred", "score")
+
+
+@query
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = rules.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
