@@ -23,33 +23,41 @@ MIN_WORDS = 50
 FEATURES = ("n_words", "mean_word", "symbol_share", "upper_share", "dup_line_share", "repeat_share")
 
 
+def _fixed(df: DataFrame, new: dict[str, Column]) -> DataFrame:
+    """Adds columns behind a generator of one row, so that the optimiser neither pushes conditions below them nor
+    copies them into the lambdas that use them (where they would run once for each element)."""
+    return df.select(*[F.col(f"`{c}`") for c in df.columns if c not in new], F.inline(F.array(F.struct(*[c.alias(k) for k, c in new.items()]))))
+
+
 def with_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """Adds the statistics of each whole text under their own names; a column of docs with such a name is replaced."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     gaps, signs = "\\t\\n\\x0b\\f\\r ".encode().decode("unicode_escape"), "#*$%&|<>"
     solid = F.char_length(F.translate(text, gaps, ""))
-    first = docs.withColumns(
+    first = _fixed(
+        docs,
         {
             "__words": F.regexp_extract_all(text, F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(1)),
             "__lines": F.filter(F.split(text, "\n", -1), lambda x: F.translate(x, gaps, "") != ""),
             "word_chars": solid.cast("bigint"),
             "n_symbols": (F.char_length(text) - F.char_length(F.translate(text, signs, ""))).cast("bigint"),
             "__upper": (F.char_length(text) - F.char_length(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", ""))).cast("bigint"),
-        }
+        },
     )
     words = F.col("__words")
     inner = F.slice(words, 1, F.greatest(F.size(words) - 2, F.lit(0)))
-    hashed = first.withColumns(
+    hashed = _fixed(
+        first,
         {
             "n_words": F.size(words).cast("bigint"),
             "n_dup_lines": (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("bigint"),
             "__n_lines": F.size("__lines"),
             "__windows": F.sort_array(F.transform(inner, lambda w, i: F.struct(F.xxhash64(w, F.get(words, i + 1), F.get(words, i + 2)).alias("h"), i.alias("i")))),
-        }
+        },
     ).drop("__words", "__lines")
     win = F.col("__windows")
     twice = F.filter(win, lambda x, k: F.coalesce(F.get(win, k - 1)["h"] == x["h"], F.lit(False)) | F.coalesce(F.get(win, k + 1)["h"] == x["h"], F.lit(False)))
-    placed = hashed.withColumn("__at", F.sort_array(F.transform(twice, lambda x: x["i"]))).drop("__windows")
+    placed = _fixed(hashed, {"__at": F.sort_array(F.transform(twice, lambda x: x["i"]))}).drop("__windows")
     covered = F.aggregate(
         "__at",
         F.struct(F.lit(-3).alias("last"), F.lit(0).cast("bigint").alias("n")),
@@ -57,7 +65,7 @@ def with_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
         lambda a: a["n"],
     )
     many = F.greatest(F.col("n_words"), F.lit(1))
-    return placed.withColumn("n_repeat_words", covered).drop("__at").withColumns(
+    return _fixed(placed, {"n_repeat_words": covered}).drop("__at").withColumns(
         {
             "mean_word": F.col("word_chars") / many,
             "symbol_share": F.col("n_symbols") / F.greatest(F.col("word_chars"), F.lit(1)),
