@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, common, exact_dedup, language_id, packing, substring_dedup
+from . import bpe, common, exact_dedup, html_text, language_id, packing, substring_dedup
 from . import quality as quality_model
 from . import quality_rules as rules
 
@@ -87,3 +87,9 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
     out = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path), path)
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
+
+
+@query
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = html_text.main_text(table(spark, sf_dir, "pages"))
+    return out.select("page_id", "url", "text", F.char_length("text").cast("bigint").alias("n_chars"))
