@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, common, exact_dedup, html_text, jaccard, language_id, packing, substring_dedup
+from . import bpe, common, exact_dedup, html_text, jaccard, language_id, lm, packing, substring_dedup
 from . import quality as quality_model
 from . import quality_rules as rules
 
@@ -112,3 +112,11 @@ r AS (SELECT x AS doc_id, x AS reached FROM e UNION SELECT r.doc_id, e.y FROM r
 SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, least(d.doc_id, coalesce(m.low, d.doc_id)) AS component_id
 FROM documents d LEFT JOIN n ON d.doc_id = n.doc_id LEFT JOIN (SELECT doc_id, min(reached) AS low FROM r GROUP BY doc_id) m ON d.doc_id = m.doc_id
 """
+
+
+@query
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    out = lm.score_texts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return out.select("doc_id", held_out("doc_id", 1), "n_tokens", "n_known", "train_tokens", "base_score", "score")
