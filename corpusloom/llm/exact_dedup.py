@@ -144,21 +144,24 @@ def routed_mask(texts: DataFrame, bits: int = MASK_BITS) -> bytes:
     return mask.tobytes()
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each row of docs: doc_id, keep_id, group_size, kept, text_sha256 (of the text without white space)."""
-    spark = docs.sparkSession
-    slim = docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("__text"))
-    mask = spark.sparkContext.broadcast(routed_mask(slim))
-    sized = slim.withColumn("__cp", F.char_length("__text"))
-    id_type = slim.schema["__id"].dataType.simpleString()
+def _groups(sized: DataFrame, mask, id_type: str) -> DataFrame:
+    """Groups of two or more equal texts: sha, keep_id, keep_cp, group_size. Candidates are compared byte by byte."""
     kept = F.min(F.struct((-F.col("__cp")).alias("neg"), F.col("__id").isNull().alias("none"), F.col("__id").alias("id"))).alias("best")
-    groups = (
+    return (
         sized.mapInArrow(_candidates(mask, MASK_BITS), f"__id {id_type}, __cp int, __sha binary, __norm binary")
         .groupBy("__norm", "__sha").agg(kept, F.count(F.lit(1)).alias("group_size")).where("group_size > 1")
         .select(F.col("__sha").alias("sha"), F.col("best.id").alias("keep_id"), (-F.col("best.neg")).alias("keep_cp"), "group_size")
     )
+
+
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row for each row of docs: doc_id, keep_id, group_size, kept, text_sha256 (of the text without white space)."""
+    slim = docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("__text"))
+    mask = docs.sparkSession.sparkContext.broadcast(routed_mask(slim))
+    sized = slim.withColumn("__cp", F.char_length("__text"))
+    id_type = slim.schema["__id"].dataType.simpleString()
     each = sized.mapInArrow(_describe, f"__id {id_type}, __cp int, __sha binary")
-    joined = each.join(groups, F.col("__sha") == F.col("sha"), "left")
+    joined = each.join(_groups(sized, mask, id_type), F.col("__sha") == F.col("sha"), "left")
     alone = F.col("sha").isNull()
     return joined.select(
         F.col("__id").alias("doc_id"),
@@ -167,3 +170,14 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         (alone | (F.col("__id").eqNullSafe(F.col("keep_id")) & (F.col("__cp") == F.col("keep_cp")))).alias("kept"),
         F.lower(F.hex("__sha")).alias("text_sha256"),
     )
+
+
+def removed_ids(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The ids that exact dedup drops. Only candidates take part: a text whose fingerprint is counted once stays."""
+    slim = docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("__text"))
+    mask = docs.sparkSession.sparkContext.broadcast(routed_mask(slim))
+    sized = slim.withColumn("__cp", F.char_length("__text"))
+    id_type = slim.schema["__id"].dataType.simpleString()
+    some = sized.mapInArrow(_candidates(mask, MASK_BITS), f"__id {id_type}, __cp int, __sha binary, __norm binary").select("__id", "__sha")
+    joined = some.join(_groups(sized, mask, id_type), F.col("__sha") == F.col("sha"))
+    return joined.where(F.col("__id") != F.col("keep_id")).select(F.col("__id").alias("doc_id"))

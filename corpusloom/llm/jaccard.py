@@ -32,9 +32,8 @@ from pyspark.sql import functions as F
 
 from . import common as C
 from .components import components
+from .filters import MASK_BITS, mask_of
 
-#: Size of the mask of nodes whose sets are needed again, whatever the corpus: 2 MB; a fuller mask only sends more sets.
-MASK_BITS = 24
 #: Cost model: what a chance candidate costs in rows, and how often two sets share a given shingle by chance.
 CANDIDATE_COST, CHANCE = 4.0, 1e-4
 
@@ -189,24 +188,6 @@ def _fetch(words: int, shared):
     return fetch
 
 
-def node_mask(nodes: DataFrame, bits: int = MASK_BITS) -> bytes:
-    """A mask of the leading bits of nodes, 2**bits bits at any size: each of 256 stretches is put together by a task."""
-
-    def stretch(rows: pa.Table) -> pa.Table:
-        s = rows["stretch"][0].as_py()
-        at = (rows["node"].to_numpy().view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64) & ((1 << (bits - 8)) - 1)
-        own = np.zeros(1 << (bits - 8), np.uint8)
-        own[at] = 1
-        return pa.table({"stretch": pa.array([s], pa.int32()), "mask": pa.array([np.packbits(own).tobytes()], pa.binary())})
-
-    place = F.shiftrightunsigned("node", 56).cast("int").alias("stretch")
-    coarse = nodes.select(place, F.shiftleft(F.shiftrightunsigned("node", 64 - bits), 64 - bits).alias("node")).distinct()
-    out = bytearray(1 << (bits - 3))
-    for r in coarse.groupBy("stretch").applyInArrow(stretch, "stretch int, mask binary").toLocalIterator():
-        out[r["stretch"] << (bits - 11) : (r["stretch"] + 1) << (bits - 11)] = r["mask"]
-    return bytes(out)
-
-
 def _verify(pairs: DataFrame, sets: DataFrame, t: Threshold) -> DataFrame:
     """pairs (x, y) with the number d of shingles that differ, and whether they link; each set is sent once for each
     pair on one side and once for each y on the other."""
@@ -252,7 +233,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     lead = posted.groupBy("key").agg(F.min("node").alias("lead"), F.count(F.lit(1)).alias("sets")).where("sets > 1").select("key", "lead")
     met = C.stash(posted.join(lead, "key").where("node <> lead"), "met")  # key, node, lead
     pairs = C.stash(met.groupBy(F.col("node").alias("x"), F.col("lead").alias("y")).count(), "pairs")
-    mask = slim.sparkSession.sparkContext.broadcast(node_mask(pairs.select(F.col("x").alias("node")).unionByName(pairs.select(F.col("y").alias("node")))))
+    mask = slim.sparkSession.sparkContext.broadcast(mask_of(pairs.select(F.col("x").alias("node")).unionByName(pairs.select(F.col("y").alias("node"))), "node"))
     sets = C.stash(slim.select("__text").mapInArrow(_fetch(words, mask), "node bigint, members binary").groupBy("node").agg(F.first("members").alias("members")), "sets")
     # Each set against the key leader that it meets most often.
     nearest = pairs.groupBy("x").agg(F.max(F.struct("count", F.col("y"))).alias("best")).select("x", F.col("best.y").alias("y"))
