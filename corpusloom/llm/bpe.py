@@ -25,10 +25,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import common as C
+
 #: Fixed value: the pattern that byte-level BPE cuts pre-tokens with.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Texts go to the index in runs of about this many bytes.
-BATCH = 24 << 20
+BATCH = 6 << 20
 
 
 def _byte_names() -> dict[str, int]:
@@ -53,12 +55,10 @@ class Vocabulary:
         for token, k in self.added.items():
             self.bytes[k] = token.encode()
         self.size = size
-        self.of_byte = np.array([vocab[c] for c in sorted(names, key=names.get)], dtype=np.int64)
+        self.of_byte = np.array([vocab[c] for c in sorted(names, key=names.get)], dtype=np.int32)
         pairs = [m if isinstance(m, list) else m.split(" ") for m in merges]
-        self.left = np.array([vocab[a] for a, _ in pairs], dtype=np.int64)
-        self.right = np.array([vocab[b] for _, b in pairs], dtype=np.int64)
-        self.made = np.array([vocab[a + b] for a, b in pairs], dtype=np.int64)
-        code = self.left * size + self.right
+        self.left, self.right, self.made = (np.array([vocab[f(a, b)] for a, b in pairs], dtype=np.int32) for f in (lambda a, b: a, lambda a, b: b, str.__add__))
+        code = self.left.astype(np.int64) * size + self.right
         order = np.argsort(code, kind="stable")
         self.codes, self.rank_of = code[order], order
         known = [x or b"" for x in self.bytes]
@@ -68,7 +68,7 @@ class Vocabulary:
 
     def ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Rank of each pair, -1 for pairs that never merge."""
-        code = a * self.size + b
+        code = a.astype(np.int64) * self.size + b
         at = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
         return np.where(self.codes[at] == code, self.rank_of[at], -1)
 
@@ -85,9 +85,9 @@ class PairIndex:
         self.v = vocab
         lens = np.array([len(t) for t in tokens], dtype=np.int64)
         ends = np.cumsum(lens)
-        self.sym = vocab.of_byte[np.frombuffer(b"".join(tokens), np.uint8)] if len(tokens) else np.zeros(0, np.int64)
+        self.sym = vocab.of_byte[np.frombuffer(b"".join(tokens), np.uint8)] if len(tokens) else np.zeros(0, np.int32)
         n = len(self.sym)
-        self.nxt, self.prv = np.arange(1, n + 1), np.arange(-1, n - 1)
+        self.nxt, self.prv = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)
         full = lens > 0
         self.nxt[ends[full] - 1] = -1
         self.prv[(ends - lens)[full]] = -1
@@ -152,40 +152,61 @@ class PairIndex:
         return self.sym[live], np.append(place[self.starts], place[-1])
 
 
-def encode_texts(texts: list[str | None], vocab: Vocabulary) -> list[np.ndarray]:
-    """Ids of each text, as little-endian unsigned 32-bit integers."""
-    find = regex.compile(PATTERN).findall
-    number: dict[str, int] = {}
-    special = {}
-    seqs = []
-    for text in texts:
-        seq: list[int] = []
-        if text:
-            at, parts = 0, []
-            for m in vocab.split.finditer(text) if vocab.split and any(t in text for t in vocab.added) else ():
-                parts += [(text[at : m.start()], None), (None, m[0])]
+class Encoder:
+    """Encodes texts; keeps the ids of up to `most` pre-tokens between calls."""
+
+    def __init__(self, vocab: Vocabulary, most: int = 200_000):
+        self.v, self.most = vocab, most
+        self.number: dict[str, int] = {}
+        self.ids, self.cut = np.zeros(0, np.int32), np.zeros(1, np.int64)
+
+    def _parts(self, text: str) -> Iterator[tuple[str, int]]:
+        """Stretches of plain text, each with the id of the added token that follows it or -1."""
+        at = 0
+        if self.v.split and any(t in text for t in self.v.added):
+            for m in self.v.split.finditer(text):
+                yield text[at : m.start()], self.v.added[m[0]]
                 at = m.end()
-            for plain, token in [*parts, (text[at:] if at else text, None)]:
-                if token is not None:
-                    seq.append(special.setdefault(token, -1 - vocab.added[token]))
-                elif plain:
-                    seq += [number.setdefault(x, len(number)) for x in find(plain)]
-        seqs.append(seq)
-    index = PairIndex(vocab, [t.encode() for t in number])
-    index.merge_all()
-    ids, cut = index.ids()
-    out = []
-    for seq in seqs:
-        k = np.array(seq, dtype=np.int64)
-        n = np.where(k >= 0, np.diff(cut)[k] if len(number) else 1, 1) if len(k) else k
-        total = int(n.sum()) if len(k) else 0
-        begin = np.cumsum(n) - n if len(k) else k
-        own = np.arange(total) - np.repeat(begin, n) + np.repeat(np.where(k >= 0, cut[np.maximum(k, 0)], 0), n) if total else np.zeros(0, np.int64)
-        got = ids[np.minimum(own, max(0, len(ids) - 1))] if len(ids) else np.zeros(total, np.int64)
-        if len(k) and (k < 0).any():
-            got[begin[k < 0]] = -1 - k[k < 0]
-        out.append(got.astype("<u4"))
-    return out
+        yield text[at:] if at else text, -1
+
+    def __call__(self, texts: list[str | None]) -> list[np.ndarray]:
+        """Ids of each text, as little-endian unsigned 32-bit integers."""
+        if len(self.number) > self.most:
+            self.number, self.ids, self.cut = {}, self.ids[:0], self.cut[:1]
+        find, number, known, seqs = regex.compile(PATTERN).findall, self.number, len(self.number), []
+        for text in texts:
+            seq: list[int] = []
+            for plain, added in self._parts(text) if text else ():
+                seq += [number.setdefault(x, len(number)) for x in find(plain)]
+                if added >= 0:
+                    seq.append(-1 - added)
+            seqs.append(np.array(seq, dtype=np.int32))
+        fresh = [t.encode() for t, _ in zip(reversed(number), range(len(number) - known), strict=False)][::-1]
+        if fresh:
+            index = PairIndex(self.v, fresh)
+            index.merge_all()
+            ids, cut = index.ids()
+            self.ids, self.cut = np.concatenate((self.ids, ids.astype(np.int32))), np.concatenate((self.cut[:-1], cut + self.cut[-1]))
+        size = np.diff(self.cut)
+        return [self._join(seq, size) for seq in seqs]
+
+    def _join(self, seq: np.ndarray, size: np.ndarray) -> np.ndarray:
+        if not len(seq):
+            return np.zeros(0, "<u4")
+        plain = seq >= 0
+        n = np.ones(len(seq), np.int64)
+        n[plain] = size[seq[plain]]
+        begin = np.cumsum(n) - n
+        start = np.zeros(len(seq), np.int64)
+        start[plain] = self.cut[seq[plain]]
+        place = np.arange(int(n.sum())) + np.repeat(start - begin, n)
+        out = self.ids[np.minimum(place, len(self.ids) - 1)].astype("<u4") if len(self.ids) else np.zeros(len(place), "<u4")
+        out[begin[~plain]] = -1 - seq[~plain]
+        return out
+
+
+def encode_texts(texts: list[str | None], vocab: Vocabulary) -> list[np.ndarray]:
+    return Encoder(vocab)(texts)
 
 
 def decode_ids(ids: np.ndarray, vocab: Vocabulary) -> str:
@@ -198,24 +219,25 @@ def decode_ids(ids: np.ndarray, vocab: Vocabulary) -> str:
     return vocab.blob[place].tobytes().decode("utf-8", "replace")
 
 
-def encode(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Returns doc_id, n_tokens and ids (binary: little-endian unsigned 32-bit integers)."""
+def encode(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False) -> DataFrame:
+    """Returns doc_id, n_tokens and ids (binary: little-endian unsigned 32-bit integers). With `decoded`, the ids are
+    decoded again in the same pass and text holds the result."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(vocab_path)
+        encoder = Encoder(vocab)
         for batch in batches:
-            texts, a = batch["__text"].to_pylist(), 0
-            while a < len(texts):
-                b, size = a, 0
-                while b < len(texts) and (b == a or size < BATCH):
-                    size += len(texts[b] or "")
-                    b += 1
-                got = encode_texts(texts[a:b], vocab)
-                yield pa.RecordBatch.from_arrays([batch["__id"].slice(a, b - a), pa.array([len(x) for x in got], pa.int64()), pa.array([x.tobytes() for x in got], pa.binary())], names=["doc_id", "n_tokens", "ids"])
-                a = b
+            _, off = C.buffers(batch["__text"])
+            for a, b in C.slices(off, BATCH):
+                part = batch.slice(a, b - a)
+                got = encoder(part["__text"].to_pylist())
+                out = [part["__id"], pa.array([len(x) for x in got], pa.int64()), pa.array([x.tobytes() for x in got], pa.binary())]
+                if decoded:
+                    out.append(pa.array([decode_ids(x, vocab) for x in got], pa.string()))
+                yield pa.RecordBatch.from_arrays(out, names=["doc_id", "n_tokens", "ids", "text"][: len(out)])
 
     slim = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("__text"))
-    return slim.mapInArrow(run, f"doc_id {slim.schema['__id'].dataType.simpleString()}, n_tokens bigint, ids binary")
+    return slim.mapInArrow(run, f"doc_id {slim.schema['__id'].dataType.simpleString()}, n_tokens bigint, ids binary" + ", text string" * decoded)
 
 
 def decode(encoded: DataFrame, vocab_path: str) -> DataFrame:
