@@ -48,26 +48,27 @@ class Shelf:
 
     def __init__(self, capacity: int):
         self.capacity = capacity
-        self.levels: list[dict[int, dict[int, None]]] = [{} for _ in range(capacity + 1)]
+        self.levels: list[dict[int, dict[int, int]]] = [{} for _ in range(capacity + 1)]
         self.used = 0  # bit r: some bin has residual r
+        self.clock = 0  # bins of a group stand in the order in which they came to it
         self.clusters: list[int] = []
         self.sources: list[int] = []
         self.free: list[int] = []
 
     def find(self, size: int, source: int, cluster: int) -> int | None:
-        """The tightest compatible bin, the oldest of its residual and source bitmap's first group."""
+        """The tightest compatible bin; of several, the one that has had its residual for longest."""
         above = self.used >> size << size
         while above:
             r = (above & -above).bit_length() - 1
-            best = None
+            best, since = None, self.clock + 1
             for mask, bins in self.levels[r].items():
                 if mask & source:
                     continue
-                for k in bins:
-                    if best is not None and k > best:
+                for k, came in bins.items():
+                    if came > since:
                         break
                     if not self.clusters[k] & cluster:
-                        best = k
+                        best, since = k, came
                         break
             if best is not None:
                 return best
@@ -84,7 +85,8 @@ class Shelf:
                 self.used &= ~(1 << self.free[k])
 
     def _enter(self, k: int) -> None:
-        self.levels[self.free[k]].setdefault(self.sources[k], {})[k] = None
+        self.clock += 1
+        self.levels[self.free[k]].setdefault(self.sources[k], {})[k] = self.clock
         self.used |= 1 << self.free[k]
 
     def put(self, size: int, source: int, cluster: int) -> tuple[int, int]:
