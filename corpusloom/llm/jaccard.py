@@ -8,10 +8,12 @@ everywhere: a set leaves out its empty ones if there are at most `spare`, else n
 `Allocation`). How many segments of each weight and how much spare a band gets is the cheapest by a cost model of
 rows emitted and chance candidates, given the number of sets in the band.
 
-Candidates are verified exactly on the sorted shingle hashes. A key's sets are first compared with the key's least
-one alone; a set that is not in its component is then compared with the key's other sets of other components, minus
-those that the triangle inequality of set differences excludes. So a dense group of near copies costs about one
-comparison a set, and no link between different components is missed.
+A set's sketch is the parity of the number of its shingles in each of SKETCH hashed places: a shingle that two sets do
+not share turns one place, so sketches never differ in more places than the sets in shingles, and pairs whose sketches
+differ too much are no links. The rest is verified exactly on the sorted shingle hashes. A key's sets are first compared
+with the key's least one alone; a set that is not in its component is then compared with the key's other sets of other
+components, behind the same sketch test. So a dense group of near copies costs about one verification a set, and no link
+between different components is missed.
 
 Defined cases: texts of fewer words than a shingle are one shingle (the whole sequence); null and blank texts are
 empty sets, linked with nothing; null ids never name a component unless it has no other; repeated rows are copies. Only
@@ -36,6 +38,8 @@ from .filters import MASK_BITS, mask_of
 
 #: Cost model: what a chance candidate costs in rows, and how often two sets share a given shingle by chance.
 CANDIDATE_COST, CHANCE = 4.0, 1e-4
+SKETCH = 256
+_SKETCHES = [f"s{i}" for i in range(SKETCH // 64)]
 
 
 @dataclass(frozen=True)
@@ -78,16 +82,16 @@ class Allocation:
 def allocate(h: int, size: float, sets: int) -> Allocation:
     """The cheapest allocation for sets of about `size` shingles, `sets` of them in the band."""
     best, found = math.inf, Allocation(h + 1, 0, 0)
-    for spare in range(0, 13):
+    for spare in range(0, h // 3 + 3, 1 + h // 64):
         units = h + 1 + spare
         for double in sorted({0, units // 8, units // 4, units // 2}):
             single = units - 2 * double
             mean = size / (single + 2 * double)
             empty = math.exp(-mean)
             expect = single * empty
-            tail = 1.0 - sum(math.exp(-expect) * expect**k / math.factorial(k) for k in range(spare + 1)) if single else 0.0
+            tail = 0.5 * math.erfc((spare + 0.5 - expect) / math.sqrt(2 * expect + 1e-12))  # more empty ones than spare
             rows = single + double * (1 + 2 * mean)
-            chance = single * (empty * mean * CHANCE + max(0.0, tail) ** 2 * empty) + double * math.exp(-2 * mean) * (1 + 2 * mean) * (math.exp(-2 * mean) + CHANCE)
+            chance = single * (empty * mean * CHANCE + tail**2 * empty) + double * math.exp(-2 * mean) * (1 + 2 * mean) * (math.exp(-2 * mean) + CHANCE)
             cost = rows + CANDIDATE_COST * sets * chance
             if cost < best:
                 best, found = cost, Allocation(single, double, spare)
@@ -138,37 +142,57 @@ def shingle_sets(texts: pa.Array, words: int) -> Iterator[np.ndarray]:
                 yield hashes[:0]
 
 
+def sketch_of(s: np.ndarray) -> np.ndarray:
+    """Parity of the number of shingles in each of SKETCH places, as 64-bit integers."""
+    place = (C.mix(s ^ np.uint64(0xB17B17B17)) % np.uint64(SKETCH)).astype(np.int64)
+    return np.packbits((np.bincount(place, minlength=SKETCH) & 1).astype(np.uint8)).view("<i8")
+
+
 def node_of(s: np.ndarray) -> int:
     one, two = C.mix(s).sum(dtype=np.uint64), C.mix(s ^ np.uint64(0xC0FFEE123)).sum(dtype=np.uint64)
     return int(C.mix(np.array([one ^ C.mix(np.array([two + np.uint64(len(s))]))[0]]))[0].astype(np.int64))
 
 
-def _index(words: int, t: Threshold, schemes: dict[int, Allocation], ends: list[int]):
-    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lower = np.array(ends)
+def _describe(words: int):
+    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Size, node and sketch of each text's set."""
         for batch in batches:
-            node, n, keys = [], [], []
+            node, n, sketches = [], [], []
             for s in shingle_sets(batch["__text"], words):
                 n.append(len(s))
                 node.append(node_of(s) if len(s) else None)
-                own, got = int(np.searchsorted(lower, len(s), side="right")) - 1, []
-                for band in (own, own + 1):
-                    if band in schemes and len(s) and (band == own or t.den * len(s) >= t.num * ends[band]):
-                        got.append(signatures(s, band, schemes[band]).astype(np.int64))
-                keys.append(np.unique(np.concatenate(got)) if got else np.zeros(0, np.int64))
-            offsets = np.concatenate(([0], np.cumsum([len(k) for k in keys]))).astype(np.int32)
-            flat = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([batch["__id"], pa.array(n, pa.int64()), pa.array(node, pa.int64()), flat], names=["id", "n", "node", "keys"])
+                sketches.append(sketch_of(s))
+            sk = np.array(sketches, np.int64).reshape(len(n), len(_SKETCHES))
+            yield pa.RecordBatch.from_arrays([batch["__id"], pa.array(n, pa.int64()), pa.array(node, pa.int64()), *[pa.array(sk[:, i]) for i in range(len(_SKETCHES))]], names=["id", "n", "node", *_SKETCHES])
+
+    return describe
+
+
+def _in_mask(mask: np.ndarray, node: int) -> bool:
+    at = (node >> (64 - MASK_BITS)) & ((1 << MASK_BITS) - 1)
+    return bool(mask[at >> 3] >> (7 - (at & 7)) & 1)
 
-    return index
 
+def _index(words: int, t: Threshold, schemes: dict[int, Allocation], ends: list[int], shared, copies: bool):
+    """(node, keys) of sets; with `copies` of those whose node the mask has, else of the others."""
 
-def _sizes(words: int):
-    def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lower, mask = np.array(ends), np.frombuffer(shared.value, np.uint8)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([len(s) for s in shingle_sets(batch["__text"], words)], pa.int64())], names=["n"])
+            node, keys = [], [np.zeros(0, np.int64)]
+            for s in shingle_sets(batch["__text"], words):
+                if not len(s) or _in_mask(mask, k := node_of(s)) != copies:
+                    continue
+                own, got = int(np.searchsorted(lower, len(s), side="right")) - 1, [keys[0]]
+                for band in (own, own + 1):
+                    if band in schemes and (band == own or t.den * len(s) >= t.num * ends[band]):
+                        got.append(signatures(s, band, schemes[band]).astype(np.int64))
+                node.append(k)
+                keys.append(np.unique(np.concatenate(got)))
+            offsets = np.cumsum([len(k) for k in keys]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(keys)))], names=["node", "keys"])
 
-    return sizes
+    return index
 
 
 def _fetch(words: int, shared):
@@ -178,9 +202,7 @@ def _fetch(words: int, shared):
             nodes, sets = [], []
             for s in shingle_sets(batch["__text"], words):
                 if len(s):
-                    k = node_of(s)
-                    at = (k >> (64 - MASK_BITS)) & ((1 << MASK_BITS) - 1)
-                    if mask[at >> 3] >> (7 - (at & 7)) & 1:
+                    if _in_mask(mask, k := node_of(s)):
                         nodes.append(k)
                         sets.append(C.pack_sorted(s))
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.binary())], names=["node", "members"])
@@ -212,6 +234,18 @@ def _roots(df: DataFrame, column: str, of: DataFrame, name: str) -> DataFrame:
     return df.join(of.select(F.col("node").alias(column), F.col("root").alias(name)), column, "left").withColumn(name, F.coalesce(name, column))
 
 
+def _named(shape: DataFrame, side: str) -> DataFrame:
+    """Sizes and sketches of nodes, with the side's name in their columns."""
+    return shape.select(F.col("node").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in ("n", *_SKETCHES)])
+
+
+def _close(t: Threshold):
+    """Whether sizes and sketches of x and y leave room for a link; false only for pairs that are none."""
+    x, y = F.col("n_x"), F.col("n_y")
+    apart = sum((F.bit_count(F.col(f"{c}_x").bitwiseXOR(F.col(f"{c}_y"))) for c in _SKETCHES), F.lit(0))
+    return (F.least(x, y) * t.den >= F.greatest(x, y) * t.num) & (apart * (t.den + t.num) <= (x + y) * (t.den - t.num))
+
+
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, num: int = 90, den: int = 100) -> DataFrame:
     """One row for each row of docs: doc_id, n_shingles, component_id (the least id reachable by links)."""
     t = Threshold(num, den)
@@ -220,47 +254,41 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     longest = 1 << 40
     ends = t.bands(longest)
     band = F.size(F.filter(F.array(*[F.lit(e) for e in ends]), lambda e: e <= F.col("n"))) - 1
-    sizes = slim.select("__text").mapInArrow(_sizes(words), "n bigint").where("n > 0").groupBy("n").count().groupBy(band.alias("band")).agg(F.sum("count").alias("sets"), (F.sum(F.col("n") * F.col("count")) / F.sum("count")).alias("size"))
+    described = C.stash(slim.mapInArrow(_describe(words), f"id {id_type}, n bigint, node bigint, " + ", ".join(f"{c} bigint" for c in _SKETCHES)), "described")
+    held_sets = described.where("node IS NOT NULL")
+    nodes = C.stash(held_sets.groupBy("node").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("copies"), *[F.first(c).alias(c) for c in ("n", *_SKETCHES)]), "nodes")
     schemes: dict[int, Allocation] = {}
-    held = {r["band"]: (r["sets"], r["size"]) for r in sizes.collect()}
-    for k in {*held, *(k + 1 for k in held)}:
+    held = {r["band"]: (r["sets"], r["size"]) for r in nodes.groupBy(band.alias("band")).agg(F.count(F.lit(1)).alias("sets"), F.avg("n").alias("size")).collect()}
+    for k in held:
         h = t.differences(2 * (ends[k + 1] - 1))
-        if h and k in held:  # without differences only equal sets link; without sets in the band nothing is to be met
+        if h:  # without differences only equal sets link
             schemes[k] = allocate(h, held[k][1], held[k][0])
-    indexed = C.stash(slim.mapInArrow(_index(words, t, schemes, ends), f"id {id_type}, n bigint, node bigint, keys array<bigint>"), "shingled")
-    nodes = indexed.where("node IS NOT NULL").groupBy("node").agg(F.min("id").alias("least"))
-    posted = indexed.where("node IS NOT NULL").groupBy("node").agg(F.first("keys").alias("keys")).select("node", F.explode("keys").alias("key"))
+    # Keys move once: leaders and members come from one exchange. Of equal sets, one posts.
+    spark = docs.sparkSession
+    twins = spark.sparkContext.broadcast(mask_of(nodes.where("copies > 1"), "node"))
+    own, shared = (slim.select("__text").mapInArrow(_index(words, t, schemes, ends, twins, c), "node bigint, keys array<bigint>") for c in (False, True))
+    posting = own.unionByName(shared.groupBy("node").agg(F.first("keys").alias("keys")))
+    posted = posting.select("node", F.explode("keys").alias("key")).repartition(C.partitions(spark), "key")
     lead = posted.groupBy("key").agg(F.min("node").alias("lead"), F.count(F.lit(1)).alias("sets")).where("sets > 1").select("key", "lead")
-    met = C.stash(posted.join(lead, "key").where("node <> lead"), "met")  # key, node, lead
-    pairs = C.stash(met.groupBy(F.col("node").alias("x"), F.col("lead").alias("y")).count(), "pairs")
-    mask = slim.sparkSession.sparkContext.broadcast(mask_of(pairs.select(F.col("x").alias("node")).unionByName(pairs.select(F.col("y").alias("node"))), "node"))
+    met = C.stash(posted.join(lead, "key").where(~F.col("node").eqNullSafe(F.col("lead"))), "met")  # key, node, lead
+    pairs = C.stash(met.select(F.col("node").alias("x"), F.col("lead").alias("y")).distinct(), "pairs")
+    shape = C.stash(nodes.select("node", "n", *_SKETCHES).join(pairs.select(F.explode(F.array("x", "y")).alias("node")).distinct(), "node"), "shapes")
+    mask = slim.sparkSession.sparkContext.broadcast(mask_of(shape, "node"))
     sets = C.stash(slim.select("__text").mapInArrow(_fetch(words, mask), "node bigint, members binary").groupBy("node").agg(F.first("members").alias("members")), "sets")
-    # Each set against the key leader that it meets most often.
-    nearest = pairs.groupBy("x").agg(F.max(F.struct("count", F.col("y"))).alias("best")).select("x", F.col("best.y").alias("y"))
-    first = C.stash(_verify(nearest, sets, t), "verified")
-    linked = components(first.where("link").select(F.col("x").alias("a"), F.col("y").alias("b")))
-    # The other leaders of a set, where they are in other components.
-    other = _roots(_roots(pairs.join(nearest, ["x", "y"], "left_anti"), "x", linked, "rx"), "y", linked, "ry").where("rx <> ry").select("x", "y")
-    second = C.stash(_verify(other, sets, t), "verified")
-    seen = first.unionByName(second)
-    links = seen.where("link").select(F.col("x").alias("a"), F.col("y").alias("b"))
-    linked = components(links)
+    # Each set against its keys' leaders.
+    near = pairs.join(_named(shape, "x"), "x").join(_named(shape, "y"), "y").where(_close(t)).select("x", "y")
+    first = C.stash(_verify(near, sets, t), "verified").where("link").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    linked = components(first)
     # Sets apart from their key's leader against the key's other sets of other components.
-    rooted = C.stash(_roots(_roots(met, "node", linked, "root"), "lead", linked, "lead_root"), "rooted")
-    apart = rooted.where("root <> lead_root").join(seen.select(F.col("x").alias("node"), F.col("y").alias("lead"), "d"), ["node", "lead"], "left")
-    known = rooted.join(apart.select("key").distinct(), "key", "left_semi").join(seen.select(F.col("x").alias("node"), F.col("y").alias("lead"), "d"), ["node", "lead"], "left")
-    size = indexed.where("node IS NOT NULL").groupBy("node").agg(F.first("n").alias("n"))
-    one = apart.join(size, "node").select("key", F.col("node").alias("x"), F.col("root").alias("rx"), F.col("d").alias("dx"), F.col("n").alias("nx"))
-    two = known.join(size, "node").select("key", F.col("node").alias("y"), F.col("root").alias("ry"), F.col("d").alias("dy"), F.col("n").alias("ny"), (F.col("root") != F.col("lead_root")).alias("apart"))
-    most = F.expr(f"{den - num} * (nx + ny) div {den + num}")
-    cross = (
-        one.join(two, "key").where("rx <> ry AND (NOT apart OR x < y)")
-        .where((F.least("nx", "ny") * den >= F.greatest("nx", "ny") * num) & (F.coalesce(F.abs(F.col("dx") - F.col("dy")), F.lit(0)) <= most))
-        .select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct()
-    )
-    third = C.stash(_verify(cross, sets, t), "verified").where("link").select(F.col("x").alias("a"), F.col("y").alias("b"))
-    linked = components(links.unionByName(third))
-    least = linked.join(nodes, "node").groupBy("root").agg(F.min("least").alias("component"))
+    rooted = C.stash(_roots(_roots(met, "node", linked, "root"), "lead", linked, "lead_root").withColumn("apart", F.col("root") != F.col("lead_root")), "rooted")
+    apart = rooted.where("apart").select("key", F.col("node").alias("x"), F.col("root").alias("rx")).join(_named(shape, "x"), "x")
+    known = rooted.join(rooted.where("apart").select("key").distinct(), "key", "left_semi").select("key", F.col("node").alias("y"), F.col("root").alias("ry"), F.col("apart").alias("also")).join(_named(shape, "y"), "y")
+    cross = apart.join(known, "key").where("rx <> ry AND (NOT also OR x < y)").where(_close(t))
+    cross = cross.select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct()
+    second = C.stash(_verify(cross, sets, t), "verified").where("link").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    if not second.isEmpty():
+        linked = components(linked.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(second))
+    least = linked.join(nodes.select("node", "least"), "node").groupBy("root").agg(F.min("least").alias("component"))
     named = linked.join(least, "root").select("node", "component")
-    out = indexed.select("id", "n", "node").join(nodes, "node", "left").join(named, "node", "left")
+    out = described.select("id", "n", "node").join(nodes.select("node", "least"), "node", "left").join(named, "node", "left")
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "least", "id").alias("component_id"))
