@@ -229,6 +229,15 @@ def _verify(pairs: DataFrame, sets: DataFrame, t: Threshold) -> DataFrame:
     return both.select("x", "y", "mx", "my").mapInArrow(verify, "x bigint, y bigint, d bigint, link boolean")
 
 
+def _links(pairs: DataFrame, sets: DataFrame, t: Threshold) -> DataFrame:
+    return C.stash(_verify(pairs, sets, t), "verified").where("link").select(F.col("x").alias("a"), F.col("y").alias("b"))
+
+
+def _joined(linked: DataFrame, more: DataFrame) -> DataFrame:
+    """Components with further links."""
+    return linked if more.isEmpty() else components(linked.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
+
+
 def _roots(df: DataFrame, column: str, of: DataFrame, name: str) -> DataFrame:
     """Adds the component of a node; nodes without a link are their own."""
     return df.join(of.select(F.col("node").alias(column), F.col("root").alias(name)), column, "left").withColumn(name, F.coalesce(name, column))
@@ -271,23 +280,23 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     posted = posting.select("node", F.explode("keys").alias("key")).repartition(C.partitions(spark), "key")
     lead = posted.groupBy("key").agg(F.min("node").alias("lead"), F.count(F.lit(1)).alias("sets")).where("sets > 1").select("key", "lead")
     met = C.stash(posted.join(lead, "key").where(~F.col("node").eqNullSafe(F.col("lead"))), "met")  # key, node, lead
-    pairs = C.stash(met.select(F.col("node").alias("x"), F.col("lead").alias("y")).distinct(), "pairs")
+    pairs = C.stash(met.groupBy(F.col("node").alias("x"), F.col("lead").alias("y")).count(), "pairs")
     shape = C.stash(nodes.select("node", "n", *_SKETCHES).join(pairs.select(F.explode(F.array("x", "y")).alias("node")).distinct(), "node"), "shapes")
     mask = slim.sparkSession.sparkContext.broadcast(mask_of(shape, "node"))
     sets = C.stash(slim.select("__text").mapInArrow(_fetch(words, mask), "node bigint, members binary").groupBy("node").agg(F.first("members").alias("members")), "sets")
-    # Each set against its keys' leaders.
-    near = pairs.join(_named(shape, "x"), "x").join(_named(shape, "y"), "y").where(_close(t)).select("x", "y")
-    first = C.stash(_verify(near, sets, t), "verified").where("link").select(F.col("x").alias("a"), F.col("y").alias("b"))
-    linked = components(first)
+    # Each set against the leader that it meets most often, then against its others of other components.
+    near = C.stash(pairs.join(_named(shape, "x"), "x").join(_named(shape, "y"), "y").where(_close(t)).select("x", "y", "count"), "near")
+    nearest = near.groupBy("x").agg(F.max(F.struct("count", "y")).alias("best")).select("x", F.col("best.y").alias("y"))
+    linked = components(_links(nearest, sets, t))
+    other = _roots(_roots(near.select("x", "y"), "x", linked, "rx"), "y", linked, "ry").where("rx <> ry").select("x", "y")
+    linked = _joined(linked, _links(other, sets, t))
     # Sets apart from their key's leader against the key's other sets of other components.
     rooted = C.stash(_roots(_roots(met, "node", linked, "root"), "lead", linked, "lead_root").withColumn("apart", F.col("root") != F.col("lead_root")), "rooted")
     apart = rooted.where("apart").select("key", F.col("node").alias("x"), F.col("root").alias("rx")).join(_named(shape, "x"), "x")
     known = rooted.join(rooted.where("apart").select("key").distinct(), "key", "left_semi").select("key", F.col("node").alias("y"), F.col("root").alias("ry"), F.col("apart").alias("also")).join(_named(shape, "y"), "y")
     cross = apart.join(known, "key").where("rx <> ry AND (NOT also OR x < y)").where(_close(t))
     cross = cross.select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct()
-    second = C.stash(_verify(cross, sets, t), "verified").where("link").select(F.col("x").alias("a"), F.col("y").alias("b"))
-    if not second.isEmpty():
-        linked = components(linked.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(second))
+    linked = _joined(linked, _links(cross, sets, t))
     least = linked.join(nodes.select("node", "least"), "node").groupBy("root").agg(F.min("least").alias("component"))
     named = linked.join(least, "root").select("node", "component")
     out = described.select("id", "n", "node").join(nodes.select("node", "least"), "node", "left").join(named, "node", "left")
