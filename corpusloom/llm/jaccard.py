@@ -153,10 +153,17 @@ def node_of(s: np.ndarray) -> int:
     return int(C.mix(np.array([one ^ C.mix(np.array([two + np.uint64(len(s))]))[0]]))[0].astype(np.int64))
 
 
+def _small(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """Batches of few rows, so that a worker holds few sets at a time."""
+    for batch in batches:
+        for a in range(0, batch.num_rows, rows):
+            yield batch.slice(a, rows)
+
+
 def _describe(words: int):
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Size, node and sketch of each text's set."""
-        for batch in batches:
+        for batch in _small(batches):
             node, n, sketches = [], [], []
             for s in shingle_sets(batch["__text"], words):
                 n.append(len(s))
@@ -178,7 +185,7 @@ def _index(words: int, t: Threshold, schemes: dict[int, Allocation], ends: list[
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lower, mask = np.array(ends), np.frombuffer(shared.value, np.uint8)
-        for batch in batches:
+        for batch in _small(batches):
             node, keys = [], [np.zeros(0, np.int64)]
             for s in shingle_sets(batch["__text"], words):
                 if not len(s) or _in_mask(mask, k := node_of(s)) != copies:
@@ -198,7 +205,7 @@ def _index(words: int, t: Threshold, schemes: dict[int, Allocation], ends: list[
 def _fetch(words: int, shared):
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mask = np.frombuffer(shared.value, np.uint8)
-        for batch in batches:
+        for batch in _small(batches):
             nodes, sets = [], []
             for s in shingle_sets(batch["__text"], words):
                 if len(s):
@@ -215,7 +222,7 @@ def _verify(pairs: DataFrame, sets: DataFrame, t: Threshold) -> DataFrame:
     pair on one side and once for each y on the other."""
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _small(batches):
             d, link = [], []
             for a, b in zip(batch["mx"].to_pylist(), batch["my"].to_pylist(), strict=True):
                 x, y = C.unpack_sorted(a), C.unpack_sorted(b)
