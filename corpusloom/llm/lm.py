@@ -4,9 +4,11 @@ Counting: each task counts the words (and their subwords) of the training texts
 where they merge into one table of counts that grows with the corpus. Its totals, and the counts of subword ids (bounded
 by the vocabulary), come to the driver.
 
-Model: subword ids fall into CLASSES clusters (k-means on neighbour profiles); one causal self-attention layer and a
-feed-forward layer, trained in numpy by Adam on a bounded sample of SAMPLE training texts, predict the class of the next
-id; within a class an id has its share of all training texts. So every corpus count reaches the score.
+Model: subword ids fall into CLASSES clusters (k-means on neighbour profiles, which count the neighbours of every id in all
+training texts); one causal self-attention layer and a feed-forward layer predict the class of the next id; within a class
+an id has its share of all training texts. Weights start from SAMPLE training texts on the driver. Then every training text
+is learned from once: texts are dealt by a hash into ROUNDS rounds and each round's into groups; a group takes Adam steps
+over all its windows from the weights of the round before, and the groups' weights are averaged, by their windows.
 
 Scoring: texts are dealt into blocks; a block asks the ranges for the counts of its distinct words (one key for each word
 and block, however frequent), gets them back, and scores its texts: each id is scored once, in windows of STRIDE new ids
@@ -30,6 +32,8 @@ from pyspark.sql import functions as F
 from . import common as C
 
 SAMPLE, CLASSES, WIDTH, HIDDEN, STRIDE, ROWS, STEPS, BATCH = 512, 64, 16, 32, 16, 4096, 400, 128
+#: Neighbours that a profile counts on each side; passes of averaging, the rate of each, and pieces in which weights are averaged.
+BESIDE, ROUNDS, RATES, PIECES = 192, 2, (0.003, 0.001), 16
 #: Share of the attention component in the probability of a word; the rest is the word's smoothed share of the corpus.
 MIX = 0.5
 LN10 = float(np.log(10.0))
@@ -87,8 +91,16 @@ class Vocabulary:
         self.words = [data[k].decode("utf-8", "replace") for k in at.tolist()]
 
 
+def _id_type(size: int) -> str:
+    return "<u2" if size <= 1 << 16 else "<u4"
+
+
+_RUNS = "part int, keys binary, counts binary, ids binary, texts bigint, h bigint, seq binary"
+
+
 def _runs(vocab: str, pattern: str, parts: int):
-    schema = pa.schema([("part", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary()), ("ids", pa.binary()), ("texts", pa.int64())])
+    """Sorted runs of counts for each range (part), and with part -1 each text's ids."""
+    schema = pa.schema([("part", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary()), ("ids", pa.binary()), ("texts", pa.int64()), ("h", pa.int64()), ("seq", pa.binary())])
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = subwords(vocab, pattern)
@@ -102,14 +114,55 @@ def _runs(vocab: str, pattern: str, parts: int):
             edges = C.bucket_edges(v.keys, parts)
             slots = [coder.size * p // parts for p in range(parts + 1)]
             rows = [
-                (p, C.pack_sorted(v.keys[edges[p] : edges[p + 1]]), C.pack_counts(v.counts[edges[p] : edges[p + 1]]), C.pack_counts(use[slots[p] : slots[p + 1]]), batch.num_rows if p == 0 else 0)
+                (p, C.pack_sorted(v.keys[edges[p] : edges[p + 1]]), C.pack_counts(v.counts[edges[p] : edges[p + 1]]), C.pack_counts(use[slots[p] : slots[p + 1]]), batch.num_rows if p == 0 else 0, None, None)
                 for p in range(parts)
             ]
             yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+            n = batch.num_rows
+            ids, lens = _ids_of(v, n, ids, cut, coder.end)
+            raw, at = ids.astype(_id_type(coder.size)), np.concatenate(([0], np.cumsum(lens))).tolist()
+            seq = pa.array([raw[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())
+            blank = [pa.nulls(n, f.type) for f in list(schema)[1:5]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, -1, np.int32)), *blank, batch["__h"], seq], schema=schema)
 
     return runs
 
 
+def _join(seqs: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(ids of all texts, number of ids of each)."""
+    kind = np.dtype(_id_type(size))
+    return np.frombuffer(b"".join(seqs), kind).astype(np.int64), np.array([len(x) // kind.itemsize for x in seqs], np.int64)
+
+
+def _beside(slot: np.ndarray, parts: int):
+    """Counts of each id's neighbours on both sides among the BESIDE most frequent ids, over the texts of a task."""
+    schema = pa.schema([("part", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
+    size, wide = len(slot), 2 * BESIDE
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = np.zeros(size * wide, np.uint32)
+        for batch in batches:
+            for a in range(0, batch.num_rows, 1024):
+                ids, _ = _join(batch["seq"].slice(a, 1024).to_pylist(), size)
+                for mine, other, shift in ((ids[:-1], ids[1:], 0), (ids[1:], ids[:-1], BESIDE)):
+                    ok = slot[other] >= 0
+                    np.add.at(found, mine[ok] * wide + slot[other[ok]] + shift, np.uint32(1))
+        keys = np.flatnonzero(found).astype(np.uint64)
+        counts = found[keys.astype(np.int64)]
+        edges = np.searchsorted(keys, np.array([size * wide * p // parts for p in range(parts + 1)], np.uint64))
+        full = np.flatnonzero(np.diff(edges))
+        yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array([C.pack_sorted(keys[edges[p] : edges[p + 1]]) for p in full], pa.binary()), pa.array([C.pack_counts(counts[edges[p] : edges[p + 1]]) for p in full], pa.binary())], schema=schema)
+
+    return count
+
+
+def _sum_beside(rows: pa.Table) -> pa.Table:
+    keys = np.concatenate([C.unpack_sorted(x) for x in rows["keys"].to_pylist()])
+    counts = np.concatenate([C.unpack_counts(x).astype(np.int64) for x in rows["counts"].to_pylist()])
+    keys, which = np.unique(keys, return_inverse=True)
+    return pa.table({"keys": pa.array([C.pack_sorted(keys)], pa.binary()), "counts": pa.array([np.bincount(which, counts, minlength=len(keys)).astype("<i8").tobytes()], pa.binary())})
+
+
 def _sum(rows: pa.Table) -> pa.Table:
     """One range of the count table: merged keys with summed counts, its totals, and its slice of subword counts."""
     keys = np.concatenate([C.unpack_sorted(x) if x else np.zeros(0, np.uint64) for x in rows["keys"].to_pylist()])
@@ -141,38 +194,23 @@ class Model:
         put = lambda *s: (rng.standard_normal(s) / np.sqrt(s[0])).astype(f)
         self.p = {"emb": (rng.standard_normal((ROWS, d)) * 0.5).astype(f), "pos": (rng.standard_normal((2 * STRIDE, d)) * 0.1).astype(f), "q": put(d, d), "k": put(d, d), "v": put(d, d), "o": put(d, d), "w1": put(d, HIDDEN), "b1": np.zeros(HIDDEN, f), "w2": put(HIDDEN, d), "u": put(d, CLASSES), "bias": np.zeros(CLASSES, f)}
         n = 2 * STRIDE
-        self.causal = np.where(np.arange(n)[None, :] <= np.arange(STRIDE)[:, None] + STRIDE, 0.0, -1e9).astype(f)
+        self.seen = (np.arange(n)[None, :] <= np.arange(STRIDE)[:, None] + STRIDE).astype(f)
 
-    def forward(self, tokens: np.ndarray, real: np.ndarray) -> dict:
-        """tokens, real: (windows, 2 * STRIDE) input ids and whether they exist; logits for the last STRIDE places."""
-        p, s = self.p, STRIDE
-        row = self.rows[tokens]
-        x = p["emb"][row] + p["pos"]
-        own = x[:, s:]
-        q, k, v = own @ p["q"], x @ p["k"], x @ p["v"]
-        a = q @ k.transpose(0, 2, 1)
-        a *= 1.0 / np.sqrt(WIDTH)
-        a += self.causal
-        a += np.where(real, 0.0, -1e9).astype(np.float32)[:, None, :]
-        a -= a.max(-1, keepdims=True)
-        np.exp(a, out=a)
-        a /= a.sum(-1, keepdims=True)
-        c = a @ v
-        h = own + c @ p["o"]
-        z = h @ p["w1"] + p["b1"]
-        r = np.maximum(z, 0)
-        g = h + r @ p["w2"]
-        return {"row": row, "x": x, "q": q, "k": k, "v": v, "a": a, "c": c, "h": h, "r": r, "g": g, "logits": g @ p["u"] + p["bias"]}
+    @classmethod
+    def like(cls, other: Model, p: dict) -> Model:
+        """The same classes and rows with other weights."""
+        out = cls.__new__(cls)
+        out.rows, out.classes, out.within, out.seen, out.p = other.rows, other.classes, other.within, other.seen, p
+        return out
 
     def prepare(self) -> None:
         """Products of weights that scoring needs: scores are own @ (q k') @ x', contexts a @ x @ (v o)."""
         p = self.p
         self.qk = (p["q"] @ p["k"].T / np.sqrt(WIDTH)).astype(np.float32)
         self.vo = (p["v"] @ p["o"]).astype(np.float32)
-        self.seen = (self.causal == 0).astype(np.float32)
 
     def log_probs(self, tokens: np.ndarray, real: np.ndarray, target: np.ndarray) -> np.ndarray:
-        """Natural log probability of each target id: forward() with fused weights, without what training keeps. Exponents
+        """Natural log probability of each target id: the layers with fused weights. Exponents
         are clipped far above what the weights can reach, in place of subtracting a maximum."""
         p, s, d = self.p, STRIDE, WIDTH
         n = len(tokens)
@@ -201,38 +239,74 @@ class Model:
         return (got - np.log(y.sum(-1))).reshape(n, s)
 
     def gradients(self, tokens: np.ndarray, real: np.ndarray, target: np.ndarray, use: np.ndarray) -> tuple[float, dict]:
-        p, s, t = self.p, STRIDE, self.forward(tokens, real)
-        y = t["logits"] - t["logits"].max(-1, keepdims=True)
-        prob = np.exp(y)
-        prob /= prob.sum(-1, keepdims=True)
-        cls = self.classes[target]
-        n = max(1, int(use.sum()))
-        loss = float(-(np.log(np.take_along_axis(prob, cls[:, :, None], -1)[:, :, 0] + 1e-9) * use).sum() / n)
-        dy = prob
-        np.put_along_axis(dy, cls[:, :, None], np.take_along_axis(dy, cls[:, :, None], -1) - 1, -1)
-        dy *= (use / n).astype(np.float32)[:, :, None]
-        flat = lambda m: m.reshape(-1, m.shape[-1])
-        g = {"u": flat(t["g"]).T @ flat(dy), "bias": flat(dy).sum(0)}
-        dg = dy @ p["u"].T
-        g["w2"] = flat(t["r"]).T @ flat(dg)
-        dz = (dg @ p["w2"].T) * (t["r"] > 0)
-        g["w1"], g["b1"] = flat(t["h"]).T @ flat(dz), flat(dz).sum(0)
-        dh = dg + dz @ p["w1"].T
-        g["o"] = flat(t["c"]).T @ flat(dh)
-        dc = dh @ p["o"].T
-        da, dv = dc @ t["v"].transpose(0, 2, 1), t["a"].transpose(0, 2, 1) @ dc
-        ds = t["a"] * (da - (da * t["a"]).sum(-1, keepdims=True)) / np.sqrt(WIDTH)
-        dq, dk = ds @ t["k"], ds.transpose(0, 2, 1) @ t["q"]
-        own = t["x"][:, s:]
-        g["q"], g["k"], g["v"] = flat(own).T @ flat(dq), flat(t["x"]).T @ flat(dk), flat(t["x"]).T @ flat(dv)
-        dx = dk @ p["k"].T + dv @ p["v"].T
-        dx[:, s:] += dh + dq @ p["q"].T
+        """Mean loss over the targets that exist, and its gradients. Scores and contexts go by the fused weights."""
+        p, s, d = self.p, STRIDE, WIDTH
+        n, scale = len(tokens), 1.0 / np.sqrt(WIDTH).astype(np.float32)
+        row = self.rows[tokens]
+        x = p["emb"].take(row, 0) + p["pos"]
+        own = np.ascontiguousarray(x[:, s:]).reshape(-1, d)
+        qk, vo = (p["q"] @ p["k"].T) * scale, p["v"] @ p["o"]
+        xt = x.transpose(0, 2, 1)
+        t = (own @ qk).reshape(n, s, d)
+        a = t @ xt
+        np.minimum(a, 80.0, out=a)
+        np.exp(a, out=a)
+        a *= self.seen
+        part = np.flatnonzero(~real.all(1))
+        if len(part):
+            a[part] *= real[part, None, :]
+        a /= np.maximum(a.sum(-1, keepdims=True), 1e-30)
+        c = (a @ x).reshape(-1, d)
+        h = own + c @ vo
+        r = np.maximum(h @ p["w1"] + p["b1"], 0)
+        e = h + r @ p["w2"]
+        y = e @ p["u"]
+        y += p["bias"]
+        y -= y.max(-1, keepdims=True)
+        np.exp(y, out=y)
+        y /= y.sum(-1, keepdims=True)
+        at, cls, use = np.arange(len(y)), self.classes[target].ravel(), use.ravel()
+        many = max(1, int(use.sum()))
+        loss = float(-(np.log(y[at, cls] + 1e-9) * use).sum() / many)
+        y[at, cls] -= 1
+        y *= (use / many).astype(np.float32)[:, None]
+        g = {"u": e.T @ y, "bias": y.sum(0)}
+        de = y @ p["u"].T
+        g["w2"] = r.T @ de
+        dz = (de @ p["w2"].T) * (r > 0)
+        g["w1"], g["b1"] = h.T @ dz, dz.sum(0)
+        dh = de + dz @ p["w1"].T
+        dvo = c.T @ dh
+        g["v"], g["o"] = dvo @ p["o"].T, p["v"].T @ dvo
+        dc = (dh @ vo.T).reshape(n, s, d)
+        ds = dc @ xt
+        ds -= (dc.reshape(-1, d) * c).sum(-1).reshape(n, s, 1)
+        ds *= a
+        dt = (ds @ x).reshape(-1, d)
+        dqk = own.T @ dt * scale
+        g["q"], g["k"] = dqk @ p["k"], dqk.T @ p["q"]
+        dx = a.transpose(0, 2, 1) @ dc
+        dx += ds.transpose(0, 2, 1) @ t
+        dx[:, s:] += (dh + dt @ qk.T).reshape(n, s, d)
         g["pos"] = dx.sum(0)
-        g["emb"] = np.zeros_like(p["emb"])
-        np.add.at(g["emb"], t["row"].ravel(), flat(dx))
+        flat, dx = row.ravel(), dx.reshape(-1, d)
+        g["emb"] = np.stack([np.bincount(flat, dx[:, k], minlength=ROWS) for k in range(d)], 1).astype(p["emb"].dtype)
         return loss, g
 
 
+class Adam:
+    def __init__(self, p: dict):
+        self.p, self.step = p, 0
+        self.m, self.v = ({k: np.zeros_like(w) for k, w in p.items()} for _ in range(2))
+
+    def move(self, g: dict, rate: float) -> None:
+        self.step += 1
+        for k, w in self.p.items():
+            self.m[k] = 0.9 * self.m[k] + 0.1 * g[k]
+            self.v[k] = 0.99 * self.v[k] + 0.01 * g[k] ** 2
+            w -= (rate * (self.m[k] / (1 - 0.9**self.step)) / (np.sqrt(self.v[k] / (1 - 0.99**self.step)) + 1e-8)).astype(np.float32)
+
+
 def cut_windows(ids: np.ndarray, lens: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Overlapping windows over texts of ids that end in `end`: (input ids, which exist, targets, which exist), in text
     order. The input at a target's place is the id before it; before the first stands `end`."""
@@ -252,29 +326,26 @@ def cut_windows(ids: np.ndarray, lens: np.ndarray, end: int) -> tuple[np.ndarray
     return np.maximum(x, 0), x >= 0, np.maximum(y, 0), y >= 0
 
 
-def cluster(ids: np.ndarray, coder_spaced: np.ndarray, counts: np.ndarray, end: int, rng: np.random.Generator) -> np.ndarray:
-    """Class of each id: k-means on the neighbours of ids seen often enough in the sample; the others by whether they
-    begin a word; the end has a class of its own."""
+def cluster(beside: tuple[np.ndarray, np.ndarray], coder_spaced: np.ndarray, counts: np.ndarray, end: int) -> np.ndarray:
+    """Class of each id: k-means on the neighbours that ids seen often enough have in all training texts, given as places
+    in a matrix of ids by neighbours and their counts; the others by whether they begin a word; the end has its own."""
     size = len(counts)
     out = np.where(coder_spaced, 0, 1).astype(np.int64)
     out[end] = 2
-    seen = np.bincount(ids, minlength=size)
-    often = np.flatnonzero((seen >= 4) & (np.arange(size) != end))
+    often = np.flatnonzero((counts >= 4) & (np.arange(size) != end))
     if len(often) > CLASSES:
-        top = np.argsort(-seen, kind="stable")[:192]
-        slot = np.full(size, -1)
-        slot[top] = np.arange(len(top))
         line = np.full(size, -1)
         line[often] = np.arange(len(often))
-        prof = np.zeros((len(often), 2 * len(top)))
-        for a, b, shift in ((ids[:-1], ids[1:], 0), (ids[1:], ids[:-1], len(top))):
-            ok = (line[a] >= 0) & (slot[b] >= 0)
-            np.add.at(prof, (line[a[ok]], slot[b[ok]] + shift), 1)
-        prof = np.sqrt(prof)
+        wide = 2 * BESIDE
+        place, many = beside
+        mine = line[place // wide]
+        prof = np.zeros((len(often), wide), np.float32)
+        prof[mine[mine >= 0], (place % wide)[mine >= 0]] = many[mine >= 0]
+        np.sqrt(prof, out=prof)
         prof /= np.maximum(1e-9, np.linalg.norm(prof, axis=1, keepdims=True))
         k = CLASSES - 3
-        centre = prof[np.argsort(-seen[often], kind="stable")[:k]]
-        weight = np.sqrt(seen[often])[:, None]
+        centre = prof[np.argsort(-counts[often], kind="stable")[:k]]
+        weight = np.sqrt(counts[often]).astype(np.float32)[:, None]
         for _ in range(10):
             near = (prof @ centre.T).argmax(1)
             for c in range(k):
@@ -285,10 +356,18 @@ def cluster(ids: np.ndarray, coder_spaced: np.ndarray, counts: np.ndarray, end:
     return out
 
 
-def train(ids: np.ndarray, lens: np.ndarray, counts: np.ndarray, spaced: np.ndarray, end: int) -> Model:
-    """Model from the sample's ids and the counts of ids over all training texts."""
+def top_slots(counts: np.ndarray) -> np.ndarray:
+    """Slot of each of the BESIDE most frequent ids, and -1 for the others."""
+    slot = np.full(len(counts), -1)
+    top = np.argsort(-counts, kind="stable")[:BESIDE]
+    slot[top] = np.arange(len(top))
+    return slot
+
+
+def begin(ids: np.ndarray, lens: np.ndarray, counts: np.ndarray, beside: tuple[np.ndarray, np.ndarray], spaced: np.ndarray, end: int) -> Model:
+    """Model from the counts of ids and neighbours over all training texts; its first weights are fitted to the ids given."""
     rng = np.random.default_rng(11)
-    classes = cluster(ids, spaced, counts, end, rng)
+    classes = cluster(beside, spaced, counts, end)
     total = np.bincount(classes, counts + 0.5, minlength=CLASSES)
     within = (np.log(counts + 0.5) - np.log(total[classes])).astype(np.float32)
     rows = classes.copy()
@@ -301,28 +380,75 @@ def train(ids: np.ndarray, lens: np.ndarray, counts: np.ndarray, spaced: np.ndar
     x, real, y, use = cut_windows(ids, lens, end)
     freq = np.bincount(classes[y[use]], minlength=CLASSES) + 0.5
     model.p["bias"] = np.log(freq / freq.sum()).astype(np.float32)
-    m, v = ({k: np.zeros_like(w) for k, w in model.p.items()} for _ in range(2))
+    adam = Adam(model.p)
     for step in range(1, STEPS + 1):
         pick = rng.integers(0, len(x), BATCH)
         _, g = model.gradients(x[pick], real[pick], y[pick], use[pick])
-        rate = 0.01 * min(1.0, step / 20) * (1.0 - 0.9 * step / STEPS)
-        for k, w in model.p.items():
-            m[k] = 0.9 * m[k] + 0.1 * g[k]
-            v[k] = 0.99 * v[k] + 0.01 * g[k] ** 2
-            w -= (rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
+        adam.move(g, 0.01 * min(1.0, step / 20) * (1.0 - 0.9 * step / STEPS))
     model.prepare()
     return model
 
 
-def _ids_of(v: Vocabulary, coder: Subwords, texts: int) -> tuple[np.ndarray, np.ndarray]:
-    """(ids of all texts, each closed by the end, number of ids of each)."""
-    ids, cut = coder.encode(v.words)
+def _learn(shared, rate: float, size: int, end: int):
+    """Weights after Adam steps over every window of a group's texts, in PIECES, each times the number of windows."""
+
+    def learn(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([("h", "ascending"), ("seq", "ascending")])
+        model: Model = shared.value
+        model = Model.like(model, {k: w.copy() for k, w in model.p.items()})
+        ids, lens = _join(rows["seq"].to_pylist(), size)
+        bounds, adam, rng, seen = np.concatenate(([0], np.cumsum(lens))), Adam(model.p), np.random.default_rng(5), 0
+        for i, j in C.slices(bounds, 1 << 18):
+            x, real, y, use = cut_windows(ids[bounds[i] : bounds[j]], lens[i:j], end)
+            order = rng.permutation(len(x))
+            for a in range(0, len(x), 2 * BATCH):
+                pick = order[a : a + 2 * BATCH]
+                _, g = model.gradients(x[pick], real[pick], y[pick], use[pick])
+                adam.move(g, rate * min(1.0, (adam.step + 1) / 20) * len(pick) / (2 * BATCH))
+            seen += len(x)
+        flat = np.concatenate([w.ravel() for w in model.p.values()]).astype(np.float64) * seen
+        return pa.table({"piece": pa.array(np.arange(PIECES, dtype=np.int32)), "windows": pa.array([seen] * PIECES, pa.int64()), "sum": pa.array([x.astype("<f4").tobytes() for x in np.array_split(flat, PIECES)], pa.binary())})
+
+    return learn
+
+
+def _add(rows: pa.Table) -> pa.Table:
+    total = sum(np.frombuffer(x, "<f4").astype(np.float64) for x in sorted(rows["sum"].to_pylist()))
+    return pa.table({"piece": pa.array([rows["piece"][0].as_py()], pa.int32()), "windows": pa.array([sum(rows["windows"].to_pylist())], pa.int64()), "sum": pa.array([total.astype("<f8").tobytes()], pa.binary())})
+
+
+def fit(seqs: DataFrame, counts: np.ndarray, coder: Subwords, n: int) -> Model:
+    """Model from the ids (h, seq) of all training texts."""
+    spark = seqs.sparkSession
+    found = seqs.select("seq").mapInArrow(_beside(top_slots(counts), n), "part int, keys binary, counts binary").groupBy("part").applyInArrow(_sum_beside, "keys binary, counts binary").collect()
+    place = np.concatenate([C.unpack_sorted(r["keys"]) for r in found]).astype(np.int64) if found else np.zeros(0, np.int64)
+    beside = place, np.concatenate([np.frombuffer(r["counts"], "<i8") for r in found]) if found else place
+    first = sorted(bytes(r["seq"]) for r in seqs.orderBy("h", "seq").limit(SAMPLE).select("seq").collect())
+    model = begin(*_join(first, coder.size), counts, beside, coder.spaced, coder.end)
+    deal = F.pmod(F.shiftright("h", 8), F.lit(n)).cast("int")
+    for k in range(ROUNDS if first else 0):
+        shared = spark.sparkContext.broadcast(model)
+        mine = seqs.where(F.pmod("h", F.lit(ROUNDS)) == k).select(deal.alias("g"), "h", "seq")
+        learned = mine.groupBy("g").applyInArrow(_learn(shared, RATES[k], coder.size, coder.end), "piece int, windows bigint, sum binary")
+        sums = sorted(learned.groupBy("piece").applyInArrow(_add, "piece int, windows bigint, sum binary").collect(), key=lambda r: r["piece"])
+        if sums:
+            flat, p, at = np.concatenate([np.frombuffer(r["sum"], "<f8") / r["windows"] for r in sums]), {}, 0
+            for name, w in model.p.items():
+                p[name] = flat[at : at + w.size].reshape(w.shape).astype(np.float32)
+                at += w.size
+            model = Model.like(model, p)
+    model.prepare()
+    return model
+
+
+def _ids_of(v: Vocabulary, texts: int, ids: np.ndarray, cut: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
+    """(ids of all texts, each closed by the end, number of ids of each), from the ids of the distinct words."""
     v.ids_per_word = np.diff(cut)
     n = v.ids_per_word[v.which]
     text = np.repeat(np.arange(texts), v.per_text)
     lens = np.bincount(text, n, minlength=texts).astype(np.int64) + 1
     place = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(cut[:-1][v.which], n)
-    out = np.full(int(lens.sum()), coder.end, np.int64)
+    out = np.full(int(lens.sum()), end, np.int64)
     is_end = np.zeros(len(out), bool)
     is_end[np.cumsum(lens) - 1] = True
     out[~is_end] = ids[place]
@@ -367,7 +493,7 @@ def _score(vocab: str, pattern: str, shared, total: int, types: int, ends: int,
         c = np.concatenate([np.frombuffer(x, "<i8") for x in answers.sort_by("part")["counts"].to_pylist()]) if answers.num_rows else np.zeros(0, np.int64)
         text = np.repeat(np.arange(n), v.per_text)
         known = np.bincount(text, (c > 0)[v.which], minlength=n).astype(np.int64) + (ends > 0)
-        ids, lens = _ids_of(v, coder, n)
+        ids, lens = _ids_of(v, n, *coder.encode(v.words), coder.end)
         bounds, parts = np.concatenate(([0], np.cumsum(lens))), []
         for i, j in C.slices(bounds, 1 << 18):
             x, real, y, use = cut_windows(ids[bounds[i] : bounds[j]], lens[i:j], coder.end)
@@ -400,24 +526,15 @@ def score_texts(docs: DataFrame, vocab_path: str, pattern: str, id_col: str = "d
     view = lambda d: d.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("__text"))
     slim, learn = view(docs), view(docs.where(train))
     id_type = slim.schema["__id"].dataType
-    runs = learn.select("__text").mapInArrow(_runs(vocab_path, pattern, n), "part int, keys binary, counts binary, ids binary, texts bigint")
+    raw = C.stash(learn.select(F.xxhash64("__id", "__text").alias("__h"), "__text").mapInArrow(_runs(vocab_path, pattern, n), _RUNS), "training-ids")
+    runs = raw.where("part >= 0").select("part", "keys", "counts", "ids", "texts")
     table = C.stash(runs.groupBy("part").applyInArrow(_sum, "part int, keys binary, counts binary, ids binary, tokens bigint, types bigint, texts bigint"), "word-counts")
     totals = table.select("part", "ids", "tokens", "types", "texts").orderBy("part").collect()
     texts = sum(r["texts"] for r in totals)
     total, types = sum(r["tokens"] for r in totals) + texts, sum(r["types"] for r in totals) + (texts > 0)
     coder = subwords(vocab_path, pattern)
     counts = np.concatenate([np.frombuffer(r["ids"], "<i8") for r in totals]) if totals else np.zeros(coder.size, np.int64)
-    sample = learn.orderBy(F.xxhash64("__id"), "__id", "__text").limit(SAMPLE)
-
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = subwords(vocab_path, pattern)
-        for batch in batches:
-            ids, lens = _ids_of(Vocabulary(batch["__text"]), own, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([pa.array([x.astype("<i4").tobytes() for x in np.split(ids, np.cumsum(lens)[:-1])], pa.binary())], names=["ids"])
-
-    got = sorted(r["ids"] for r in sample.select("__text").mapInArrow(encode, "ids binary").collect())
-    seqs = [np.frombuffer(x, "<i4").astype(np.int64) for x in got]
-    shared = spark.sparkContext.broadcast(train_on(seqs, counts, coder))
+    shared = spark.sparkContext.broadcast(fit(raw.where("part < 0").select("h", "seq"), counts, coder, n))
     dealt = slim.withColumn("__t", F.pmod(F.xxhash64("__id", "__text"), F.lit(2 * n)).cast("int")).repartition(n, "__t")
     asked = dealt.groupBy("__t").applyInArrow(_ask(n), "t int, part int, run binary")
     answers = asked.groupBy("part").cogroup(table.select("part", "keys", "counts").groupBy("part")).applyInArrow(_answer, "t int, part int, counts binary")
@@ -426,8 +543,3 @@ def score_texts(docs: DataFrame, vocab_path: str, pattern: str, id_col: str = "d
         f"doc_id {id_type.simpleString()}, n_tokens bigint, n_known bigint, base_score double, score double",
     )
     return scored.withColumn("train_tokens", F.lit(total).cast("bigint"))
-
-
-def train_on(seqs: list[np.ndarray], counts: np.ndarray, coder: Subwords) -> Model:
-    ids = np.concatenate(seqs) if seqs else np.zeros(0, np.int64)
-    return train(ids, np.array([len(x) for x in seqs], dtype=np.int64), counts, coder.spaced, coder.end)

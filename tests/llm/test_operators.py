@@ -381,3 +381,21 @@ def test_pipeline_stages(spark):
     assert all(r.n_chars == len(r.text) for r in docs.collect())
     packed = p.pack(spark, docs, "").collect()
     assert {r.doc_id for r in packed} == {r.doc_id for r in docs.collect()} and sum(r.n_words for r in packed) == sum(len(words(r.text)) for r in docs.collect())
+
+
+def test_lm_learns_context_of_every_text(spark):
+    """Word counts stay the same, and the order of words changes only in texts outside the SAMPLE that starts the weights."""
+    r = random.Random(17)
+    lexicon = ["".join(r.choice("abcdefghilmnoprstu") for _ in range(4)) for _ in range(150)]
+    rows = [(i, " ".join(r.choice(lexicon) for _ in range(12))) for i in range(1200)]
+    table = lambda x: spark.createDataFrame(x, "doc_id long, text string")
+    place = table(rows).select("doc_id", F.xxhash64("doc_id").alias("a"), F.xxhash64("doc_id", "text").alias("b"), (common.crc_fold(F.col("doc_id")) != 1).alias("learn")).collect()
+    first = {x.doc_id for key in ("a", "b") for x in sorted((x for x in place if x.learn), key=lambda x: x[key])[: lm.SAMPLE]}
+    late = {x.doc_id for x in place if x.learn} - first
+    assert len(late) > 50
+    changed = [(i, " ".join(sorted(t.split())) if i in late else t) for i, t in rows]
+    score = lambda x: {y.doc_id: y for y in lm.score_texts(table(x), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).collect()}
+    old, new = score(rows), score(changed)
+    same = [i for i, _ in rows if i not in late]
+    assert all(abs(old[i].base_score - new[i].base_score) < 1e-9 for i in same)
+    assert sum(abs(old[i].score - new[i].score) > 1e-3 for i in same) > 0.9 * len(same)
