@@ -8,6 +8,10 @@ regression weighs them. Scoring is two matrix products for a batch of texts: pre
 Fitted on a bounded sample: about SAMPLE labelled texts for each language, chosen by a hash of the id at a rate that the
 exact counts of the languages fix; whole texts. The model is LANDMARKS x DIM numbers at any corpus size.
 
+Labels only say which learned language is nearest. Whether a text is of one at all is told by `learned`: the share of its
+grams (each as often as it stands) that some language's sample texts have. The bar is calibrated on sample texts held out
+from the other half of the sample; texts of few grams get the slack of their standard error.
+
 Defined cases: null texts and texts without a letter are `und` with score 0; with nothing to learn from, all are; rows
 repeated or with null ids are scored one by one (a null id is never learned from nor held out).
 """
@@ -26,6 +30,9 @@ from . import common as C
 
 SAMPLE, LANDMARKS, DIM_BITS, GRAMS, RIDGE = 256, 128, 13, (1, 2, 3), 1e-2
 UNKNOWN = "und"
+#: A language has a gram if this share of its sample texts has it. The bar lies MISS times as far below 1 as the lowest LOW of held-out texts, of
+#: which there must be ENOUGH; slack is ERRORS standard errors, counting one gram of each RUN as independent.
+HAS, LOW, MISS, ENOUGH, ERRORS, RUN = 0.01, 0.01, 3.0, 20, 3.0, 6
 
 
 @lru_cache(1)
@@ -64,16 +71,47 @@ def gram_ids(texts: list[str | None]) -> Iterator[tuple[int, np.ndarray, np.ndar
         i = j
 
 
-def presence(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """(presence matrix, has a letter)."""
+def gram_counts(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """(how often each text has each gram, has a letter)."""
     out, has = np.zeros((len(texts), 1 << DIM_BITS), np.float32), np.zeros(len(texts), bool)
     for at, row, gram, letters in gram_ids(texts):
-        out[row + at, gram] = 1
-        has[at : at + len(letters)] = letters
+        n = len(letters)
+        out[at : at + n] = np.bincount((row << DIM_BITS) | gram, minlength=n << DIM_BITS).reshape(n, -1)
+        has[at : at + n] = letters
     return out, has
 
 
+class Known:
+    """Grams of each language, and the share of known grams from which on a text is of a learned language."""
+
+    def __init__(self, counts: np.ndarray, labels: np.ndarray):
+        self.grams, self.bar = self.of(counts, labels), 0.0
+        half = np.zeros(len(labels), bool)
+        for k in np.unique(labels):
+            half[np.flatnonzero(labels == k)[::2]] = True
+        shares = [self.share(counts[~h], self.of(counts[h], labels[h]))[0] for h in (half, ~half) if h.any() and not h.all()]
+        held = np.concatenate(shares) if shares else np.zeros(0)
+        if len(held) >= ENOUGH:
+            self.bar = max(0.0, 1.0 - MISS * (1.0 - float(np.quantile(held, LOW, method="lower"))))
+
+    @staticmethod
+    def of(counts: np.ndarray, labels: np.ndarray) -> np.ndarray:
+        rows = [(counts[labels == k] > 0).sum(0) >= max(1, np.ceil(HAS * (labels == k).sum())) for k in np.unique(labels)]
+        return np.array(rows, np.float32).reshape(len(rows), counts.shape[1])
+
+    @staticmethod
+    def share(counts: np.ndarray, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        n = counts.sum(1, dtype=np.float64)
+        return (counts @ grams.T).max(1, initial=0) / np.maximum(n, 1), n
+
+    def learned(self, counts: np.ndarray) -> np.ndarray:
+        share, n = self.share(counts, self.grams)
+        return share >= self.bar - ERRORS * np.sqrt(self.bar * (1.0 - self.bar) * RUN / np.maximum(n, 1))
+
+
 class Model:
+    known: Known
+
     def __init__(self, labels: list[str], landmarks: np.ndarray, weights: np.ndarray):
         self.labels, self.landmarks, self.weights = labels, landmarks, weights
 
@@ -119,22 +157,26 @@ def fit(docs: DataFrame, id_col: str, text_col: str, label_col: str, train) -> M
 
     def sets(batches):
         for batch in batches:
-            texts, out = batch["__text"].to_pylist(), [[] for _ in range(batch.num_rows)]
+            texts, out, often = batch["__text"].to_pylist(), *([[] for _ in range(batch.num_rows)] for _ in range(2))
             for at, row, gram, _ in gram_ids(texts):
-                pairs = np.unique((row << DIM_BITS) | gram)
+                pairs, many = np.unique((row << DIM_BITS) | gram, return_counts=True)
                 for r in np.unique(pairs >> DIM_BITS):
-                    out[at + r] = (pairs[(pairs >> DIM_BITS) == r] & ((1 << DIM_BITS) - 1)).tolist()
-            yield pa.RecordBatch.from_arrays([batch["__id"].cast(pa.string()), batch["__y"], pa.array(out, pa.list_(pa.int32()))], names=["id", "y", "grams"])
+                    mine = (pairs >> DIM_BITS) == r
+                    out[at + r], often[at + r] = (pairs[mine] & ((1 << DIM_BITS) - 1)).tolist(), many[mine].tolist()
+            yield pa.RecordBatch.from_arrays([batch["__id"].cast(pa.string()), batch["__y"], pa.array(out, pa.list_(pa.int32())), pa.array(often, pa.list_(pa.int32()))], names=["id", "y", "grams", "often"])
 
-    got = sorted(sample.mapInArrow(sets, "id string, y string, grams array<int>").collect(), key=lambda r: (r["id"], r["grams"]))
+    got = sorted(sample.mapInArrow(sets, "id string, y string, grams array<int>, often array<int>").collect(), key=lambda r: (r["id"], r["grams"]))
     x = np.zeros((len(got), 1 << DIM_BITS), np.float32)
     for i, r in enumerate(got):
-        x[i, r["grams"]] = 1
-    return Model.fit(x, [r["y"] for r in got])
+        x[i, r["grams"]] = r["often"]
+    y = [r["y"] for r in got]
+    model = Model.fit((x > 0).astype(np.float32), y)
+    model.known = Known(x, np.array([model.labels.index(v) for v in y], np.int64))
+    return model
 
 
 def language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", train=None, carry: list[str] = ()) -> DataFrame:
-    """Returns doc_id, lang_pred, score, and text with the columns of `carry`. `train` is the condition that marks rows
+    """Returns doc_id, lang_pred, score, learned, and text with the columns of `carry`. `train` is the condition that marks rows
     to learn from; by default those whose crc32(id as text) mod 5 is not 0."""
     train = C.crc_fold(F.col(id_col)) != 0 if train is None else train
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, id_col, text_col, label_col, train))
@@ -145,14 +187,16 @@ def language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         for batch in batches:
             for a in range(0, batch.num_rows, 256):
                 part = batch.slice(a, 256)
-                x, has = presence(part["text"].to_pylist())
+                counts, has = gram_counts(part["text"].to_pylist())
+                learned = has
                 if m.labels:
-                    best, p = m.score(x)
+                    best, p = m.score((counts > 0).astype(np.float32))
+                    learned = has & m.known.learned(counts)
                     pred = [m.labels[k] if ok else UNKNOWN for k, ok in zip(best, has, strict=True)]
                     p = np.where(has, p, 0.0)
                 else:
                     pred, p = [UNKNOWN] * len(has), np.zeros(len(has))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(pred, pa.string()), pa.array(p.astype(np.float64))], names=[*part.schema.names, "__pred", "__score"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(pred, pa.string()), pa.array(p.astype(np.float64)), pa.array(learned)], names=[*part.schema.names, "__pred", "__score", "__learned"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema.fields) + ", __pred string, __score double"
-    return slim.mapInArrow(score, schema).select("doc_id", F.col("__pred").alias("lang_pred"), F.col("__score").alias("score"), "text", *[F.col(f"__c{i}").alias(c) for i, c in enumerate(carry)])
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema.fields) + ", __pred string, __score double, __learned boolean"
+    return slim.mapInArrow(score, schema).select("doc_id", F.col("__pred").alias("lang_pred"), F.col("__score").alias("score"), F.col("__learned").alias("learned"), "text", *[F.col(f"__c{i}").alias(c) for i, c in enumerate(carry)])

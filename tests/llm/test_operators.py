@@ -399,3 +399,17 @@ def test_lm_learns_context_of_every_text(spark):
     same = [i for i, _ in rows if i not in late]
     assert all(abs(old[i].base_score - new[i].base_score) < 1e-9 for i in same)
     assert sum(abs(old[i].score - new[i].score) > 1e-3 for i in same) > 0.9 * len(same)
+
+
+@pytest.mark.parametrize("tongues", [1, 3])
+def test_pipeline_rejects_what_no_learned_language_has(spark, tongues):
+    import corpus_pipeline as p
+
+    r = random.Random(18)
+    speak = [("the", "of", "and", "tion", "ing"), ("der", "und", "schl", "ung", "ein"), ("que", "ción", "los", "ñar", "ado")][:tongues]
+    rows = [(k, " ".join("".join(r.choice(speak[k % tongues]) for _ in range(r.randint(1, 3))) for _ in range(r.choice((1, 3, 40, 200)))), "abc"[k % tongues]) for k in range(300)]
+    draw = lambda letters, n=900: "".join(r.choice(letters) for _ in range(n))
+    odd = ["мы долго шли по берегу реки и говорили о погоде", "これは日本語の文章です川の岸辺を長い間歩きながら話しました", draw("bcdfghjklmpqrvwxz "), draw("0123456789abcdef"), draw("ABCDEFGHJKLMNPQRSTUVWXYZabcdefghjklmnpqrstuvwxyz0123456789+/"), "a" * 900]
+    held = [k for k in range(1000, 1100) if zlib.crc32(str(k).encode()) % 5 == 0]  # ids that are not learned from
+    docs = spark.createDataFrame([(i, t, y, "s", len(t)) for i, t, y in [*rows, *[(k, t, "a") for k, t in zip(held, odd)]]], "doc_id long, text string, lang string, source string, n_chars long")
+    assert {x.doc_id for x in p.identify_language(spark, docs, "").collect()} == {i for i, _, _ in rows}
