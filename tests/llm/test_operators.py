@@ -413,3 +413,13 @@ def test_pipeline_rejects_what_no_learned_language_has(spark, tongues):
     held = [k for k in range(1000, 1100) if zlib.crc32(str(k).encode()) % 5 == 0]  # ids that are not learned from
     docs = spark.createDataFrame([(i, t, y, "s", len(t)) for i, t, y in [*rows, *[(k, t, "a") for k, t in zip(held, odd)]]], "doc_id long, text string, lang string, source string, n_chars long")
     assert {x.doc_id for x in p.identify_language(spark, docs, "").collect()} == {i for i, _, _ in rows}
+
+
+def test_host_boilerplate_across_shards(spark, monkeypatch):
+    monkeypatch.setattr(html_text, "SHARD", 4)
+    line = lambda k: f"section notice number {k} stands on two pages of this large host only"
+    own = lambda k: " ".join(f"w{k}x{j}" for j in range(12))
+    pages = [(k, f"https://h.example/{k}", f"<body><div>{line(k % 20)}</div><div>{own(k)}</div></body>") for k in range(40)]
+    pages += [(50, "https://h.example/50", f"<body><div>{own(50)} {own(50)}</div></body>"), (51, "https://other.example/", f"<body><div>{line(1)}</div></body>")]
+    got = {r.page_id: r.text for r in html_text.main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got == {**{k: own(k) for k in range(40)}, 50: f"{own(50)} {own(50)}", 51: line(1)}
