@@ -5,14 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Technologies by category, name and pattern; generic words count less than a vendor's own address.
+# Technologies by category, name and pattern (of lower-case text); generic words count less than a vendor's own address.
+_START, _END = r"(^|[^\p{L}\p{N}_])", r"([^\p{L}\p{N}_]|$)"
 TECH_RULES = (
-    ("crm", "Salesforce", r"salesforce|force\.com", 85), ("crm", "HubSpot", r"hubspot|hs-scripts\.com", 85), ("crm", "Zoho", r"zoho\.com|zohopublic", 85), ("crm", "Pipedrive", r"pipedrive", 85), ("crm", "Bitrix24", r"bitrix24", 85),
-    ("login_system", "Login/Sign-in page", r"(^|[^a-z0-9_])(log[ -]?in|sign[ -]?in)([^a-z0-9_]|$)", 55), ("login_system", "Dashboard", r"(^|[^a-z0-9_])dashboard([^a-z0-9_]|$)", 55),
-    ("payments", "Stripe", r"stripe\.com", 85), ("payments", "PayPal", r"paypal\.com|paypalobjects", 85), ("payments", "Cart", r"(^|[^a-z0-9_])cart([^a-z0-9_]|$)", 55),
-    ("chat", "Intercom", r"intercom\.io", 85), ("chat", "Zendesk", r"zendesk|zdassets", 85),
-    ("analytics", "Google Analytics", r"google-analytics\.com|gtag\(", 85), ("analytics", "Google Tag Manager", r"googletagmanager\.com", 85), ("analytics", "Page tracker", r"track\([0-9]+\)", 55),
-    ("authentication", "OAuth", r"(^|[^a-z0-9_])oauth([^a-z0-9_]|$)", 55), ("authentication", "Auth0", r"auth0\.com", 85),
+    ("crm", "Salesforce", r"salesforce|force\.com|lightning\.force", 85), ("crm", "HubSpot", r"hubspot|hs-scripts\.com|hsforms", 85), ("crm", "Zoho", r"zoho\.com|zohopublic", 85),
+    ("crm", "Microsoft Dynamics", r"dynamics\.com|dynamics[\s-]?365", 85), ("crm", "Pipedrive", r"pipedrive", 85), ("crm", "Freshworks", r"freshworks|freshsales|freshdesk", 85), ("crm", "Bitrix24", r"bitrix24", 85),
+    ("login_system", "Login/Sign-in page", _START + r"(log[\s-]?in|sign[\s-]?in)" + _END, 55), ("login_system", "My Account", _START + r"my[\s-]?account" + _END, 55), ("login_system", "Client Portal", _START + r"client[\s-]?portal" + _END, 55),
+    ("login_system", "Dashboard", _START + "dashboard" + _END, 55), ("login_system", "Member Area", _START + r"member[\s-]?(area|portal|login)" + _END, 55),
+    ("payments", "Stripe", r"stripe\.com", 85), ("payments", "PayPal", r"paypal\.com|paypalobjects", 85), ("payments", "Square", r"squareup\.com|square\.site", 85), ("payments", "Authorize.net", r"authorize\.net", 85),
+    ("payments", "Checkout", _START + "checkout" + _END, 55), ("payments", "Cart", _START + r"(shopping[\s-]?)?cart" + _END, 55), ("payments", "Buy Now", _START + r"buy[\s-]?now" + _END, 55),
+    ("chat", "Intercom", r"intercom\.io|widget\.intercom", 85), ("chat", "Drift", r"drift\.com|js\.driftt\.com", 85), ("chat", "Crisp", r"crisp\.chat", 85), ("chat", "Zendesk", r"zendesk|zdassets", 85),
+    ("chat", "Tawk.to", r"tawk\.to", 85), ("chat", "LiveChat", r"livechatinc|livechat\.com", 85),
+    ("analytics", "Google Analytics", r"google-analytics\.com|gtag\(", 85), ("analytics", "GA4", r"googletagmanager\.com/gtag/js\?id=g-|" + _START + "g-[a-z0-9]{6,}" + _END, 85), ("analytics", "Google Tag Manager", r"googletagmanager\.com", 85),
+    ("analytics", "Mixpanel", r"mixpanel\.com", 85), ("analytics", "Hotjar", r"hotjar\.com", 85), ("analytics", "Segment", r"segment\.(com|io)|cdn\.segment", 85), ("analytics", "Meta Pixel", r"connect\.facebook\.net[^\n]*fbevents|fbq\(", 85),
+    ("authentication", "OAuth", _START + "oauth" + _END, 55), ("authentication", "Auth0", r"auth0\.com", 85), ("authentication", "Okta", r"okta\.com", 85), ("authentication", "Clerk", r"clerk\.(dev|com)", 85),
+    ("authentication", "Firebase Auth", r"identitytoolkit\.googleapis\.com|firebaseapp\.com", 85),
 )
 # Signals of absence with their confidence.
 ABSENCE = (("no_crm", "crm", 0.82), ("no_analytics", "analytics", 0.75), ("no_login", "login_system", 0.6))

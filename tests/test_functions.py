@@ -168,3 +168,18 @@ def test_without_the_llm_subpackage():
 
     code = "import sys\nclass Gone:\n    def find_spec(self, name, *a):\n        if name == 'corpus_pipeline' or name.startswith('corpusloom.llm'):\n            raise ModuleNotFoundError(name, name=name)\nsys.meta_path.insert(0, Gone())\nimport __spark_entry__ as e\nassert e.queries() and not any(n.startswith('op') for n in e.queries())"
     subprocess.run([sys.executable, "-c", code], check=True, cwd=__file__.rsplit("/", 2)[0])
+
+
+def test_tech_rules_cover_every_indicator(spark):
+    found = {
+        "Salesforce": "lightning.force", "HubSpot": "HSForms", "Zoho": "zohopublic", "Microsoft Dynamics": "Dynamics 365", "Pipedrive": "pipedrive", "Freshworks": "freshdesk", "Bitrix24": "bitrix24",
+        "Login/Sign-in page": "Sign\tin", "My Account": "my-account", "Client Portal": "client portal", "Dashboard": "dashboard", "Member Area": "member-area",
+        "Stripe": "js.stripe.com", "PayPal": "paypalobjects", "Square": "square.site", "Authorize.net": "authorize.net", "Checkout": "checkout", "Cart": "shoppingcart", "Buy Now": "BuyNow",
+        "Intercom": "widget.intercom", "Drift": "js.driftt.com", "Crisp": "crisp.chat", "Zendesk": "zdassets", "Tawk.to": "tawk.to", "LiveChat": "livechatinc",
+        "Google Analytics": "gtag(", "GA4": "G-AB12CD3", "Google Tag Manager": "googletagmanager.com", "Mixpanel": "mixpanel.com", "Hotjar": "hotjar.com", "Segment": "cdn.segment", "Meta Pixel": "fbq(",
+        "OAuth": "oauth", "Auth0": "auth0.com", "Okta": "okta.com", "Clerk": "clerk.dev", "Firebase Auth": "firebaseapp.com",
+    }
+    generic = {"Login/Sign-in page", "My Account", "Client Portal", "Dashboard", "Member Area", "Checkout", "Cart", "Buy Now", "OAuth"}
+    rows = [*((f"<p>{t}</p>",) for t in found.values()), ("track(12) my_account \u00e9cart clients portal",), (None,)]
+    got = organisation.detections(spark.createDataFrame(rows, "html string").withColumn("k", F.monotonically_increasing_id()), "k", "html").collect()
+    assert {(r.technology, r.confidence) for r in got} == {(t, 55 if t in generic else 85) for t in found} and len(got) == len(found) == 37
