@@ -7,6 +7,7 @@ hashed with a few numpy passes and no Python object per word. Everything here ha
 from __future__ import annotations
 
 import atexit
+import hashlib
 import shutil
 import tempfile
 import uuid
@@ -25,23 +26,12 @@ _IS_SPACE[list(SPACES)] = True
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _LOWER = np.frombuffer(LOWER, dtype=np.uint8)
 
-_BASE = 0x9E3779B97F4A7C15 | 1
-_BASE_INV = pow(_BASE, -1, 1 << 64)
-_WBASE = 0xD6E8FEB86659FD93 | 1
-_WBASE_INV = pow(_WBASE, -1, 1 << 64)
-_powers: dict[int, np.ndarray] = {}
-
-
-def powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**n modulo 2**64; kept for the worker's life."""
-    have = _powers.get(base)
-    if have is None or len(have) <= n:
-        out = np.full(max(n + 1, 1 << 16), base, dtype=np.uint64)
-        out[0] = 1
-        have = _powers[base] = np.cumprod(out, dtype=np.uint64)
-        if n > 1 << 24:  # one huge text does not stay in memory
-            del _powers[base]
-    return have
+#: Modulus and base of the Rabin-Karp polynomials: a prime, so that no pattern of words meets another by its structure.
+PRIME, BASE = (1 << 61) - 1, 0x0D6E8FEB86659FD9
+_U = np.uint64
+_ENDS = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
+#: Words of more bytes than this are hashed one by one.
+_LONG = 1024
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -85,31 +75,95 @@ class Words:
         self.ends = np.flatnonzero(word & (sep[2:] | edge[1:])) + 1
         self.at = np.searchsorted(self.starts, offsets)  # text i has the words at[i] .. at[i+1]
 
-    def hashes(self) -> np.ndarray:
-        """Polynomial hash of every word's bytes modulo 2**64, finalised."""
-        n = len(self.raw)
-        sums = np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum((self.raw.astype(np.uint64) + np.uint64(1)) * powers(_BASE, n)[:n], out=sums[1:])
-        return mix((sums[self.ends] - sums[self.starts]) * powers(_BASE_INV, n)[self.starts])
-
-
-def windows(words: np.ndarray, at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """(starts, hashes): Rabin-Karp hashes of every window of `size` words that lies within one text."""
-    n = len(words)
+    def chunks(self) -> np.ndarray:
+        """The eight bytes from each place on as an integer; places near the end see zeros."""
+        padded = np.concatenate((self.raw, np.zeros(8, np.uint8)))
+        return np.ndarray((len(self.raw) + 1,), "<u8", padded, strides=(1,))
+
+    def hashes(self, bits: int = 64) -> np.ndarray:
+        """64-bit hash of every word, eight bytes at a time, each step mixed; with fewer `bits` only the leading ones."""
+        at, n, view = self.starts, self.ends - self.starts, self.chunks()
+        out = mix(n.astype(_U))
+        rest, k = np.flatnonzero(n <= _LONG), 0
+        while len(rest):
+            c = view[at[rest] + k] & _ENDS[np.minimum(n[rest] - k, 8)]
+            out[rest] = mix(out[rest] * _U(0x9E3779B97F4A7C15) ^ c)
+            k += 8
+            rest = rest[n[rest] > k]
+        for i in np.flatnonzero(n > _LONG).tolist():
+            out[i] = int.from_bytes(hashlib.blake2b(self.raw[at[i] : self.ends[i]].tobytes(), digest_size=8).digest(), "little")
+        return out & _U(((1 << bits) - 1) << (64 - bits))
+
+    def same(self, other: np.ndarray) -> bool:
+        """Whether every word has the bytes of the word that `other` names for it."""
+        at, to, n = self.starts, self.starts[other], self.ends - self.starts
+        if not np.array_equal(n, n[other]):
+            return False
+        view, k = self.chunks(), 0
+        rest = np.flatnonzero(at != to)
+        while len(rest):
+            if ((view[at[rest] + k] ^ view[to[rest] + k]) & _ENDS[np.minimum(n[rest] - k, 8)]).any():
+                return False
+            k += 8
+            rest = rest[n[rest] > k]
+        return True
+
+    def ids(self, hashes: np.ndarray) -> tuple[np.ndarray, int]:
+        """(number of each word, how many): equal numbers if and only if equal bytes. Words are numbered by their hashes and then
+        compared; should two different ones meet, by a dictionary."""
+        _, first, which = np.unique(hashes, return_index=True, return_inverse=True)
+        if self.same(first[which]):
+            return which.astype(np.int64), len(first)
+        data, number = self.raw.tobytes(), {}
+        out = np.array([number.setdefault(data[a:b], len(number)) for a, b in zip(self.starts.tolist(), self.ends.tolist(), strict=True)], np.int64)
+        return out, len(number)
+
+
+def _times(a: np.ndarray, b: int) -> np.ndarray:
+    """a * b modulo PRIME for a < PRIME; the result is less than 2 * PRIME."""
+    low, high = _U((1 << 31) - 1), _U(31)
+    ah, al, bh, bl = a >> high, a & low, _U(b >> 31), _U(b & ((1 << 31) - 1))
+    mid = ah * bl + al * bh
+    t = ((ah * bh) << _U(1)) + (mid >> _U(30)) + ((mid & _U((1 << 30) - 1)) << high) + al * bl
+    return (t & _U(PRIME)) + (t >> _U(61))
+
+
+def _reduced(a: np.ndarray) -> np.ndarray:
+    a = (a & _U(PRIME)) + (a >> _U(61))
+    return np.where(a >= _U(PRIME), a - _U(PRIME), a)
+
+
+def window_starts(n: int, at: np.ndarray, size: int) -> np.ndarray:
+    """First words of the windows of `size` of n words that lie within one text."""
     if n < size:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    sums = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum(words * powers(_WBASE, n)[:n], out=sums[1:])
+        return np.zeros(0, np.int64)
     inside = np.ones(n - size + 1, dtype=bool)
     ends = np.asarray(at[1:-1])
     for k in range(1, size):  # a window must not begin within size-1 words before a text's end
         cut = ends - k
         inside[cut[(cut >= 0) & (cut < len(inside))]] = False
-    starts = np.flatnonzero(inside)
-    return starts, mix((sums[starts + size] - sums[starts]) * powers(_WBASE_INV, n)[starts])
+    return np.flatnonzero(inside)
 
 
-def slices(offsets: np.ndarray, most: int = 4 << 20):
+def windows(words: np.ndarray, at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, hashes): Rabin-Karp hashes modulo PRIME of every window of `size` words that lies within one text. A window's
+    polynomial is put together of those of its halves, so that no table of powers is kept."""
+    starts = window_starts(len(words), at, size)
+    if not len(starts):
+        return starts, np.zeros(0, np.uint64)
+    own = _reduced(words)
+    out, done, power, m = None, 0, BASE, 1
+    while m <= size:
+        if size & m:
+            out, done = (own, m) if out is None else (_reduced(_times(own[: len(own) - done], pow(BASE, done, PRIME)) + out[m : m + len(own) - done]), done + m)
+        if 2 * m <= size:
+            own = _reduced(_times(own[:-m], power) + own[m:])
+            power = power * power % PRIME
+        m *= 2
+    return starts, mix(out[starts])
+
+
+def slices(offsets: np.ndarray, most: int = 1 << 19):
     """Ranges of texts of about `most` bytes each; a longer text is a range of its own."""
     i, n = 0, len(offsets) - 1
     while i < n:
@@ -153,9 +207,11 @@ _own: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; one of our own only where that is unset."""
+    """The folder that the cluster names in spark.checkpoint.dir. Only a session within one process may do without."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         if not _own:
             _own.append(tempfile.mkdtemp(prefix="loom-"))
             atexit.register(shutil.rmtree, _own[0], ignore_errors=True)
@@ -163,16 +219,29 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+def _folder(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
 def stash(df: DataFrame, tag: str) -> DataFrame:
     """Write df as a table in the shared folder and read it back: lineage ends there, and any executor can
-    reread it. The folder is removed when the session's file systems close."""
+    reread it. The folder goes with drop(), or else when the session's file systems close."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/loom/{tag}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    jvm = spark._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return spark.read.schema(df.schema).parquet(path)
+    files, at = _folder(spark, path)
+    files.deleteOnExit(at)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stashed_at = path
+    return out
+
+
+def drop(*stashed: DataFrame) -> None:
+    """Delete tables of stash() that nothing reads any more."""
+    for df in stashed:
+        files, at = _folder(df.sparkSession, df.stashed_at)
+        files.delete(at, True)
 
 
 def crc_fold(col, folds: int = 5):

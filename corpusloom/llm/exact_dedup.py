@@ -180,4 +180,4 @@ def removed_ids(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     id_type = slim.schema["__id"].dataType.simpleString()
     some = sized.mapInArrow(_candidates(mask, MASK_BITS), f"__id {id_type}, __cp int, __sha binary, __norm binary").select("__id", "__sha")
     joined = some.join(_groups(sized, mask, id_type), F.col("__sha") == F.col("sha"))
-    return joined.where(F.col("__id") != F.col("keep_id")).select(F.col("__id").alias("doc_id"))
+    return joined.where(~F.col("__id").eqNullSafe(F.col("keep_id"))).select(F.col("__id").alias("doc_id"))

@@ -42,11 +42,16 @@ def in_mask(df: DataFrame, mask: bytes, hashed: Column, bits: int = MASK_BITS) -
 
 
 def without_ids(docs: DataFrame, dropped: DataFrame, id_col: str) -> DataFrame:
-    """docs without the rows whose id is in dropped (one column). Rows that a fixed-size mask of the ids rules out stay
-    where they are; the others are held against the ids by an anti join. Rows with null ids stay."""
+    """docs without the rows whose id is in dropped (one column; ids may be structs). Rows that a fixed-size mask of the ids rules
+    out stay where they are; the others are held against the ids by an anti join. Rows with null ids stay."""
     gone = dropped.toDF("__gone").where("__gone IS NOT NULL").distinct()
     mask = mask_of(gone.select(F.xxhash64("__gone").alias("h")), "h")
     marked = docs.withColumn("__suspect", in_mask(docs, mask, F.xxhash64(id_col)))
     kept = marked.where(~F.col("__suspect")).drop("__suspect")
     suspect = marked.where("__suspect").drop("__suspect")
     return kept.unionByName(suspect.join(gone, F.col(id_col) == F.col("__gone"), "left_anti"))
+
+
+def row_key(id_col: str, text_col: str) -> Column:
+    """Tells rows apart that repeat an id with another text: (id is null, id, digest of the text). Ordered as ids are, nulls last."""
+    return F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")).alias("text"))

@@ -8,20 +8,30 @@ everywhere: a set leaves out its empty ones if there are at most `spare`, else n
 `Allocation`). How many segments of each weight and how much spare a band gets is the cheapest by a cost model of
 rows emitted and chance candidates, given the number of sets in the band.
 
+Keys travel as packed runs, one for each batch and range of keys. Of a batch's sets with one key the least stands for all, so a
+key that a third of all sets have is one entry for each batch; a range meets those and the least of them leads. So each key has a
+tree: sets, leaders of batches, leader of the key.
+
 A set's sketch is the parity of the number of its shingles in each of SKETCH hashed places: a shingle that two sets do
 not share turns one place, so sketches never differ in more places than the sets in shingles, and pairs whose sketches
-differ too much are no links. The rest is verified exactly on the sorted shingle hashes. A key's sets are first compared
-with the key's least one alone; a set that is not in its component is then compared with the key's other sets of other
-components, behind the same sketch test. So a dense group of near copies costs about one verification a set, and no link
-between different components is missed.
+differ too much are no links. The rest is verified on the words themselves. A set is first compared with the leader that it
+meets most often, then with its leaders of other components; sets of a key whose tree is still in several components are
+compared across these, behind the same sketch test. So a dense group of near copies costs about one verification a set, and no
+link between different components is missed.
+
+Exactness: sizes and verified links come from words that are numbered by hash and compared byte by byte. Hashes of shingles only
+make candidates: equal shingles have equal hashes, so linked sets differ in no more hashes than shingles. Equal sequences of words
+are one node, named by a 128-bit BLAKE2b digest; nodes that agree in its first 64 bits, which stand for them in runs, are candidates.
 
 Defined cases: texts of fewer words than a shingle are one shingle (the whole sequence); null and blank texts are
-empty sets, linked with nothing; null ids never name a component unless it has no other; repeated rows are copies. Only
-A-Z are lower-cased. Shingles are 64-bit hashes; so are nodes (of a 128-bit sum over the set).
+empty sets, linked with nothing; null ids never name a component unless it has no other; repeated rows are copies; texts of any
+length are read whole (slices of 512 KB, a longer text is a slice); a table without rows gives none; other columns, whatever their
+names, are ignored; of equally frequent leaders the greatest is compared first, which no result depends on. Only A-Z are lower-cased.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -39,6 +49,8 @@ from .filters import MASK_BITS, mask_of
 #: Cost model: what a chance candidate costs in rows, and how often two sets share a given shingle by chance.
 CANDIDATE_COST, CHANCE = 4.0, 1e-4
 SKETCH = 256
+#: Keys that a batch holds before it sends them, and that a range of keys shall have.
+BATCH_KEYS, RANGE_KEYS = 1 << 19, 1 << 20
 _SKETCHES = [f"s{i}" for i in range(SKETCH // 64)]
 
 
@@ -121,128 +133,258 @@ def signatures(shingles: np.ndarray, band: int, a: Allocation) -> np.ndarray:
     return keys
 
 
-def shingle_sets(texts: pa.Array, words: int) -> Iterator[np.ndarray]:
-    """Sorted distinct shingle hashes of each text."""
+class Shingles:
+    """Word shingles of a slice of texts: exact sizes, and the hashes of the distinct ones text by text (cut[i] .. cut[i+1])."""
+
+    def __init__(self, raw: np.ndarray, offsets: np.ndarray, size: int, bits: int = 64):
+        w = C.Words(raw, offsets, lower=True)
+        h, texts = w.hashes(bits), len(offsets) - 1
+        number, kinds = w.ids(h)
+        starts, hashes = C.windows(h, w.at, size)
+        of = np.searchsorted(w.at, starts, side="right") - 1
+        exact = exact_windows(number, kinds, starts, size)
+        _, first = np.unique(of * (int(exact.max()) + 1 if len(exact) else 1) + exact, return_index=True)
+        self.n = np.bincount(of[first], minlength=texts)
+        self.cut = np.concatenate(([0], np.cumsum(self.n)))
+        self.hashes = hashes[first] & np.uint64(((1 << bits) - 1) << (64 - bits))
+        few = np.diff(w.at)
+        self.short = (few > 0) & (few < size)
+        self.n[self.short] = 1
+
+    def sketches(self) -> np.ndarray:
+        """Parity of the number of shingles in each of SKETCH places, as 64-bit integers."""
+        texts = len(self.n)
+        place = (C.mix(self.hashes ^ np.uint64(0xB17B17B17)) % np.uint64(SKETCH)).astype(np.int64)
+        counts = np.bincount(np.repeat(np.arange(texts) * SKETCH, np.diff(self.cut)) + place, minlength=texts * SKETCH)
+        return np.packbits((counts & 1).astype(np.uint8)).view("<i8").reshape(texts, SKETCH // 64)
+
+
+def exact_windows(number: np.ndarray, kinds: int, starts: np.ndarray, size: int) -> np.ndarray:
+    """Small numbers of the windows of `size` words at `starts`: equal if and only if the windows' words are."""
+    out, most = number[starts], kinds
+    for k in range(1, size):
+        if most * kinds >= 1 << 62:
+            out = np.unique(out, return_inverse=True)[1].astype(np.int64)
+            most = int(out.max()) + 1 if len(out) else 1
+        out, most = out * kinds + number[starts + k], most * kinds
+    return np.unique(out, return_inverse=True)[1].astype(np.int64)
+
+
+def sliced(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     raw, off = C.buffers(texts)
     for i, j in C.slices(off):
-        w = C.Words(raw[off[i] : off[j]], off[i : j + 1] - off[i], lower=True)
-        h = w.hashes()
-        starts, hashes = C.windows(h, w.at, words)
-        cut = np.searchsorted(starts, w.at)
-        for k in range(j - i):
-            if w.at[k + 1] - w.at[k] >= words:
-                yield np.unique(hashes[cut[k] : cut[k + 1]])
-            elif w.at[k + 1] > w.at[k]:
-                own = h[w.at[k] : w.at[k + 1]]
-                whole, n = np.zeros(1, np.uint64), np.uint64(len(own))
-                for x in C.mix(own + n):  # the sequence in its order, apart from longer shingles by n
-                    whole = C.mix(whole * np.uint64(5) + x)
-                yield whole
-            else:
-                yield hashes[:0]
+        yield i, j, raw[off[i] : off[j]], off[i : j + 1] - off[i]
 
 
-def sketch_of(s: np.ndarray) -> np.ndarray:
-    """Parity of the number of shingles in each of SKETCH places, as 64-bit integers."""
-    place = (C.mix(s ^ np.uint64(0xB17B17B17)) % np.uint64(SKETCH)).astype(np.int64)
-    return np.packbits((np.bincount(place, minlength=SKETCH) & 1).astype(np.uint8)).view("<i8")
+def canonical(raw: np.ndarray, offsets: np.ndarray) -> Iterator[bytes]:
+    """Each text's lower-cased words joined by one space."""
+    data = raw.tobytes().translate(C.LOWER)
+    for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+        yield b" ".join(data[a:b].split())
 
 
-def node_of(s: np.ndarray) -> int:
-    one, two = C.mix(s).sum(dtype=np.uint64), C.mix(s ^ np.uint64(0xC0FFEE123)).sum(dtype=np.uint64)
-    return int(C.mix(np.array([one ^ C.mix(np.array([two + np.uint64(len(s))]))[0]]))[0].astype(np.int64))
+def digest(text: bytes, bits: int = 64) -> tuple[int, int]:
+    """128-bit digest as two integers; with fewer `bits` the first has only its leading ones."""
+    d = hashlib.blake2b(text, digest_size=16).digest()
+    a = int.from_bytes(d[:8], "big") >> (64 - bits) << (64 - bits)
+    return a - (a >> 63 << 64), int.from_bytes(d[8:], "big", signed=True)
 
 
-def _small(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
-    """Batches of few rows, so that a worker holds few sets at a time."""
-    for batch in batches:
-        for a in range(0, batch.num_rows, rows):
-            yield batch.slice(a, rows)
-
-
-def _describe(words: int):
+def _describe(words: int, bits: int):
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Size, node and sketch of each text's set."""
-        for batch in _small(batches):
-            node, n, sketches = [], [], []
-            for s in shingle_sets(batch["__text"], words):
-                n.append(len(s))
-                node.append(node_of(s) if len(s) else None)
-                sketches.append(sketch_of(s))
-            sk = np.array(sketches, np.int64).reshape(len(n), len(_SKETCHES))
-            yield pa.RecordBatch.from_arrays([batch["__id"], pa.array(n, pa.int64()), pa.array(node, pa.int64()), *[pa.array(sk[:, i]) for i in range(len(_SKETCHES))]], names=["id", "n", "node", *_SKETCHES])
+        """Size, digest and sketch of each text's set."""
+        for batch in batches:
+            for i, j, raw, off in sliced(batch["__text"]):
+                sets = Shingles(raw, off, words, bits)
+                named = [digest(x, bits) if x else (None, None) for x in canonical(raw, off)]
+                sk = sets.sketches()
+                yield pa.RecordBatch.from_arrays(
+                    [batch["__id"].slice(i, j - i), pa.array(sets.n, pa.int64()), *[pa.array([x[k] for x in named], pa.int64()) for k in (0, 1)], *[pa.array(sk[:, k]) for k in range(len(_SKETCHES))]],
+                    names=["id", "n", "d1", "d2", *_SKETCHES],
+                )
 
     return describe
 
 
-def _in_mask(mask: np.ndarray, node: int) -> bool:
-    at = (node >> (64 - MASK_BITS)) & ((1 << MASK_BITS) - 1)
-    return bool(mask[at >> 3] >> (7 - (at & 7)) & 1)
+_RUN = pa.schema([("part", pa.int32()), ("keys", pa.binary()), ("node", pa.binary()), ("lead", pa.binary()), ("names", pa.binary())])
+
 
+def _runs(keys: np.ndarray, owner: np.ndarray, names: np.ndarray, parts: int, turn: int) -> pa.RecordBatch:
+    """Runs of a batch's (key, set): to the key's range goes the least set of each key; the others, with it, to any range."""
+    order = np.argsort(keys, kind="stable")  # owners are numbered by ascending name, and keys of one set are distinct
+    keys, owner = keys[order], owner[order]
+    head = np.concatenate(([True], keys[1:] != keys[:-1]))
+    lead = owner[np.flatnonzero(head)[np.cumsum(head) - 1]]
+    rows = []
 
-def _index(words: int, t: Threshold, schemes: dict[int, Allocation], ends: list[int], shared, copies: bool):
-    """(node, keys) of sets; with `copies` of those whose node the mask has, else of the others."""
+    def run(part: int, k: np.ndarray, o: np.ndarray, led: np.ndarray | None) -> None:
+        used, place = np.unique(np.concatenate((o, led)) if led is not None else o, return_inverse=True)
+        place = place.astype("<u2")
+        rows.append((part, C.pack_sorted(k), place[: len(o)].tobytes(), place[len(o) :].tobytes() if led is not None else None, names[used].astype("<i8").tobytes()))
+
+    first, rest = np.flatnonzero(head), np.flatnonzero(~head)
+    edges = C.bucket_edges(keys[first], parts)
+    for p in np.flatnonzero(np.diff(edges)).tolist():
+        at = first[edges[p] : edges[p + 1]]
+        run(p, keys[at], owner[at], None)
+    for a in range(0, len(rest), 1 << 14):
+        at = rest[a : a + (1 << 14)]
+        run((turn + a) % parts, keys[at], owner[at], lead[at])
+    return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), _RUN, strict=True)], schema=_RUN)
+
+
+def _index(words: int, t: Threshold, schemes: dict[int, Allocation], ends: list[int], parts: int, bits: int):
+    """Runs of the keys of sets."""
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lower, mask = np.array(ends), np.frombuffer(shared.value, np.uint8)
-        for batch in _small(batches):
-            node, keys = [], [np.zeros(0, np.int64)]
-            for s in shingle_sets(batch["__text"], words):
-                if not len(s) or _in_mask(mask, k := node_of(s)) != copies:
-                    continue
-                own, got = int(np.searchsorted(lower, len(s), side="right")) - 1, [keys[0]]
-                for band in (own, own + 1):
-                    if band in schemes and (band == own or t.den * len(s) >= t.num * ends[band]):
-                        got.append(signatures(s, band, schemes[band]).astype(np.int64))
-                node.append(k)
-                keys.append(np.unique(np.concatenate(got)))
-            offsets = np.cumsum([len(k) for k in keys]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(keys)))], names=["node", "keys"])
+        lower, held, seen, many = np.array(ends), {}, set(), 0
+
+        def flush() -> pa.RecordBatch:
+            names = sorted(held)
+            keys = [held[k] for k in names]
+            return _runs(np.concatenate(keys), np.repeat(np.arange(len(names)), [len(k) for k in keys]), np.array(names, np.int64), parts, abs(names[0]) % parts)
+
+        for batch in batches:
+            for _, _, raw, off in sliced(batch["__text"]):
+                sets = Shingles(raw, off, words, bits)
+                for i, text in enumerate(canonical(raw, off)):
+                    if not text or sets.short[i]:
+                        continue  # a sequence of its own: only equal ones link
+                    both = digest(text, bits)
+                    if both in seen:
+                        continue
+                    seen.add(both)
+                    name = both[0]
+                    n, s = int(sets.n[i]), sets.hashes[sets.cut[i] : sets.cut[i + 1]]
+                    own, got = int(np.searchsorted(lower, n, side="right")) - 1, []
+                    for band in (own, own + 1):
+                        if band in schemes and (band == own or t.den * n >= t.num * ends[band]):
+                            got.append(signatures(s, band, schemes[band]))
+                    if got:
+                        held[name] = np.unique(np.concatenate([*got, *([held[name]] if name in held else [])]))
+                        many += len(held[name])
+                    if many >= BATCH_KEYS or len(held) >= 1 << 15:
+                        yield flush()
+                        held, seen, many = {}, set(), 0
+        if held:
+            yield flush()
 
     return index
 
 
-def _fetch(words: int, shared):
+def _meet(rows: pa.Table) -> pa.Table:
+    """(key, x, lead) of a range of keys: each set that a batch sent and the key's least one, and what batches led themselves."""
+    keys, names, out = [], [], []
+    for r in rows.to_batches():
+        for k, o, led, n in zip(*(r[c].to_pylist() for c in ("keys", "node", "lead", "names")), strict=True):
+            k, o, n = C.unpack_sorted(k), np.frombuffer(o, "<u2"), np.frombuffer(n, "<i8")
+            if led is None:
+                keys.append(k)
+                names.append(n[o])
+            else:
+                out.append((k, n[o], n[np.frombuffer(led, "<u2")]))
+    if keys:
+        k, n = np.concatenate(keys), np.concatenate(names)
+        order = np.argsort(k, kind="stable")
+        k, n = k[order], n[order]
+        twin = k[1:] == k[:-1]
+        many = np.flatnonzero(np.concatenate((twin, [False])) | np.concatenate(([False], twin)))
+        k, n = k[many], n[many]
+        if len(k):
+            head = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
+            least = np.repeat(np.minimum.reduceat(n, head), np.diff(np.append(head, len(k))))
+            other = np.flatnonzero(n != least)
+            pairs = np.unique(np.stack((k[other].view(np.int64), n[other], least[other])), axis=1)
+            out.append((pairs[0].view(np.uint64), pairs[1], pairs[2]))
+    cat = lambda i: np.concatenate([x[i] for x in out]) if out else np.zeros(0, np.int64)
+    return pa.table({"key": pa.array(cat(0).view(np.int64), pa.int64()), "x": pa.array(cat(1), pa.int64()), "lead": pa.array(cat(2), pa.int64())})
+
+
+def _fetch(shared, bits: int):
+    """Digests and packed words of the texts whose digest the mask has."""
+
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mask = np.frombuffer(shared.value, np.uint8)
-        for batch in _small(batches):
-            nodes, sets = [], []
-            for s in shingle_sets(batch["__text"], words):
-                if len(s):
-                    if _in_mask(mask, k := node_of(s)):
-                        nodes.append(k)
-                        sets.append(C.pack_sorted(s))
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.binary())], names=["node", "members"])
+        for batch in batches:
+            for _, _, raw, off in sliced(batch["__text"]):
+                found = {}
+                for text in canonical(raw, off):
+                    if text:
+                        d = digest(text, bits)
+                        at = (d[0] >> (64 - MASK_BITS)) & ((1 << MASK_BITS) - 1)
+                        if mask[at >> 3] >> (7 - (at & 7)) & 1 and d not in found:
+                            found[d] = len(text).to_bytes(4, "little") + pa.compress(text, "zstd", asbytes=True)
+                yield pa.RecordBatch.from_arrays([pa.array([d[k] for d in found], pa.int64()) for k in (0, 1)] + [pa.array(list(found.values()), pa.binary())], names=["d1", "d2", "body"])
 
     return fetch
 
 
-def _verify(pairs: DataFrame, sets: DataFrame, t: Threshold) -> DataFrame:
-    """pairs (x, y) with the number d of shingles that differ, and whether they link; each set is sent once for each
-    pair on one side and once for each y on the other."""
+def _unpack(bodies: list[bytes]) -> list[bytes]:
+    return [pa.decompress(b[4:], int.from_bytes(b[:4], "little"), "zstd", asbytes=True) for b in bodies]
 
+
+def compare(left: list[bytes], right: list[bytes], words: int, bits: int = 64) -> tuple[np.ndarray, np.ndarray]:
+    """(size of the intersection, of the union) of the shingle sets of each pair of texts."""
+    texts = [t for pair in zip(left, right, strict=True) for t in pair]
+    w = C.Words(np.frombuffer(b"".join(texts), np.uint8), np.concatenate(([0], np.cumsum([len(t) for t in texts]))))
+    number, kinds = w.ids(w.hashes(bits))
+    starts = C.window_starts(len(number), w.at, words)
+    of = np.searchsorted(w.at, starts, side="right") - 1
+    shingle = exact_windows(number, kinds, starts, words)
+    span = int(shingle.max()) + 1 if len(shingle) else 1
+    u = np.unique((of // 2 * span + shingle) * 2 + of % 2)
+    pair = u // 2 // span
+    both = np.flatnonzero(u[1:] // 2 == u[:-1] // 2)
+    common = np.bincount(pair[both], minlength=len(left))
+    return common, np.bincount(pair, minlength=len(left)) - common
+
+
+def _verify(words: int, t: Threshold, bits: int, most: int = 1 << 19):
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _small(batches):
-            d, link = [], []
-            for a, b in zip(batch["mx"].to_pylist(), batch["my"].to_pylist(), strict=True):
-                x, y = C.unpack_sorted(a), C.unpack_sorted(b)
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                d.append(len(x) + len(y) - 2 * common)
-                link.append(t.den * common >= t.num * (len(x) + len(y) - common))
-            yield pa.RecordBatch.from_arrays([batch["x"], batch["y"], pa.array(d, pa.int64()), pa.array(link, pa.bool_())], names=["x", "y", "d", "link"])
+        for batch in batches:
+            lens = np.array([int.from_bytes(v.as_py()[:4], "little") for c in ("bx", "by") for v in batch[c]]).reshape(2, -1).sum(0)
+            for i, j in C.slices(np.concatenate(([0], np.cumsum(lens))), most):
+                part = batch.slice(i, j - i)
+                common, union = compare(_unpack(part["bx"].to_pylist()), _unpack(part["by"].to_pylist()), words, bits)
+                use = pa.array(np.flatnonzero(t.den * common >= t.num * union))
+                yield pa.RecordBatch.from_arrays([part["x"].take(use), part["y"].take(use)], names=["a", "b"])
+
+    return verify
+
+
+class _Search:
+    """What the steps of a join share: the texts, the nodes (d1, d2, node, least, n, sketch), and the threshold."""
 
-    left = pairs.join(sets.select(F.col("node").alias("x"), F.col("members").alias("mx")), "x")
-    both = left.join(sets.select(F.col("node").alias("y"), F.col("members").alias("my")), "y")
-    return both.select("x", "y", "mx", "my").mapInArrow(verify, "x bigint, y bigint, d bigint, link boolean")
+    def __init__(self, slim: DataFrame, nodes: DataFrame, words: int, t: Threshold, bits: int):
+        self.slim, self.nodes, self.words, self.t, self.bits = slim, nodes, words, t, bits
 
+    def side(self, name: str) -> DataFrame:
+        return self.nodes.select(*[F.col(c).alias(f"{c}_{name}") for c in ("d1", "d2", "node", "n", *_SKETCHES)])
 
-def _links(pairs: DataFrame, sets: DataFrame, t: Threshold) -> DataFrame:
-    return C.stash(_verify(pairs, sets, t), "verified").where("link").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    def close(self):
+        """Whether sizes and sketches of x and y leave room for a link; false only for pairs that are none."""
+        t, x, y = self.t, F.col("n_x"), F.col("n_y")
+        apart = sum((F.bit_count(F.col(f"{c}_x").bitwiseXOR(F.col(f"{c}_y"))) for c in _SKETCHES), F.lit(0))
+        return (F.least(x, y) * t.den >= F.greatest(x, y) * t.num) & (apart * (t.den + t.num) <= (x + y) * (t.den - t.num))
+
+    def links(self, pairs: DataFrame) -> DataFrame:
+        """Verified links (a, b) of pairs (node_x, node_y and their digests). A text moves once, and once more for each pair
+        that has it as x; texts of the corpus that are in no pair do not move."""
+        spark = self.slim.sparkSession
+        ends = pairs.select(F.explode(F.array("d1_x", "d1_y")).alias("d1"))
+        mask = spark.sparkContext.broadcast(mask_of(ends, "d1"))
+        texts = self.slim.select("__text").mapInArrow(_fetch(mask, self.bits), "d1 bigint, d2 bigint, body binary").groupBy("d1", "d2").agg(F.first("body").alias("body"))
+        named = lambda side: texts.select(F.col("d1").alias(f"d1_{side}"), F.col("d2").alias(f"d2_{side}"), F.col("body").alias(f"b{side}"))
+        slim = pairs.select("d1_x", "d2_x", "d1_y", "d2_y", F.col("node_x").alias("x"), F.col("node_y").alias("y"))
+        both = slim.join(named("x"), ["d1_x", "d2_x"]).join(named("y"), ["d1_y", "d2_y"])
+        return C.stash(both.select("x", "y", "bx", "by").mapInArrow(_verify(self.words, self.t, self.bits), "a bigint, b bigint"), "links")
 
 
 def _joined(linked: DataFrame, more: DataFrame) -> DataFrame:
     """Components with further links."""
-    return linked if more.isEmpty() else components(linked.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
+    out = linked if more.isEmpty() else components(linked.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
+    C.drop(more)
+    return out
 
 
 def _roots(df: DataFrame, column: str, of: DataFrame, name: str) -> DataFrame:
@@ -250,61 +392,55 @@ def _roots(df: DataFrame, column: str, of: DataFrame, name: str) -> DataFrame:
     return df.join(of.select(F.col("node").alias(column), F.col("root").alias(name)), column, "left").withColumn(name, F.coalesce(name, column))
 
 
-def _named(shape: DataFrame, side: str) -> DataFrame:
-    """Sizes and sketches of nodes, with the side's name in their columns."""
-    return shape.select(F.col("node").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in ("n", *_SKETCHES)])
-
-
-def _close(t: Threshold):
-    """Whether sizes and sketches of x and y leave room for a link; false only for pairs that are none."""
-    x, y = F.col("n_x"), F.col("n_y")
-    apart = sum((F.bit_count(F.col(f"{c}_x").bitwiseXOR(F.col(f"{c}_y"))) for c in _SKETCHES), F.lit(0))
-    return (F.least(x, y) * t.den >= F.greatest(x, y) * t.num) & (apart * (t.den + t.num) <= (x + y) * (t.den - t.num))
-
-
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, num: int = 90, den: int = 100) -> DataFrame:
-    """One row for each row of docs: doc_id, n_shingles, component_id (the least id reachable by links)."""
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, num: int = 90, den: int = 100, hash_bits: int = 64) -> DataFrame:
+    """One row for each row of docs: doc_id, n_shingles, component_id (the least id reachable by links). `hash_bits` cuts
+    hashes, so that tests can force collisions."""
     t = Threshold(num, den)
     slim = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("__text"))
     id_type = slim.schema["__id"].dataType.simpleString()
-    longest = 1 << 40
-    ends = t.bands(longest)
+    ends = t.bands(1 << 40)
     band = F.size(F.filter(F.array(*[F.lit(e) for e in ends]), lambda e: e <= F.col("n"))) - 1
-    described = C.stash(slim.mapInArrow(_describe(words), f"id {id_type}, n bigint, node bigint, " + ", ".join(f"{c} bigint" for c in _SKETCHES)), "described")
-    held_sets = described.where("node IS NOT NULL")
-    nodes = C.stash(held_sets.groupBy("node").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("copies"), *[F.first(c).alias(c) for c in ("n", *_SKETCHES)]), "nodes")
+    described = C.stash(slim.mapInArrow(_describe(words, hash_bits), f"id {id_type}, n bigint, d1 bigint, d2 bigint, " + ", ".join(f"{c} bigint" for c in _SKETCHES)), "described")
+    grouped = described.where("d1 IS NOT NULL").groupBy("d1", "d2").agg(F.min("id").alias("least"), *[F.first(c).alias(c) for c in ("n", *_SKETCHES)])
+    nodes = C.stash(grouped.withColumn("node", F.monotonically_increasing_id()), "nodes")
     schemes: dict[int, Allocation] = {}
     held = {r["band"]: (r["sets"], r["size"]) for r in nodes.groupBy(band.alias("band")).agg(F.count(F.lit(1)).alias("sets"), F.avg("n").alias("size")).collect()}
     for k in held:
-        h = t.differences(2 * (ends[k + 1] - 1))
-        if h:  # without differences only equal sets link
-            schemes[k] = allocate(h, held[k][1], held[k][0])
-    # Keys move once: leaders and members come from one exchange. Of equal sets, one posts.
-    spark = docs.sparkSession
-    twins = spark.sparkContext.broadcast(mask_of(nodes.where("copies > 1"), "node"))
-    own, shared = (slim.select("__text").mapInArrow(_index(words, t, schemes, ends, twins, c), "node bigint, keys array<bigint>") for c in (False, True))
-    posting = own.unionByName(shared.groupBy("node").agg(F.first("keys").alias("keys")))
-    posted = posting.select("node", F.explode("keys").alias("key")).repartition(C.partitions(spark), "key")
-    lead = posted.groupBy("key").agg(F.min("node").alias("lead"), F.count(F.lit(1)).alias("sets")).where("sets > 1").select("key", "lead")
-    met = C.stash(posted.join(lead, "key").where(~F.col("node").eqNullSafe(F.col("lead"))), "met")  # key, node, lead
-    pairs = C.stash(met.groupBy(F.col("node").alias("x"), F.col("lead").alias("y")).count(), "pairs")
-    shape = C.stash(nodes.select("node", "n", *_SKETCHES).join(pairs.select(F.explode(F.array("x", "y")).alias("node")).distinct(), "node"), "shapes")
-    mask = slim.sparkSession.sparkContext.broadcast(mask_of(shape, "node"))
-    sets = C.stash(slim.select("__text").mapInArrow(_fetch(words, mask), "node bigint, members binary").groupBy("node").agg(F.first("members").alias("members")), "sets")
+        schemes[k] = allocate(t.differences(2 * (ends[k + 1] - 1)), held[k][1], held[k][0])
+    rows = sum(2 * held[k][0] * (a.single + a.double * (1 + 2 * held[k][1] / (a.single + 2 * a.double))) for k, a in schemes.items())
+    parts = max(C.partitions(docs.sparkSession), int(rows // RANGE_KEYS) + 1)
+    search = _Search(slim, nodes, words, t, hash_bits)
+    run = "part int, keys binary, node binary, lead binary, names binary"
+    met = C.stash(slim.select("__text").mapInArrow(_index(words, t, schemes, ends, parts, hash_bits), run).groupBy("part").applyInArrow(_meet, "key bigint, x bigint, lead bigint"), "met")
     # Each set against the leader that it meets most often, then against its others of other components.
-    near = C.stash(pairs.join(_named(shape, "x"), "x").join(_named(shape, "y"), "y").where(_close(t)).select("x", "y", "count"), "near")
-    nearest = near.groupBy("x").agg(F.max(F.struct("count", "y")).alias("best")).select("x", F.col("best.y").alias("y"))
-    linked = components(_links(nearest, sets, t))
-    other = _roots(_roots(near.select("x", "y"), "x", linked, "rx"), "y", linked, "ry").where("rx <> ry").select("x", "y")
-    linked = _joined(linked, _links(other, sets, t))
-    # Sets apart from their key's leader against the key's other sets of other components.
-    rooted = C.stash(_roots(_roots(met, "node", linked, "root"), "lead", linked, "lead_root").withColumn("apart", F.col("root") != F.col("lead_root")), "rooted")
-    apart = rooted.where("apart").select("key", F.col("node").alias("x"), F.col("root").alias("rx")).join(_named(shape, "x"), "x")
-    known = rooted.join(rooted.where("apart").select("key").distinct(), "key", "left_semi").select("key", F.col("node").alias("y"), F.col("root").alias("ry"), F.col("apart").alias("also")).join(_named(shape, "y"), "y")
-    cross = apart.join(known, "key").where("rx <> ry AND (NOT also OR x < y)").where(_close(t))
-    cross = cross.select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct()
-    linked = _joined(linked, _links(cross, sets, t))
+    pairs = met.groupBy(F.col("x").alias("d1_x"), F.col("lead").alias("d1_y")).count()
+    if not nodes.groupBy("d1").count().where("count > 1").isEmpty():
+        pairs = pairs.unionByName(nodes.select(F.col("d1").alias("d1_x"), F.col("d1").alias("d1_y"), F.lit(1).cast("bigint").alias("count")).distinct())
+    near = C.stash(pairs.join(search.side("x"), "d1_x").join(search.side("y"), "d1_y").where("node_x <> node_y").where(search.close()).select("node_x", "node_y", "d1_x", "d2_x", "d1_y", "d2_y", "count"), "near")
+    nearest = near.groupBy("node_x", "d1_x", "d2_x").agg(F.max(F.struct("count", "node_y", "d1_y", "d2_y")).alias("best")).select("node_x", "d1_x", "d2_x", "best.node_y", "best.d1_y", "best.d2_y")
+    found = search.links(nearest)
+    linked = components(found)
+    C.drop(found)
+    other = C.stash(_roots(_roots(near.drop("count"), "node_x", linked, "rx"), "node_y", linked, "ry").where("rx <> ry").select(near.drop("count").columns), "other")
+    if not other.isEmpty():
+        linked = _joined(linked, search.links(other))
+    C.drop(other, near)
+    # Keys whose sets are still in several components: these sets across components.
+    named = _roots(nodes.select("node", "d1"), "node", linked, "root").groupBy("d1").agg(F.min("root").alias("root"), F.max("root").alias("last"))
+    split = met.join(named.select(F.col("d1").alias("x"), F.col("root").alias("rx"), F.col("last").alias("lx")), "x").join(named.select(F.col("d1").alias("lead"), F.col("root").alias("ry"), F.col("last").alias("ly")), "lead").where("rx <> ry OR rx <> lx OR ry <> ly").select("key").distinct()
+    there = C.stash(met.join(split, "key", "left_semi").select("key", F.explode(F.array("x", "lead")).alias("d1")).distinct(), "there")
+    C.drop(met)
+    if not there.isEmpty():
+        sets = _roots(there.join(nodes.select("d1", "d2", "node", "n", *_SKETCHES), "d1"), "node", linked, "root")
+        side = lambda name: sets.select("key", *[F.col(c).alias(f"{c}_{name}") for c in ("d1", "d2", "node", "root", "n", *_SKETCHES)])
+        cross = side("x").join(side("y"), "key").where("node_x > node_y AND root_x <> root_y").where(search.close())
+        cross = C.stash(cross.select("node_x", "node_y", "d1_x", "d2_x", "d1_y", "d2_y").distinct(), "cross")
+        if not cross.isEmpty():
+            linked = _joined(linked, search.links(cross))
+        C.drop(cross)
+    C.drop(there)
     least = linked.join(nodes.select("node", "least"), "node").groupBy("root").agg(F.min("least").alias("component"))
     named = linked.join(least, "root").select("node", "component")
-    out = described.select("id", "n", "node").join(nodes.select("node", "least"), "node", "left").join(named, "node", "left")
-    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "least", "id").alias("component_id"))
+    of = nodes.select("d1", "d2", "least", "node").join(named, "node", "left").select("d1", "d2", F.coalesce("component", "least").alias("component"))
+    out = described.select("id", "n", "d1", "d2").join(of, ["d1", "d2"], "left")
+    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))

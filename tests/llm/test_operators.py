@@ -111,6 +111,10 @@ def test_filters_merge_without_loss(parts):
     assert dict(zip(merged.fingerprints().tolist(), merged.count.tolist(), strict=True)) == collections.Counter(x for p in parts for x in p)
 
 
+def thue_morse(n, letters):
+    return "".join(letters[bin(k).count("1") % 2] for k in range(n))
+
+
 def components_by_hand(rows, size, num, den):
     sets = []
     for t in rows:
@@ -133,8 +137,8 @@ def components_by_hand(rows, size, num, den):
     return {i: (len(sets[i]), find(i)) for i in range(len(rows))}
 
 
-@pytest.mark.parametrize(("seed", "size", "num", "den"), [(5, 3, 90, 100), (6, 5, 80, 100)])
-def test_jaccard(spark, seed, size, num, den):
+@pytest.mark.parametrize(("seed", "size", "num", "den", "bits"), [(5, 3, 90, 100, 64), (6, 5, 80, 100, 64), (7, 3, 90, 100, 8)])
+def test_jaccard(spark, seed, size, num, den, bits):
     rows = texts(seed)
     r = random.Random(seed)
     base = [f"v{r.randrange(999)}" for _ in range(150)]
@@ -143,10 +147,36 @@ def test_jaccard(spark, seed, size, num, den):
         for _ in range(r.randrange(5)):
             own[r.randrange(len(own))] = f"u{r.randrange(99)}"
         rows.append(" ".join(own))
-    got = {x.doc_id: (x.n_shingles, x.component_id) for x in jaccard.jaccard_components(frame(spark, rows), words=size, num=num, den=den).collect()}
+    rows += ["a b c a b", "b c a b c", thue_morse(2048, "ab"), thue_morse(2048, "ba")]  # equal sets of unequal sequences; words that polynomials confuse
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in jaccard.jaccard_components(frame(spark, rows), words=size, num=num, den=den, hash_bits=bits).collect()}
     assert got == components_by_hand(rows, size, num, den)
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.tuples(st.text("ab ", max_size=30), st.text("ab ", max_size=30)), min_size=1, max_size=4), st.sampled_from([1, 64]), st.sampled_from([1, 3, 5]))
+def test_compare_counts_common_shingles(pairs, bits, size):
+    def sets(t):
+        w = t.split()
+        return {tuple(w[k : k + size]) for k in range(len(w) - size + 1)}
+
+    common_, union = jaccard.compare([a.encode() for a, _ in pairs], [b.encode() for _, b in pairs], size, bits)
+    assert list(zip(common_, union, strict=True)) == [(len(sets(a) & sets(b)), len(sets(a) | sets(b))) for a, b in pairs]
+
+
+def test_a_cloud_apart_from_its_leader(spark):
+    """A third of all rows share most segments; the least of them links to none of the others, which link among themselves."""
+    r = random.Random(21)
+    base = [f"v{k}" for k in range(200)]
+    rows = [" ".join([*base[:150], *(f"z{k}" for k in range(50))])]
+    for k in range(60):
+        own = list(base)
+        own[r.randrange(200)] = f"u{k}"
+        rows.append(" ".join(own))
+    rows += [" ".join(f"o{k}x{j}" for j in range(60)) for k in range(120)]
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in jaccard.jaccard_components(frame(spark, rows)).collect()}
+    assert got == components_by_hand(rows, 3, 90, 100) and len({c for _, c in got.values()}) == 122
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.integers(20, 400), st.integers(0, 40), st.integers(0, 10**6), st.sampled_from([(90, 100), (80, 100)]))
 def test_linked_sets_share_a_signature(size, change, seed, sim):
@@ -356,6 +386,36 @@ def test_words_and_windows():
     assert common.windows(h, w.at, 2)[0].tolist() == [0, 2]
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.text("ab\u00e9 ", max_size=40), max_size=5), st.sampled_from([2, 64]))
+def test_word_numbers_are_exact(rows, bits):
+    w = common.Words(*common.buffers(pa.array(rows, pa.string())))
+    want = [x for t in rows for x in t.split()]
+    ids, n = w.ids(w.hashes(bits))
+    assert n == len(set(want)) and len(set(zip(ids.tolist(), want, strict=True))) == n == len(set(ids.tolist()))
+
+
+@pytest.mark.parametrize("size", [1, 2, 3, 5, 20])
+def test_windows_are_polynomials(size):
+    words_ = np.random.default_rng(size).integers(0, 2**63, 60).astype(np.uint64) * np.uint64(2)
+    at = np.array([0, 0, 25, 26, 60])
+    want = []
+    for a, b in zip(at[:-1], at[1:], strict=True):
+        for i in range(a, b - size + 1):
+            v = 0
+            for k in range(size):
+                v = (v * common.BASE + int(words_[i + k])) % common.PRIME
+            want.append((i, int(common.mix(np.array([v], np.uint64))[0])))
+    got = common.windows(words_, at, size)
+    assert list(zip(got[0].tolist(), got[1].tolist(), strict=True)) == want
+
+
+def test_long_words_differ():
+    rows = [thue_morse(n, x) for n in (512, 1024, 2048, 4096) for x in ("ab", "ba")]
+    w = common.Words(*common.buffers(pa.array(rows)))
+    assert len(set(w.hashes().tolist())) == len(rows)
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline as p
 
