@@ -3,8 +3,9 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and reread as the next
 stage's docs. All but the last return the columns of documents; each judges what its predecessor kept.
 
-Defined cases: rows with a null or letterless text go in the first stage; of rows that repeat an id the later stages
-treat each by itself, and drop all or none of equal ones; tables without rows give tables without rows.
+Defined cases: rows with a null or letterless text go in the first stage; rows are told apart by id and text, so of rows that
+repeat an id each is judged by itself, and of equal ones all stay or go together until substring dedup, which cuts the second; null
+ids come last; texts of any length are read whole; tables without rows give tables without rows; other columns are not carried.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm import common, exact_dedup, jaccard, language_id, packing, substring_dedup
-from corpusloom.llm.filters import without_ids
+from corpusloom.llm.filters import row_key, without_ids
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: A text whose best language scores less than this stands out in no language.
@@ -30,14 +31,16 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of texts equal without white space one stays: the longest, then the smallest id."""
-    return without_ids(docs.select(COLUMNS), exact_dedup.removed_ids(docs), "doc_id")
+    keyed = docs.select(*COLUMNS, row_key("doc_id", "text").alias("row"))
+    return without_ids(keyed, exact_dedup.removed_ids(keyed, id_col="row"), "row").select(COLUMNS)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of near copies the document with the smallest id stays."""
     num, den = SIMILARITY
-    near = jaccard.jaccard_components(docs, words=SHINGLE_WORDS, num=num, den=den)
-    return without_ids(docs.select(COLUMNS), near.where("doc_id <> component_id").select("doc_id"), "doc_id")
+    keyed = docs.select(*COLUMNS, row_key("doc_id", "text").alias("row"))
+    near = jaccard.jaccard_components(keyed, id_col="row", words=SHINGLE_WORDS, num=num, den=den)
+    return without_ids(keyed, near.where("doc_id <> component_id").select("doc_id"), "row").select(COLUMNS)
 
 
 def cut_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
