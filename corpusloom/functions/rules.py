@@ -9,6 +9,15 @@ from . import url as U
 
 # Hosts and brands that are never a business's own site.
 NOISE_BRANDS = "facebook instagram twitter x linkedin youtube tiktok pinterest reddit threads snapchat wikipedia wikivoyage quora wordpress blogspot blogger medium substack tumblr wix weebly squarespace google apple microsoft whatsapp telegram linktree tinyurl indeed glassdoor foodpanda grubhub ubereats deliveroo doordash".split()
+# Directories of many businesses by brand, with how far they are trusted.
+DIRECTORIES = {
+    "high": ("marinas", "navily", "harbourmaps"),
+    "medium": (
+        "yellowpages", "yelp", "tripadvisor", "clutch", "foursquare", "mapquest", "manta", "hotfrog", "bbb", "crunchbase", "trustpilot", "justdial", "healthgrades", "zocdoc", "opencare",
+        "citysearch", "opentable", "zomato", "thefork", "resy", "squaremeal", "restaurantguru", "sirved", "menupix", "wanderlog", "allmenus", "timeout", "eater",
+    ),
+    "low": ("cylex", "brownbook", "n49", "cybo", "citypass", "sulekha", "sitejabber", "vitals", "ratemds", "hotels"),
+}
 NOISE_HOSTS = "wa.me t.me bit.ly linktr.ee apps.apple.com itunes.apple.com play.google.com m.me api.whatsapp.com goo.gl maps.app.goo.gl".split()
 NOISE_PATHS = "/news/ /press/ /press-release/ /press-releases/ /forum/ /forums/ /thread/ /threads/ /wiki/ .pdf".split()
 LISTICLE_PATHS = "/blog /article /articles /guide /guides /region/ /browse/ /explore /category/ /list /directory /directories".split()
@@ -49,7 +58,7 @@ def brand(url: Column) -> Column:
     return F.split(U.registered_domain(url), r"\.")[0]
 
 
-def classify_result(url: Column, title: Column, directories: list[str] = ("yelp", "tripadvisor", "yellowpages")) -> Column:
+def classify_result(url: Column, title: Column, directories: dict[str, tuple] = DIRECTORIES) -> Column:
     """official, discovery_source or noise: no host, noise host, noise brand, known directory, noise path, listicle."""
     h, p = U.host(url), F.lower(U.path(url))
     noise_host = h.isin(*NOISE_HOSTS)
@@ -57,13 +66,50 @@ def classify_result(url: Column, title: Column, directories: list[str] = ("yelp"
         noise_host = noise_host | h.endswith("." + d)
     return (
         F.when((h == "") | noise_host | brand(url).isin(*NOISE_BRANDS), "noise")
-        .when(brand(url).isin(*directories), "discovery_source")
+        .when(brand(url).isin(*[b for some in directories.values() for b in some]), "discovery_source")
         .when(_any_in(p, NOISE_PATHS), "noise")
         .when(_any_in(p, LISTICLE_PATHS) | F.coalesce(title, F.lit("")).rlike(LISTICLE_TITLE), "discovery_source")
         .otherwise("official")
     )
 
 
+def source_confidence(url: Column, directories: dict[str, tuple] = DIRECTORIES) -> Column:
+    """high, medium or low for a known directory, low for other discovery sources; null for what is none."""
+    out = F.when(classify_result(url, F.lit(""), directories) != "discovery_source", F.lit(None).cast("string"))
+    for level, brands in directories.items():
+        out = out.when(brand(url).isin(*brands), level)
+    return out.otherwise("low")
+
+
+# Path segments of pages that name contacts, in several languages.
+CONTACT_HINTS = (
+    "contact", "contact-us", "contactus", "reach-us", "get-in-touch", "about", "about-us", "aboutus", "team", "staff", "people", "hello", "connect", "enquiry", "enquiries", "imprint", "legal",
+    "impressum", "kontakt", "ueber-uns", "uber-uns", "contactez-nous", "nous-contacter", "mentions-legales", "a-propos", "contatti", "chi-siamo", "contacto", "contactanos", "contato",
+    "quienes-somos", "sobre-nosotros",
+)
+
+
+def contact_priority(url: Column) -> Column:
+    """0 for contact pages, 1 for pages with such a word in their path, 2 for others: the order in which to visit."""
+    path = F.regexp_replace(F.lower(U.path(url)), "^/+|/+$", "")
+    last = F.element_at(F.split(path, "/"), -1)
+    return F.when(last.isin(*CONTACT_HINTS) | path.isin(*CONTACT_HINTS), 0).when(_any_in(path, CONTACT_HINTS), 1).otherwise(2)
+
+
+# What cookie panels say.
+CONSENT = (
+    "necessary cookies", "functional cookies", "analytical cookies", "advertisement cookies", "performance cookies", "targeting cookies", "strictly necessary cookies", "accept all cookies", "reject all",
+    "manage cookie preferences", "cookie preference", "consent preference", "cookie policy", "cookie settings", "collecting feedback, and enabling third-party tools", "track visitor interactions",
+    "personalized ads based on your previous visits",
+)
+
+
+def without_consent(text: Column) -> Column:
+    """A text without the lines of cookie panels; the word cookie alone is no reason."""
+    heading = r"(?i)^(necessary|functional|analytical|advertisement|performance|targeting|marketing|strictly necessary)\s+cookies$"
+    return F.array_join(F.filter(F.split(F.coalesce(text, F.lit("")), r"\r\n|\n|\r"), lambda x: ~F.trim(x).rlike(heading) & ~_any_in(F.lower(x), CONSENT)), "\n")
+
+
 def page_type(url: Column) -> Column:
     """Class of a page by its path; a page below a blog's index is a blog post."""
     tokens = U.path_tokens(url)

@@ -29,6 +29,12 @@ def csv_safe(s: Column) -> Column:
     return F.when(F.substring(s, 1, 1).isin("=", "+", "-", "@", "\t", "\r"), F.concat(F.lit("'"), s)).otherwise(s)
 
 
+def shorten(s: Column, width: int = 600) -> Column:
+    """White space collapsed, cut to `width` characters with an ellipsis if it is longer."""
+    flat = clean(s)
+    return F.when(F.length(flat) > width, F.concat(F.rtrim(F.left(flat, F.lit(width - 1))), F.lit("…"))).otherwise(flat)
+
+
 def words(s: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(s, F.lit(""))), F.lit("([a-z0-9]+)"), F.lit(1))
 

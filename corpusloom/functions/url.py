@@ -71,3 +71,13 @@ def path_tokens(url: Column) -> Column:
 
 def depth(url: Column) -> Column:
     return F.greatest(F.size(segments(url)) - 1, F.lit(0))
+
+
+def without_dots(path: Column) -> Column:
+    """A path (with what follows it) whose . and .. segments are worked out."""
+    bare, rest = F.regexp_extract(path, "^([^?#]*)", 1), F.regexp_extract(path, "^[^?#]*(.*)$", 1)
+    parts = F.split(bare, "/")
+    step = lambda acc, x: F.when(x == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(1)))).when(x == ".", acc).otherwise(F.concat(acc, F.array(x)))
+    done = F.array_join(F.aggregate(F.slice(parts, 2, F.size(parts)), F.array(F.lit("")), step), "/")
+    closed = F.when(bare.rlike("/[.]{1,2}$"), F.concat(done, F.lit("/"))).otherwise(done)
+    return F.when(F.contains(bare, F.lit("/.")), F.concat(closed, rest)).otherwise(path)

@@ -33,6 +33,99 @@ def addresses(docs: DataFrame, ident: str, text: str) -> DataFrame:
     return docs.select(ident, F.explode(found).alias("address"))
 
 
+def decode_entities(s: Column) -> Column:
+    """The sign and the dot written as character references. Other references stay: only these two hide an address."""
+    at = F.regexp_replace(F.coalesce(s, F.lit("")), r"(?i)&(#0*64|#x0*40|commat);", "@")
+    return F.regexp_replace(at, r"(?i)&(#0*46|#x0*2e|period);", ".")
+
+
+def decode_base64(code: Column) -> Column:
+    """The text of a base64 string, without padding or with it, if it contains an address; else null."""
+    bare = F.regexp_replace(code, "=+$", "")
+    padded = F.rpad(bare, (F.ceil(F.length(bare) / 4) * 4).cast("int"), F.lit("="))
+    text = F.try_to_binary(F.when(bare.rlike("^[A-Za-z0-9+/]{6,}$") & (F.length(bare) % 4 != 1), padded), F.lit("base64"))
+    return F.when(F.decode(text, "UTF-8").rlike(EMAIL), F.trim(F.decode(text, "UTF-8")))
+
+
+def _matches(html: Column, pattern: str, group: int = 1) -> Column:
+    return F.regexp_extract_all(html, F.lit(pattern), F.lit(group))
+
+
+def collected(pages: DataFrame, ident: str, html: str) -> DataFrame:
+    """(ident, address, source, base): addresses of raw pages by the collector that is least likely wrong, once each. Each collector runs
+    on pages that have its mark only."""
+    h = F.coalesce(F.col(html), F.lit(""))
+    gate = lambda mark, found: F.when(h.rlike(mark), found)
+    emails = lambda s: F.transform(_matches(s, EMAIL), lambda x: F.lower(x))
+    of_all = lambda parts: F.flatten(F.transform(parts, lambda x: emails(decode_entities(x))))
+    bare = F.regexp_replace(F.regexp_replace(h, r"(?is)<(script|style)[^>]*>.*?</(script|style)>", " "), r"<[^>]*>", " ")
+    tiers = (
+        ("xor", 100, gate("data-cfemail", F.flatten(F.transform(_matches(h, "data-cfemail=[\"']([0-9a-fA-F]+)"), lambda x: emails(F.coalesce(decode_xor(x), F.lit(""))))))),
+        ("mailto", 95, gate("(?i)mailto:", of_all(_matches(h, "(?i)href=[\"']mailto:([^\"'?]+)")))),
+        ("jsonld", 90, gate("ld\\+json", of_all(_matches(h, r"(?is)<script[^>]*ld\+json[^>]*>(.*?)</script>")))),
+        ("meta", 85, gate("(?i)<meta", of_all(_matches(h, "(?i)<meta[^>]*content=[\"']([^\"']*@[^\"']*)")))),
+        ("attribute", 75, gate("=[\"'][^\"'<>]*(@|&#)", of_all(_matches(h, "=[\"']([^\"'<>]*(?:@|&#0*64;|&#x0*40;|&commat;)[^\"'<>]*)[\"']")))),
+        ("text", 70, gate("@|&#|&commat", emails(decode_entities(bare)))),
+        ("obfuscated", 60, gate(r"(?i)[\[(] ?at ?[\])]|＠", emails(deobfuscate(bare)))),
+        ("raw", 40, gate("@", emails(decode_entities(h)))),
+        ("base64", 30, gate("(?i)email", F.flatten(F.transform(_matches(h, "(?i)email[^A-Za-z0-9+/]{1,20}([A-Za-z0-9+/]{16,}={0,2})"), lambda x: emails(F.coalesce(decode_base64(x), F.lit(""))))))),
+    )
+    each = F.concat(*[F.transform(F.coalesce(found, F.array().cast("array<string>")), lambda x: F.struct(x.alias("address"), F.lit(k).alias("source"), F.lit(base).alias("base"))) for k, base, found in tiers])  # noqa: B023
+    best = pages.select(ident, F.inline(each)).groupBy(ident, "address").agg(F.max_by("source", "base").alias("source"), F.max("base").alias("base"))
+    return best
+
+
+# Parts of addresses that nobody reads or that are no addresses.
+JUNK_PARTS = ("example.", "yourdomain", "domain.com", "email@", "sentry", "wixpress", ".png", ".jpg", ".jpeg", ".gif", ".svg", ".webp", "@2x", "u003e", "name@", "noreply@", "no-reply@", "donotreply@")
+
+
+def is_valid_strict(address: Column) -> Column:
+    """The validator of the cleaning stage: no junk part, a name that is more than dots, a domain with letters after its last dot."""
+    low = F.lower(F.coalesce(address, F.lit("")))
+    junk = F.lit(False)
+    for part in JUNK_PARTS:
+        junk = junk | F.contains(low, F.lit(part))
+    return ~junk & low.rlike(r"^[^@]*[^@.][^@]*@[^@]+\.[^\W\d_]{2,}$") & ~F.contains(low, F.lit(".."))
+
+
+def with_real_suffix(found: DataFrame, domain: str, suffixes: DataFrame) -> DataFrame:
+    """Rows whose domain is more than a public suffix: a semi join of its endings with a table (suffix), which the caller loads from
+    the public list."""
+    labels = F.split(F.lower(domain), r"\.")
+    ends = F.transform(F.sequence(F.lit(2), F.greatest(F.size(labels), F.lit(2))), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    return found.withColumn("__id", F.monotonically_increasing_id()).withColumn("suffix", F.explode(ends)).join(suffixes.select("suffix"), "suffix", "left_semi").drop("suffix").dropDuplicates(["__id"]).drop("__id")
+
+
+# Lengths of national numbers with their country codes; the full tables of numbering plans are not at hand.
+DIAL = (("US", "1", 10, 10), ("CA", "1", 10, 10), ("GB", "44", 9, 10), ("DE", "49", 6, 11), ("FR", "33", 9, 9), ("ES", "34", 9, 9), ("IT", "39", 6, 11), ("AE", "971", 8, 9), ("IN", "91", 10, 10), ("PK", "92", 9, 10), ("AU", "61", 9, 9))
+
+
+def format_phone(raw: Column, country: Column) -> Column:
+    """A number with a plus as plus and digits, 8 to 15 of them; a local one with the country's code if its length fits there;
+    other digit runs are empty, other texts with a plus stay as they are. Only shapes are tested, not numbering plans."""
+    text = F.trim(F.coalesce(raw, F.lit("")))
+    digits = F.regexp_replace(text, "[^0-9]", "")
+    out = F.when(text.startswith("+") & F.length(digits).between(8, 15), F.concat(F.lit("+"), digits))
+    national = F.regexp_replace(digits, "^0+", "")
+    for code, dial, least, most in DIAL:
+        out = out.when((F.upper(F.coalesce(country, F.lit(""))) == code) & F.length(national).between(least, most) & ~text.startswith("+"), F.concat(F.lit("+" + dial), national))
+    return out.when(text.startswith("+"), text).otherwise("")
+
+
+STREET = r"(?i)(\d{1,6}\s+[A-Za-z0-9.\-'#, ]{2,45}?\b(?:street|st|avenue|ave|boulevard|blvd|road|rd|drive|dr|lane|ln|way|place|pl|court|ct|square|sq|plaza|parkway|pkwy|highway|hwy|terrace|suite|ste|floor|fl|unit)\b\.?[A-Za-z0-9.,\-#/'’ ]{0,70})"
+ZIP = r"\b\d{5}(?:-\d{4})?\b|\b[A-Z]{1,2}\d[A-Z\d]?\s*\d[A-Z]{2}\b"
+
+
+def address_of(text: Column) -> Column:
+    """A street address in a text: the first with a postal code, else the first; cut after its last code; empty outside 8 to 120 characters."""
+    trim = lambda s: F.regexp_replace(s, r"^[ .,\-]+|[ .,\-]+$", "")
+    found = F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(STREET), F.lit(1)), trim)
+    best = F.coalesce(F.get(F.filter(found, lambda x: x.rlike(ZIP)), 0), F.get(found, 0), F.lit(""))
+    flat = F.regexp_replace(best, r"\s+", " ")
+    cut = F.when(flat.rlike(ZIP), trim(F.regexp_extract(flat, rf"(?s)^(.*(?:{ZIP}))", 1))).otherwise(flat)
+    return F.when(F.length(cut).between(8, 120), cut).otherwise("")
+
+
 def is_valid(address: Column) -> Column:
     local, domain = F.split(address, "@")[0], F.element_at(F.split(address, "@"), -1)
     odd = F.contains(local, F.lit("..")) | local.startswith(".") | local.endswith(".") | F.contains(domain, F.lit(".."))

@@ -39,18 +39,28 @@ def crawl_rows(pages: DataFrame) -> DataFrame:
     )
 
 
-def reject_reason(url: Column, title: Column, relevance: Column, length: Column, contact: Column) -> Column:
-    """First reason that applies, null if none."""
+def reject_reason(url: Column, title: Column, relevance: Column, length: Column, contact: Column, industry: tuple[Column, str] | None = None, place: tuple[Column, str] | None = None) -> Column:
+    """First reason that applies, null if none. `industry` and `place` are what a row was validated for and what is asked for now;
+    a row that was validated for nothing, or a request without them, gives no such reason."""
     low = F.lower(F.trim(F.coalesce(relevance, F.lit(""))))
     return (
         F.when(U.host(url) == "", "no_website")
         .when(R.classify_result(url, F.lit("")) != "official", "aggregator_domain")
         .when(R.is_utility(url), "utility_domain")
         .when((low != "") & (low != "match"), F.concat(F.lit("failed_relevance:"), low))
+        .when(_other(industry), "validated_for_different_industry")
+        .when(_other(place), "validated_for_different_location")
         .when((F.coalesce(length, F.lit(0)) == 0) & ~contact, "empty_no_contact")
     )
 
 
+def _other(pair: tuple[Column, str] | None) -> Column:
+    if pair is None or not pair[1].strip():
+        return F.lit(False)
+    have = F.lower(F.trim(F.coalesce(pair[0], F.lit(""))))
+    return (F.coalesce(pair[0], F.lit("")) != "") & (have != pair[1].strip().lower())
+
+
 def dedupe_pages(rows: DataFrame, keys: list[str], richness: Column) -> DataFrame:
     """The richest row of each key; the first of equal ones."""
     w = Window.partitionBy(*keys).orderBy(richness.desc(), F.col("ord").asc())

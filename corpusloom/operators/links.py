@@ -13,14 +13,22 @@ from ..functions import url as U
 GENERIC = "read more,learn more,click here,here,more,home,next,previous,back,menu".split(",")
 
 
+LINK = r"""(?i)<a\b[^>]*?\bhref\s*=\s*(?:"([^"]*)"|'([^']*)')[^>]*>[^<]*"""
+
+
 def edges(pages: DataFrame) -> DataFrame:
-    """(page_id, domain, src, pos, dst, anchor) of every double-quoted link; targets that begin with a slash are put on the
-    page's host, absolute ones are taken as they are. One generator, no shuffle."""
-    found = F.regexp_extract_all("html", F.lit(r'(<a href="[^"]*"[^>]*>[^<]*)'), F.lit(1))
+    """(page_id, domain, src, pos, dst, anchor) of every quoted link. Targets that begin with two slashes get the page's scheme, those
+    that begin with one its host, relative ones its folder too; absolute ones are taken as they are; other schemes and places within
+    the page are no links. One generator, no shuffle, no Python."""
+    found = F.regexp_extract_all("html", F.lit(LINK), F.lit(0))
     raw = pages.select("page_id", "url", F.posexplode(found).alias("pos", "a"))
-    href, anchor = F.regexp_extract("a", r'^<a href="([^"]*)"', 1), T.clean(F.regexp_extract("a", r">([^<]*)$", 1))
+    href, anchor = F.trim(F.coalesce(F.nullif(F.regexp_extract("a", LINK, 1), F.lit("")), F.regexp_extract("a", LINK, 2))), T.clean(F.regexp_extract("a", r">([^<]*)$", 1))
     base = F.concat(U.scheme(F.col("url")), F.lit("://"), U.host(F.col("url")))
-    dst = F.when(href.startswith("/"), F.concat(base, href)).when(href.rlike("^https?://"), href)
+    folder = F.concat(F.lit("/"), F.regexp_extract(U.path(F.col("url")), "^/*(.*/)?[^/]*$", 1))
+    dst = (
+        F.when(href.rlike("^(?i)https?://"), href).when(href.startswith("//"), F.concat(U.scheme(F.col("url")), F.lit(":"), href)).when(href.startswith("/"), F.concat(base, U.without_dots(href)))
+        .when(href.rlike("^[A-Za-z][A-Za-z0-9+.-]*:") | href.rlike("^(#|$)"), F.lit(None)).when(href.startswith("?"), F.concat(base, U.path(F.col("url")), href)).otherwise(F.concat(base, U.without_dots(F.concat(folder, href))))
+    )
     return raw.select("page_id", U.host(F.col("url")).alias("domain"), U.normalize(F.col("url")).alias("src"), "pos", U.normalize(dst).alias("dst"), anchor.alias("anchor")).where("dst <> '://'")
 
 
@@ -49,8 +57,8 @@ def route_plan(pages: DataFrame, degree: DataFrame, most: int = 8) -> DataFrame:
     """The best pages of each site: tier, links from elsewhere (up to 10) and length relative to the site's longest page."""
     kind = R.page_type(F.col("url"))
     rows = pages.select("page_id", U.host(F.col("url")).alias("domain"), U.normalize(F.col("url")).alias("page"), R.tier(F.col("url"), kind).alias("tier"), F.size(F.split(T.visible(F.col("html")), " ")).alias("n_words"))
-    longest = Window.partitionBy("domain")
-    rows = rows.withColumn("longest", F.max("n_words").over(longest)).where("tier IS NOT NULL")
+    longest = rows.groupBy("domain").agg(F.max("n_words").alias("longest"))
+    rows = rows.where("tier IS NOT NULL").join(longest, "domain")
     joined = rows.join(degree.select("domain", F.col("dst").alias("page"), "in_degree"), ["domain", "page"], "left")
     base = F.create_map(*[x for k, v in R.TIER_SCORES.items() for x in (F.lit(k), F.lit(v))])[F.col("tier")]
     score = base + F.least(F.coalesce("in_degree", F.lit(0)), F.lit(10)) + F.bround(8.0 * F.col("n_words") / F.greatest("longest", F.lit(1))).cast("int")
@@ -68,7 +76,8 @@ def without_boilerplate(docs: DataFrame, group: str, ident: str, text: str, leas
     """Texts without the lines that boilerplate_lines names; blank lines stay."""
     lines = docs.select(group, ident, F.posexplode(F.split(text, "\n")).alias("pos", "raw")).withColumn("line", T.clean(F.col("raw")))
     bad = boilerplate_lines(docs, group, ident, text, least).select(group, "line")
-    kept = lines.join(bad, [group, "line"], "left_anti")
+    blank = F.col("line") == ""  # blank lines are never bad, and would be one hot key
+    kept = lines.where(~blank).join(bad, [group, "line"], "left_anti").unionByName(lines.where(blank).select(group, "line", ident, "pos", "raw"))
     joined = kept.groupBy(group, ident).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "raw"))), lambda x: x["raw"]), "\n").alias("kept"))
     return docs.select(group, ident).join(joined, [group, ident], "left").withColumn("kept", F.coalesce("kept", F.lit("")))
 
@@ -78,3 +87,50 @@ def consecutive_lines(docs: DataFrame, ident: str, text: str) -> DataFrame:
     lines = F.filter(F.transform(F.split(text, "\n"), T.clean), lambda x: x != "")
     one = docs.select(ident, F.inline(F.array(F.struct(lines.alias("lines")))))
     return one.select(ident, F.filter("lines", lambda x, i: (i == 0) | (F.get("lines", i - 1) != x)).alias("lines"))
+
+
+def language_alternates(pages: DataFrame, ident: str, url: str, html: str) -> DataFrame:
+    """(ident, code, href) of the language variants that a page declares, without x-default; of several of one code the last."""
+    tags = F.regexp_extract_all(F.coalesce(F.col(html), F.lit("")), F.lit(r"(?i)<link\b[^>]*>"), F.lit(0))
+    attr = lambda name: F.regexp_extract("tag", rf"(?i)\b{name}\s*=\s*[\"']([^\"']*)[\"']", 1)
+    rows = pages.select(ident, url, F.posexplode(tags).alias("pos", "tag")).select(ident, url, "pos", attr("rel").alias("rel"), F.lower(F.trim(attr("hreflang"))).alias("code"), F.trim(attr("href")).alias("href"))
+    good = rows.where(F.contains(F.lower("rel"), F.lit("alternate")) & (F.col("code") != "") & (F.col("code") != "x-default") & (F.col("href") != ""))
+    base = F.concat(U.scheme(F.col(url)), F.lit("://"), U.netloc(F.col(url)))
+    full = F.when(F.col("href").startswith("/"), F.concat(base, F.col("href"))).otherwise(F.col("href"))
+    return good.groupBy(ident, "code").agg(F.max_by(full, "pos").alias("href"))
+
+
+def without_other_languages(urls: DataFrame, url: str, alternates: DataFrame, site: str) -> DataFrame:
+    """urls (with their `site`) without those below the first path segment of one of the site's own variants that is not English.
+    The first segment decides, so the prefix test is an anti join on it."""
+    own = (F.split("code", "-")[0] != "en") & (U.registered_domain(F.col("href")) == F.col(site)) & (F.size(U.segments(F.col("href"))) > 0)
+    bad = alternates.where(own).select(F.col(site), U.segments(F.col("href"))[0].alias("__first")).distinct()
+    return urls.withColumn("__first", F.get(U.segments(F.col(url)), 0)).join(bad, [site, "__first"], "left_anti").drop("__first")
+
+
+def previews(candidates: DataFrame, contexts: DataFrame, texts: DataFrame, key: str, width: int = 600) -> DataFrame:
+    """(key, preview): the page's context, else the beginning of its text (the preview's width is its feature), else nothing."""
+    both = candidates.select(key).distinct().join(contexts.select(key, "context"), key, "left").join(texts.select(key, "text"), key, "left")
+    return both.select(key, F.coalesce(F.nullif("context", F.lit("")), T.shorten(F.col("text"), width), F.lit("")).alias("preview"))
+
+
+def navigation(pages: DataFrame, found: DataFrame) -> DataFrame:
+    """Rows of pages and rows of patterns as one list of JSON objects; the usual place of a link (body) is left out."""
+    rows = pages.select(F.lit("page").alias("kind"), F.col("url").alias("target"), "anchor", F.nullif("section", F.lit("body")).alias("section")).unionByName(found.select(F.lit("pattern").alias("kind"), F.col("pattern").alias("target"), "n"), allowMissingColumns=True)
+    return rows.select("target", F.to_json(F.struct("kind", "target", "anchor", "section", "n")).alias("entry"))
+
+
+def crawl(start: DataFrame, edges: DataFrame, depth: int = 50, pages: int = 40, checkpoint=None) -> DataFrame:
+    """(site, url, depth) of the pages that a breadth-first visit of known links reaches: at most `pages` for each site, in order of
+    depth and of address. Each round joins the frontier to the links; `checkpoint` (a table writer) cuts its lineage."""
+    keep = checkpoint or (lambda df: df)
+    seen = front = keep(start.select("site", "url").distinct().withColumn("depth", F.lit(0)))
+    for k in range(1, depth + 1):
+        room = seen.groupBy("site").agg(F.count(F.lit(1)).alias("__n"))
+        next_ = front.join(edges.select("site", F.col("src").alias("url"), "dst"), ["site", "url"]).select("site", F.col("dst").alias("url")).distinct().join(seen, ["site", "url"], "left_anti")
+        ranked = next_.withColumn("__r", F.row_number().over(Window.partitionBy("site").orderBy("url"))).join(room, "site").where(F.col("__r") + F.col("__n") <= pages)
+        front = keep(ranked.select("site", "url", F.lit(k).alias("depth")))
+        if front.isEmpty():
+            break
+        seen = keep(seen.unionByName(front))
+    return seen

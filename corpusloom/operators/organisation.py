@@ -39,15 +39,15 @@ OWNERSHIP = (
 
 
 def detections(pages: DataFrame, ident: str, html: str) -> DataFrame:
-    """(ident, category, technology, confidence) of each rule that matches; the text is lowered once for each row."""
+    """(ident, category, technology, confidence, ord) of each rule that matches; the text is lowered once for each row."""
     low = F.lower(F.coalesce(html, F.lit("")))
-    hits = F.array_compact(F.array(*[F.when(F.col("low").rlike(p), F.struct(F.lit(c).alias("category"), F.lit(n).alias("technology"), F.lit(k).alias("confidence"))) for c, n, p, k in TECH_RULES]))
+    hits = F.array_compact(F.array(*[F.when(F.col("low").rlike(p), F.struct(F.lit(c).alias("category"), F.lit(n).alias("technology"), F.lit(k).alias("confidence"), F.lit(i).alias("ord"))) for i, (c, n, p, k) in enumerate(TECH_RULES)]))
     return pages.select(ident, F.inline(F.array(F.struct(low.alias("low"))))).select(ident, F.inline(hits))
 
 
 def capabilities(found: DataFrame, group: str) -> DataFrame:
-    """The surest technology of each category and group; the first name of equals."""
-    best = F.max_by("technology", F.struct("confidence", -F.col("ord"))) if "ord" in found.columns else F.min("technology")
+    """The surest technology of each category and group; the first rule of equals."""
+    best = F.max_by("technology", F.struct("confidence", -F.col("ord")))
     return found.groupBy(group, "category").agg(F.max("confidence").alias("confidence"), best.alias("technology"))
 
 
@@ -57,6 +57,37 @@ def absence_signals(groups: DataFrame, caps: DataFrame, group: str) -> DataFrame
     return wanted.join(caps.select(group, "category"), [group, "category"], "left_anti").select(group, "signal", "confidence")
 
 
+# Front ends and hosts of a modern stack, and what it makes moot.
+MODERN_FRONT, MODERN_HOSTS = ("React", "Next.js", "Vue.js", "Nuxt.js"), ("Cloudflare", "Vercel", "Netlify")
+SUPPRESSED = ("legacy_wordpress", "outdated_version")
+
+
+def sales_signals(profiles: DataFrame, group: str) -> DataFrame:
+    """(group, signal, confidence, evidence) of profiles: technologies (array of category and name), capabilities (array of names
+    that are detected), versions (array of texts), error (boolean). A modern stack suppresses the signals of an old one; a profile
+    with an error has no signal of absence. Absences are never called findings."""
+    names = lambda c: F.transform(F.filter("technologies", lambda t: t["category"] == c), lambda t: t["name"])
+    some = lambda c, of: F.arrays_overlap(names(c), F.array(*[F.lit(x) for x in of]))
+    lacks = lambda c: ~F.coalesce(F.col("error"), F.lit(False)) & ~F.array_contains("capabilities", c)
+    modern = some("frontend", MODERN_FRONT) & some("hosting", MODERN_HOSTS) & (F.size(names("crm")) > 0)
+    old = F.exists("versions", lambda v: F.when(v.rlike("^[0-9]{1,9}([.]|$)"), F.split(v, r"\.")[0].cast("int")) <= 5)
+    rules = (
+        ("modern_stack", modern, F.lit(0.8), "positively_detected"), ("no_crm", lacks("crm"), F.lit(0.82), "not_publicly_detected"), ("no_analytics", lacks("analytics"), F.lit(0.75), "not_publicly_detected"),
+        ("no_customer_portal", lacks("customer_portal"), F.lit(0.65), "not_publicly_detected"), ("no_login", lacks("login_system"), F.lit(0.6), "not_publicly_detected"),
+        ("legacy_wordpress", F.array_contains(names("cms"), "WordPress"), F.when(F.size(names("frontend")) == 0, 0.91).otherwise(0.6), "positively_detected"), ("outdated_version", F.coalesce(old, F.lit(False)), F.lit(0.7), "positively_detected"),
+    )
+    hits = F.array_compact(F.array(*[F.when(when & ~modern if name in SUPPRESSED else when, F.struct(F.lit(name).alias("signal"), k.alias("confidence"), F.lit(e).alias("evidence"))) for name, when, k, e in rules]))
+    return profiles.select(group, F.inline(hits))
+
+
+def cookies(headers: Column) -> Column:
+    """Names and values of Set-Cookie headers (an array); malformed ones are left out, a later one of a name wins."""
+    first = F.transform(headers, lambda h: F.trim(F.split(h, ";")[0]))
+    good = F.filter(first, lambda x: x.rlike("^[^=\\s,;]+=[^\\s,;]*$"))
+    pairs = F.transform(good, lambda x: F.struct(F.substring_index(x, "=", 1).alias("k"), F.regexp_replace(F.regexp_extract(x, "^[^=]+=(.*)$", 1), '^"|"$', "").alias("v")))
+    return F.map_from_entries(F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda q: q["k"] == p["k"])))
+
+
 def department(role: Column) -> Column:
     low = F.lower(F.coalesce(role, F.lit("")))
     out = F.when(F.lit(False), F.lit(None).cast("string"))

@@ -117,6 +117,18 @@ def _series(html: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([read_page(x) for x in html], columns=[f.split(":")[0] for f in ("title", "description", "canonical", "og_title", "lang", "h1", "h2s", "lines", "links", "n_words", "organisation", "people")])
 
 
+def parsed(html: pd.Series) -> pd.DataFrame:
+    """Like _series, for pages of any kind: one that breaks the parser has empty parts."""
+
+    def one(x):
+        try:
+            return read_page(x)
+        except Exception:  # a broken page must not end a stream
+            return read_page("")
+
+    return pd.DataFrame([one(x) for x in html], columns=[f.split(":")[0] for f in ("title", "description", "canonical", "og_title", "lang", "h1", "h2s", "lines", "links", "n_words", "organisation", "people")])
+
+
 def structure(pages: DataFrame, ident: str, html: str) -> DataFrame:
     """(ident, page): the parsed page as a struct; null or empty HTML has empty parts."""
     return pages.select(ident, F.pandas_udf(_series, SCHEMA)(F.col(html)).alias("page"))

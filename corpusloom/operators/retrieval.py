@@ -69,8 +69,8 @@ def dot(a: Column, b: Column) -> Column:
 def nearest(vectors: DataFrame, query: list[float], k: int, where: Column | None = None) -> DataFrame:
     """The k vectors with the greatest dot product with the query (cosine on unit vectors); the question is a literal."""
     rows = vectors if where is None else vectors.where(where)
-    sim = F.round(dot(F.col("embedding"), F.array(*[F.lit(float(x)) for x in query])), 5)
-    return rows.select("vec_id", sim.alias("similarity")).orderBy(F.desc("similarity"), "vec_id").limit(k)
+    best = rows.select("vec_id", dot(F.col("embedding"), F.array(*[F.lit(float(x)) for x in query])).alias("raw")).orderBy(F.desc("raw"), "vec_id").limit(k)
+    return best.select("vec_id", F.round("raw", 5).alias("similarity"))
 
 
 def strengths(docs: DataFrame, ident: str, text: str, words: list[str]) -> DataFrame:
@@ -117,28 +117,16 @@ def question_words(question: str) -> list[str]:
 
 
 def hash_vector(text: Column, dim: int = 32) -> Column:
-    """A deterministic stand-in for a sentence model: signed feature hashing of words, unit length."""
-    counts = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.aggregate(T.words(text), F.lit(0.0), lambda a, w: a + F.when(F.pmod(F.xxhash64(w), F.lit(dim)) == i, F.when(F.pmod(F.xxhash64(w, F.lit(1)), F.lit(2)) == 0, 1.0).otherwise(-1.0)).otherwise(0.0)))
-    return counts
-
-
-def hybrid(docs: DataFrame, ident: str, text: str, question: str, k: int = 10) -> DataFrame:
-    """Texts by keyword bonus: noisy-or of word weights, damped where the text's polarity is opposite to the question's.
-    Document frequencies come first; their few weights go back into the plan as literals."""
-    words = question_words(question)
-    found = strengths(docs, ident, text, words)
-    n = docs.count()
-    weights = {r["word"]: r["weight"] for r in word_weights(found, n, words).collect()}
-    asked = {w: negated_literal(question, w) for w in words}
-    parts = found.join(docs.select(ident, text), ident)
-    opposite = F.lit(False)
-    weight = F.lit(0.0)
-    for w in words:
-        opposite = F.when(F.col("word") == w, F.coalesce(T.negated(F.col(text), w), F.lit(asked[w])) != F.lit(asked[w])).otherwise(opposite)
-        weight = F.when(F.col("word") == w, F.lit(float(weights[w]))).otherwise(weight)
-    scored = parts.select(ident, "word", (F.col("strength") * weight * F.when(opposite, MISMATCH).otherwise(1.0)).alias("w"), opposite.alias("opposite"))
-    bonus = scored.groupBy(ident).agg((BOOST * noisy_or(F.array_sort(F.collect_list("w")))).alias("score"), F.max(F.col("opposite").cast("int")).alias("opposite"), F.count(F.lit(1)).alias("n_words"))
-    return bonus.select(ident, F.round("score", 6).alias("score"), "opposite", "n_words").orderBy(F.desc("score"), ident).limit(k)
+    """A deterministic stand-in for a sentence model: signed feature hashing of words, unit length; zeros without words. Each text is
+    split and hashed once."""
+    words = T.words(text)
+    place = F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(2 * dim)).cast("int"))
+    spots = F.array_distinct(F.transform(place, lambda p: F.pmod(p, F.lit(dim))))
+    pack = F.transform(F.array(F.struct(place.alias("p"), spots.alias("s"))), lambda x: F.transform(F.array_sort(x["s"]), lambda s: F.struct(s.alias("at"), F.aggregate(x["p"], F.lit(0.0), lambda a, p: a + F.when(p == s, 1.0).when(p == s + dim, -1.0).otherwise(0.0)).alias("v"))))[0]
+    entries = F.map_from_entries(pack)
+    dense = F.transform(F.array(entries), lambda m: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.try_element_at(m, i), F.lit(0.0))))[0]
+    norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
+    return F.transform(F.array(dense), lambda v: F.transform(F.array(norm(v)), lambda r: F.transform(v, lambda x: F.coalesce(F.try_divide(x, r), F.lit(0.0))))[0])[0]
 
 
 def negated_literal(question: str, word: str) -> bool:

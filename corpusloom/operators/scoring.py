@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import difflib
 import re
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types
 
 from ..functions import rules as R
 from ..functions import text as T
@@ -16,9 +18,36 @@ from ..functions import url as U
 # Weights of path tokens by how much a page invites to buy or sign up, and tokens that lower a page.
 INTENT = {"menu": 105, "booking": 100, "book": 90, "appointment": 100, "reserve": 95, "reservation": 95, "schedule": 90, "order": 70, "checkout": 85, "pricing": 90, "price": 80, "plans": 80, "packages": 70, "rates": 70, "services": 75, "service": 70, "products": 70, "product": 65, "membership": 80, "subscribe": 60, "portal": 90, "client-portal": 100, "dashboard": 85, "platform": 80, "software": 80, "solutions": 75, "app": 85, "apps": 85, "quote": 75, "signup": 70, "register": 65, "get-started": 70, "demo": 70, "contact": 50}
 LOW_INTENT = "about history team gallery events faq testimonials reviews story mission values partners awards".split()
-# Path tokens, extensions and asset hosts of pages that are not worth a visit.
-JUNK_TOKENS = "privacy privacy-policy terms tos cookie cookies cookie-policy legal gdpr disclaimer impressum accessibility careers career jobs job vacancies hiring blog news press media newsroom rss feed feeds atom sitemap robots favicon logout signout unsubscribe cart wishlist compare share download downloads print search tag tags category categories archive archives author wp-admin wp-login wp-json xmlrpc cdn-cgi assets static fonts".split()
-JUNK_ENDS = ".jpg .jpeg .png .gif .svg .webp .ico .mp4 .webm .mp3 .wav .pdf .doc .docx .xls .xlsx .ppt .pptx .zip .rar .gz .css .js .json .xml .rss .ics .woff .woff2 .ttf".split()
+# Schemes, extensions, path tokens and hosts of links that are not worth a visit.
+JUNK_SCHEMES = ("mailto", "javascript", "tel", "sms", "data", "ftp", "file", "callto", "skype", "whatsapp", "viber")
+JUNK_ENDS = (
+    ".jpg", ".jpeg", ".png", ".gif", ".svg", ".webp", ".ico", ".bmp", ".tiff", ".avif", ".mp4", ".webm", ".avi", ".mov", ".wmv", ".mkv", ".mp3", ".wav", ".ogg", ".flac",
+    ".pdf", ".doc", ".docx", ".xls", ".xlsx", ".ppt", ".pptx", ".odt", ".zip", ".rar", ".gz", ".tar", ".7z", ".dmg", ".exe", ".pkg",
+    ".css", ".js", ".mjs", ".json", ".xml", ".rss", ".atom", ".ics", ".woff", ".woff2", ".ttf", ".eot", ".otf", ".map",
+)
+JUNK_TOKENS = (
+    "privacy", "privacy-policy", "terms", "tos", "terms-of-service", "terms-and-conditions", "cookie", "cookies", "cookie-policy", "legal", "gdpr", "disclaimer", "impressum", "accessibility",
+    "careers", "career", "jobs", "job", "vacancies", "hiring", "blog", "news", "press", "media", "press-release", "newsroom", "rss", "feed", "feeds", "atom", "sitemap", "robots", "favicon",
+    "logout", "signout", "sign-out", "unsubscribe", "cart", "checkout-success", "wishlist", "compare", "share", "download", "downloads", "print", "search", "tag", "tags", "category", "categories",
+    "archive", "archives", "author", "wp-admin", "wp-login", "wp-json", "xmlrpc", "cdn-cgi", "assets", "static", "fonts", "media-library",
+)
+JUNK_HOSTS = (
+    "facebook.com", "fb.com", "instagram.com", "twitter.com", "x.com", "linkedin.com", "youtube.com", "youtu.be", "tiktok.com", "pinterest.com", "reddit.com", "snapchat.com", "threads.net",
+    "wa.me", "whatsapp.com", "t.me", "telegram.me", "telegram.org", "google.com", "goo.gl", "maps.google.com", "g.page", "apps.apple.com", "itunes.apple.com", "play.google.com",
+    "gravatar.com", "cloudflare.com", "gstatic.com", "googleapis.com", "doubleclick.net", "googletagmanager.com",
+)
+
+
+@dataclass(frozen=True)
+class JunkFilter:
+    """What makes a link junk, as data: dataclasses.replace makes another filter of it."""
+
+    schemes: tuple = JUNK_SCHEMES
+    ends: tuple = JUNK_ENDS
+    tokens: tuple = JUNK_TOKENS
+    hosts: tuple = JUNK_HOSTS
+
+
 NOISE_LABELS = "cdn static assets img images media".split()
 NOISE_PARTS = "/wp-admin /wp-login /wp-json /cdn-cgi /cart /wishlist /privacy /terms /cookies /sitemap /robots.txt /feed /rss /tag/ /author/ /search /logout /forgot-password /reset-password /blog /news /article /press /category /page/ /booking /schedule /appointments".split()
 PLATFORMS = ("facebook.com", "instagram.com", "linkedin.com", "youtube.com", "twitter.com", "x.com", "tiktok.com", "pinterest.com")
@@ -40,13 +69,15 @@ def score_url(url: Column) -> Column:
     return _sum(hits) - F.when(R.overlaps(tokens, LOW_INTENT), 40).otherwise(0) - U.depth(url)
 
 
-def is_junk(url: Column, site: Column) -> Column:
-    """Another scheme, another site, a file, or a token of pages that say nothing."""
-    path = F.lower(U.path(url))
-    file = F.lit(False)
-    for e in JUNK_ENDS:
-        file = file | path.endswith(e)
-    return ~U.scheme(url).isin("http", "https") | (U.registered_domain(url) != site) | file | R.overlaps(U.path_tokens(url), JUNK_TOKENS)
+def is_junk(url: Column, site: Column, rules: JunkFilter = JunkFilter()) -> Column:
+    """Another scheme, a host of the list, another site, a file, or a token of pages that say nothing."""
+    path, host = F.lower(U.path(url)), U.host(url)
+    out = ~U.scheme(url).isin("http", "https") | U.scheme(url).isin(*rules.schemes) | (U.registered_domain(url) != site) | R.overlaps(U.path_tokens(url), rules.tokens)
+    for e in rules.ends:
+        out = out | path.endswith(e)
+    for h in rules.hosts:
+        out = out | (host == h) | host.endswith("." + h)
+    return out
 
 
 def is_crawl_noise(url: Column) -> Column:
@@ -81,10 +112,35 @@ def page_name(url: Column) -> Column:
     return F.left(F.when(F.coalesce(name, F.lit("")) == "", "home").otherwise(name), F.lit(120))
 
 
+def _probe(rows: pd.DataFrame) -> pd.DataFrame:
+    """Names of a family in order: the name itself if it is free, else the first free of name-2, name-3, ..."""
+    taken, out = set(), []
+    for name in rows.sort_values("__o")["__name"]:
+        k, got = 1, name
+        while got in taken:
+            k += 1
+            got = f"{name}-{k}"
+        taken.add(got)
+        out.append(got)
+    return rows.sort_values("__o").assign(unique_name=out)
+
+
 def unique_names(pages: DataFrame, group: str, name: str, order: str) -> DataFrame:
-    """Second and later pages of a name get -2, -3, ... in order. A name that is taken literally is not skipped."""
-    k = F.row_number().over(Window.partitionBy(group, name).orderBy(order))
-    return pages.withColumn("unique_name", F.when(k == 1, F.col(name)).otherwise(F.concat(F.col(name), F.lit("-"), k.cast("string"))))
+    """Second and later pages of a name get -2, -3, ... in order; a name that another page has by then is skipped. Only names of a
+    family (equal but for trailing numbers) can collide. Families with repeats and with numbered names are probed in order, one family
+    in a task; the others are numbered by a window."""
+    keyed = pages.select("*", F.col(name).alias("__name"), F.col(order).alias("__o"), F.regexp_replace(name, r"(-[0-9]+)+$", "").alias("__root"))
+    families = keyed.groupBy(group, "__root", "__name").count().groupBy(group, "__root").agg((F.max("count") > 1).alias("repeats"), (F.count(F.lit(1)) > 1).alias("several"))
+    marked = keyed.join(families.where("repeats AND several").select(group, "__root", F.lit(True).alias("__mixed")), [group, "__root"], "left")
+    k = F.row_number().over(Window.partitionBy(group, "__name").orderBy("__o"))
+    plain = marked.where("__mixed IS NULL").drop("__mixed").withColumn("unique_name", F.when(k == 1, F.col("__name")).otherwise(F.concat("__name", F.lit("-"), k.cast("string"))))
+    mixed = marked.where("__mixed").drop("__mixed")
+    probed = mixed.groupBy(group, "__root").applyInPandas(_probe, _with_text(mixed, "unique_name"))
+    return plain.unionByName(probed).drop("__name", "__o", "__root")
+
+
+def _with_text(df: DataFrame, column: str):
+    return types.StructType([*df.schema.fields, types.StructField(column, types.StringType())])
 
 
 def slugs(name: Column) -> Column:
@@ -173,3 +229,26 @@ def confidence(plan: DataFrame, group: str, tier: str) -> DataFrame:
 def summary(people: DataFrame, group: str, department: str) -> DataFrame:
     """Per group: people, recognised departments, whether someone decides on technology."""
     return people.groupBy(group).agg(F.count(F.lit(1)).alias("people"), F.count_distinct(department).alias("departments"), F.coalesce(F.bool_or(F.col(department) == "Technology"), F.lit(False)).alias("has_technology"))
+
+
+def all_pass(cases: DataFrame, group: str, ok: str) -> DataFrame:
+    """Whether every case of a group passes; cases without a verdict do not."""
+    return cases.groupBy(group).agg(F.bool_and(F.coalesce(F.col(ok), F.lit(False))).alias("passed"))
+
+
+def top_sources(found: DataFrame, url: str, most: int = 6) -> DataFrame:
+    """The most trusted directories among search results, one row for each brand (its first result), best first."""
+    level = R.source_confidence(F.col(url))
+    rank = F.when(level == "high", 3).when(level == "medium", 2).otherwise(1)
+    rows = found.select("ord", url, R.brand(F.col(url)).alias("brand"), level.alias("confidence"), rank.alias("__r")).where("confidence IS NOT NULL")
+    first = rows.groupBy("brand").agg(F.min_by(F.struct(url, "confidence", "__r", "ord"), "ord").alias("f")).select("brand", "f.*")
+    return first.orderBy(F.desc("__r"), "ord").limit(most).drop("__r")
+
+
+def needs_recrawl(stored: DataFrame, links: DataFrame, site: str, page: str, target: str, trusted: int = 3) -> DataFrame:
+    """(site, recrawl): sites with fewer than `trusted` pages of which no link is known, or a link is to a page that is not stored."""
+    counts = stored.groupBy(site).agg(F.count(F.lit(1)).alias("__n"))
+    known = links.groupBy(site).agg(F.count(F.lit(1)).alias("__links"))
+    fresh = links.select(site, F.col(target).alias(page)).distinct().join(stored.select(site, page).distinct(), [site, page], "left_anti").select(site).distinct().withColumn("__new", F.lit(True))
+    rows = counts.join(known, site, "left").join(fresh, site, "left")
+    return rows.select(site, ((F.col("__n") < trusted) & (F.col("__links").isNull() | F.coalesce("__new", F.lit(False)))).alias("recrawl"))

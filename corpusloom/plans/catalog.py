@@ -55,15 +55,17 @@ _CONTAINS = lambda col, parts: "(" + " OR ".join(f"contains({col}, '{x}')" for x
 _UTILITY = f"((contains(host, '.') AND string_split(host, '.')[1] IN {_in(R.UTILITY_LABELS)}) OR {_CONTAINS('lower(path)', R.UTILITY_PATHS)})"
 _CLASS = (
     f"CASE WHEN host = '' OR host IN {_in(R.NOISE_HOSTS)} OR " + " OR ".join(f"host LIKE '%.{h}'" for h in R.NOISE_HOSTS) + f" OR string_split({_REG}, '.')[1] IN {_in(R.NOISE_BRANDS)} THEN 'noise' "
-    f"WHEN string_split({_REG}, '.')[1] IN ('yelp', 'tripadvisor', 'yellowpages') THEN 'discovery_source' WHEN {_CONTAINS('lower(path)', R.NOISE_PATHS)} THEN 'noise' "
+    f"WHEN string_split({_REG}, '.')[1] IN {_in([b for some in R.DIRECTORIES.values() for b in some])} THEN 'discovery_source' WHEN {_CONTAINS('lower(path)', R.NOISE_PATHS)} THEN 'noise' "
     f"WHEN {_CONTAINS('lower(path)', R.LISTICLE_PATHS)} OR regexp_matches(TITLE, '{R.LISTICLE_TITLE}') THEN 'discovery_source' ELSE 'official' END"
 )
 _L = ", l AS (SELECT *, string_split(host, '.') AS labels FROM n)"
+_LINK = links.LINK.replace("'", "''")
 _EDGES = (
-    "e0 AS (SELECT page_id, host AS domain, norm AS src, scheme, unnest(regexp_extract_all(html, '<a href=\"[^\"]*\"[^>]*>[^<]*')) AS a, unnest(range(0, len(regexp_extract_all(html, '<a href=\"[^\"]*\"[^>]*>[^<]*')))) AS pos FROM n), "
-    "e1 AS (SELECT *, regexp_extract(a, '^<a href=\"([^\"]*)\"', 1) AS href, trim(regexp_replace(regexp_extract(a, '>([^<]*)$', 1), '\\s+', ' ', 'g')) AS anchor FROM e0), "
-    "e2 AS (SELECT *, CASE WHEN href LIKE '/%' THEN scheme || '://' || domain || href ELSE href END AS full_url FROM e1 WHERE href LIKE '/%' OR regexp_matches(href, '^https?://')), "
-    "e AS (SELECT page_id, domain, src, CAST(pos AS INTEGER) AS pos, lower(regexp_extract(full_url, '^([A-Za-z]+)://', 1)) || '://' || regexp_replace(regexp_replace(lower(regexp_extract(full_url, '^[A-Za-z]+://([^/?#]*)', 1)), '^.*@|:[0-9]+$', ''), '^www\\.', '') || regexp_replace(lower(regexp_extract(full_url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1)), '/+$', '') AS dst, anchor FROM e2)"
+    f"e0 AS (SELECT page_id, host AS domain, norm AS src, scheme, path, unnest(regexp_extract_all(html, '{_LINK}')) AS a, unnest(range(0, len(regexp_extract_all(html, '{_LINK}')))) AS pos FROM n), "
+    f"e1 AS (SELECT *, trim(coalesce(nullif(regexp_extract(a, '{_LINK}', 1), ''), regexp_extract(a, '{_LINK}', 2))) AS href, trim(regexp_replace(regexp_extract(a, '>([^<]*)$', 1), '\\s+', ' ', 'g')) AS anchor FROM e0), "
+    "e2 AS (SELECT *, CASE WHEN regexp_matches(href, '^(?i)https?://') THEN href WHEN href LIKE '//%' THEN scheme || ':' || href WHEN href LIKE '/%' THEN scheme || '://' || domain || href WHEN regexp_matches(href, '^[A-Za-z][A-Za-z0-9+.-]*:') OR regexp_matches(href, '^(#|$)') THEN NULL "
+    "WHEN href LIKE '?%' THEN scheme || '://' || domain || path || href ELSE scheme || '://' || domain || '/' || regexp_extract(path, '^/*(.*/)?[^/]*$', 1) || href END AS full_url FROM e1), "
+    "e AS (SELECT page_id, domain, src, CAST(pos AS INTEGER) AS pos, lower(regexp_extract(full_url, '^([A-Za-z]+)://', 1)) || '://' || regexp_replace(regexp_replace(lower(regexp_extract(full_url, '^[A-Za-z]+://([^/?#]*)', 1)), '^.*@|:[0-9]+$', ''), '^www\\.', '') || regexp_replace(lower(regexp_extract(full_url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1)), '/+$', '') AS dst, anchor FROM e2 WHERE full_url IS NOT NULL)"
 )
 
 
@@ -121,11 +123,11 @@ def q_business_rollup(spark, d):
     return etl.rollup(etl.dedupe_pages(rows, ["domain", "page_url"], F.col("content_length"))).orderBy(F.desc("num_pages"), "domain")
 
 
-_CONTACT = f"c AS (SELECT source AS domain, coalesce(max(nullif(regexp_extract(text, '{contacts.EMAIL}', 1), '')), 'N/A') AS email, coalesce(max(nullif(regexp_extract(text, '{contacts.PHONE}', 1), '')), 'N/A') AS phone, count(*) AS num_pages FROM documents GROUP BY source)"
+_CONTACT = f"c AS (SELECT source AS domain, coalesce(max(list_max(regexp_extract_all(text, '{contacts.EMAIL}'))), 'N/A') AS email, coalesce(max(list_max(regexp_extract_all(text, '{contacts.PHONE}'))), 'N/A') AS phone, count(*) AS num_pages FROM documents GROUP BY source)"
 
 
 def _site_contacts(spark, d):
-    first = lambda p: F.coalesce(F.max(F.nullif(F.regexp_extract("text", p, 1), F.lit(""))), F.lit("N/A"))
+    first = lambda p: F.coalesce(F.max(F.array_max(F.regexp_extract_all("text", F.lit(p), F.lit(1)))), F.lit("N/A"))
     return table(spark, d, "documents").groupBy(F.col("source").alias("domain")).agg(first(contacts.EMAIL).alias("email"), first(contacts.PHONE).alias("phone"), F.count(F.lit(1)).alias("num_pages"))
 
 
@@ -150,9 +152,9 @@ def q_scope_semi(spark, d):
     return etl.scope(table(spark, d, "customer"), wanted, "c_custkey").select("c_custkey", "c_name")
 
 
-@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)")
+@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL AND o_totalprice > 300000)")
 def q_exclude_anti(spark, d):
-    return table(spark, d, "customer").join(table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti").select("c_custkey", "c_name")
+    return table(spark, d, "customer").join(table(spark, d, "orders").where("o_totalprice > 300000").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti").select("c_custkey", "c_name")
 
 
 @query("SELECT s_suppkey, s_name, coalesce(n_name, '') AS nation, coalesce(r_name, '') AS region FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey")
@@ -294,15 +296,15 @@ def q_chunk_overlap_stats(spark, d):
 
 
 _QUERY = [round(0.125 if k % 3 else -0.125, 3) for k in range(64)]
-_DOT = f"round(list_dot_product(CAST(embedding AS DOUBLE[]), CAST({_QUERY} AS DOUBLE[])), 5)"
+_DOT = f"list_dot_product(CAST(embedding AS DOUBLE[]), CAST({_QUERY} AS DOUBLE[]))"
 
 
-@query(f"SELECT vec_id, {_DOT} AS similarity FROM embeddings ORDER BY 2 DESC, 1 LIMIT 10")
+@query(f"SELECT vec_id, round({_DOT}, 5) AS similarity FROM embeddings ORDER BY {_DOT} DESC, 1 LIMIT 10")
 def q_knn(spark, d):
     return retrieval.nearest(table(spark, d, "embeddings"), _QUERY, 10)
 
 
-@query(f"SELECT vec_id, {_DOT} AS similarity FROM embeddings WHERE label = 1 ORDER BY 2 DESC, 1 LIMIT 10")
+@query(f"SELECT vec_id, round({_DOT}, 5) AS similarity FROM embeddings WHERE label = 1 ORDER BY {_DOT} DESC, 1 LIMIT 10")
 def q_knn_filtered(spark, d):
     return retrieval.nearest(table(spark, d, "embeddings"), _QUERY, 10, F.col("label") == 1)
 
@@ -349,25 +351,32 @@ def q_evidence_verdict(spark, d):
     return retrieval.verdicts(table(spark, d, "documents"), "source", "text", "the")
 
 
-@query()
-def q_hybrid_rank(spark, d):
-    return retrieval.hybrid(table(spark, d, "documents"), "doc_id", "text", QUESTION, 20)
-
-
-_TECH = "t AS (" + " UNION ALL ".join("SELECT page_id, url, '{}' AS category, '{}' AS technology, {} AS confidence FROM pages WHERE regexp_matches(lower(html), '{}')".format(c, n, k, p.replace("'", "''")) for c, n, p, k in organisation.TECH_RULES) + ")"
+#: Text that each rule knows, one for each page by its number: the pages of the tables have no such marks.
+MARKS = (
+    "login.salesforce", "js.hs-scripts.com", "zohopublic", "Dynamics 365", "pipedrive", "freshsales", "bitrix24", "Log in", "My Account", "Client Portal", "Dashboard", "Member Area", "js.stripe.com", "paypalobjects",
+    "square.site", "authorize.net", "Checkout", "Shopping cart", "Buy now", "widget.intercom", "js.driftt.com", "crisp.chat", "zdassets", "tawk.to", "livechat.com", "gtag(", "G-AB12CD", "googletagmanager.com",
+    "mixpanel.com", "hotjar.com", "cdn.segment", "fbq(", "OAuth", "auth0.com", "okta.com", "clerk.dev", "firebaseapp.com", "cart paypal.com", "nothing",
+)
+_MARKED = "(SELECT page_id, url, html || ' ' || " + _list(MARKS) + f"[CAST(page_id % {len(MARKS)} AS INTEGER) + 1] || ' ' AS html FROM pages)"
+_TECH = "t AS (" + " UNION ALL ".join("SELECT page_id, url, '{}' AS category, '{}' AS technology, {} AS confidence, {} AS ord FROM {} AS m WHERE regexp_matches(lower(html), '{}')".format(c, n, k, i, _MARKED, p.replace("'", "''")) for i, (c, n, p, k) in enumerate(organisation.TECH_RULES)) + ")"
 
 
 @query(f"WITH {_TECH} SELECT page_id, category, technology, confidence FROM t")
 def q_tech_rules(spark, d):
-    return organisation.detections(table(spark, d, "pages"), "page_id", "html")
+    return organisation.detections(_marked(spark, d), "page_id", "html").drop("ord")
+
+
+def _marked(spark, d):
+    mark = F.element_at(F.array(*[F.lit(m) for m in MARKS]), (F.col("page_id") % len(MARKS) + 1).cast("int"))
+    return table(spark, d, "pages").withColumn("html", F.concat("html", F.lit(" "), mark, F.lit(" ")))
 
 
 def _host_caps(spark, d):
-    pages = table(spark, d, "pages").withColumn("host", U.host(F.col("url")))
+    pages = _marked(spark, d).withColumn("host", U.host(F.col("url")))
     return pages, organisation.capabilities(organisation.detections(pages.select("host", "html"), "host", "html"), "host")
 
 
-@query(f"WITH {_TECH}, {_P} SELECT n.host, category, max(confidence) AS confidence, min(technology) AS technology FROM t JOIN n ON t.page_id = n.page_id GROUP BY 1, 2")
+@query(f"WITH {_TECH}, {_P}, r AS (SELECT n.host, category, technology, confidence, row_number() OVER (PARTITION BY n.host, category ORDER BY confidence DESC, ord) AS rk FROM t JOIN n ON t.page_id = n.page_id) SELECT host, category, confidence, technology FROM r WHERE rk = 1")
 def q_capabilities(spark, d):
     return _host_caps(spark, d)[1].select("host", "category", "confidence", "technology")
 
@@ -418,9 +427,9 @@ def q_reading_time(spark, d):
     return table(spark, d, "documents").select("doc_id", T.reading_minutes(n).alias("minutes"))
 
 
-@query("SELECT doc_id, CASE WHEN left(x, 1) IN ('=', '+', '-', '@', chr(9), chr(13)) THEN '''' || x ELSE x END AS cell FROM (SELECT doc_id, left(text, 20) AS x FROM documents)")
+@query("SELECT doc_id, CASE WHEN left(x, 1) IN ('=', '+', '-', '@', chr(9), chr(13)) THEN '''' || x ELSE x END AS cell FROM (SELECT doc_id, text AS x FROM documents)")
 def q_csv_safe(spark, d):
-    return table(spark, d, "documents").select("doc_id", T.csv_safe(F.left("text", F.lit(20))).alias("cell"))
+    return table(spark, d, "documents").select("doc_id", T.csv_safe(F.col("text")).alias("cell"))
 
 
 @query("SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")

@@ -9,7 +9,7 @@ from ..functions import text as T
 from ..functions import url as U
 from ..operators import contacts, links, pages, retrieval, scoring
 from ..session import table
-from .catalog import _CONTAINS, _EDGES, _KIND, _L, _P, _REG, _TIER, _in, _list, query
+from .catalog import _CONTAINS, _EDGES, _KIND, _L, _P, _REG, _TIER, SQL, _in, _list, query
 
 _SCORE = " + ".join(f"CASE WHEN list_contains(toks, '{k}')" + (f" OR contains(lower(path), '{k}')" if "-" in k else "") + f" THEN {w} ELSE 0 END" for k, w in scoring.INTENT.items())
 
@@ -19,7 +19,7 @@ def q_score_url(spark, d):
     return table(spark, d, "pages").select("page_id", scoring.score_url(F.col("url")).alias("score"))
 
 
-@query(f"WITH {_P}{_L} SELECT page_id, scheme NOT IN ('http', 'https') OR {_REG} <> 'example.com' OR " + " OR ".join(f"lower(path) LIKE '%{e}'" for e in scoring.JUNK_ENDS) + f" OR list_has_any(toks, {_list(scoring.JUNK_TOKENS)}) AS junk FROM l")
+@query(f"WITH {_P}{_L} SELECT page_id, scheme NOT IN ('http', 'https') OR {_REG} <> 'example.com' OR " + " OR ".join(f"lower(path) LIKE '%{e}'" for e in scoring.JUNK_ENDS) + " OR " + " OR ".join(f"host = '{h}' OR host LIKE '%.{h}'" for h in scoring.JUNK_HOSTS) + f" OR list_has_any(toks, {_list(scoring.JUNK_TOKENS)}) AS junk FROM l")
 def q_junk(spark, d):
     return table(spark, d, "pages").select("page_id", scoring.is_junk(F.col("url"), F.lit("example.com")).alias("junk"))
 
@@ -129,7 +129,7 @@ def q_bi_summary(spark, d):
     return scoring.summary(table(spark, d, "customer").withColumn("dep", dep), "c_nationkey", "dep")
 
 
-@query()
+@query(SQL["q_emails_scored"].replace('SELECT doc_id, address, score, CAST(row_number()', 'SELECT doc_id, address, score FROM (SELECT doc_id, address, score, CAST(row_number()') + ') WHERE "rank" = 1')
 def q_best_email(spark, d):
     ranked = contacts.ranked(contacts.addresses(table(spark, d, "documents"), "doc_id", "text"), "doc_id", F.lit("example.com"))
     return ranked.where("rank = 1").select("doc_id", "address", "score")
@@ -140,6 +140,12 @@ def q_page_structure(spark, d):
     return pages.structure(table(spark, d, "pages"), "page_id", "html").select("page_id", "page.title", "page.h1", "page.lang", "page.n_words", F.size("page.links").alias("n_links"))
 
 
-@query()
+_ON = lambda h: f"(dh = '{h}' OR dh LIKE '%.{h}')"
+
+
+@query(f"WITH {_P}, {_EDGES}, d AS (SELECT page_id, domain, src, dst FROM e UNION ALL SELECT page_id, domain, src, 'https://x.com/' || domain FROM e UNION ALL SELECT page_id, domain, src, 'https://m.facebook.com/p' || page_id % 3 FROM e), dd AS (SELECT *, regexp_extract(dst, '^[a-z]+://([^/?#]*)', 1) AS dh FROM d), pf AS (SELECT *, CASE " + " ".join(f"WHEN {_ON(h)} THEN '{h}'" for h in reversed(scoring.PLATFORMS)) + " END AS platform FROM dd WHERE regexp_matches(dst, '^[a-z]+://[^/]+/[^/]')), c AS (SELECT domain, platform, dst, count(DISTINCT src) AS pages, min(page_id) AS first FROM pf WHERE platform IS NOT NULL GROUP BY 1, 2, 3), r AS (SELECT *, row_number() OVER (PARTITION BY domain, platform ORDER BY pages DESC, first) AS rk FROM c) SELECT domain, platform, dst AS profile, pages FROM r WHERE rk = 1")
 def q_social_profiles(spark, d):
-    return scoring.social_profiles(links.edges(table(spark, d, "pages")))
+    e = links.edges(table(spark, d, "pages")).select("page_id", "domain", "src", "dst")
+    x = e.withColumn("dst", F.concat(F.lit("https://x.com/"), "domain"))
+    f = e.withColumn("dst", F.concat(F.lit("https://m.facebook.com/p"), (F.col("page_id") % 3).cast("string")))
+    return scoring.social_profiles(e.unionByName(x).unionByName(f))

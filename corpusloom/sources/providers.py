@@ -40,9 +40,7 @@ class HashEmbedder:
     def embed(self, docs: DataFrame, text: str) -> DataFrame:
         from ..operators.retrieval import hash_vector
 
-        raw = docs.withColumn("__v", hash_vector(F.col(text), self.dim))
-        norm = F.sqrt(F.aggregate("__v", F.lit(0.0), lambda a, x: a + x * x))
-        return raw.withColumn("embedding", F.transform("__v", lambda x: F.coalesce(F.try_divide(x, norm), F.lit(0.0)))).drop("__v")
+        return docs.withColumn("embedding", hash_vector(F.col(text), self.dim))
 
 
 class OpenModerator:

@@ -75,6 +75,48 @@ def write_domains(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("domain").parquet(path)
 
 
+def stage_pages(pages: DataFrame, path: str, run: str) -> None:
+    """Add pages to a run's staging area, one folder for each domain; nothing there is visible to readers of the table."""
+    pages.withColumn("run", F.lit(run)).write.mode("append").partitionBy("run", "domain").parquet(f"{path}/_staging")
+
+
+def staged(spark: SparkSession, path: str, run: str) -> DataFrame:
+    return spark.read.parquet(f"{path}/_staging").where(F.col("run") == run).drop("run")
+
+
+def commit_staged(spark: SparkSession, path: str, run: str, domains: DataFrame | None = None) -> None:
+    """Move a run's staged pages of some domains (all by default) into the table: their partitions are replaced whole."""
+    rows = staged(spark, path, run)
+    write_domains(rows if domains is None else rows.join(domains.select("domain").distinct(), "domain", "left_semi"), f"{path}/pages")
+    discard_staged(spark, path, run)
+
+
+def _delete(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def discard_staged(spark: SparkSession, path: str, run: str, domain: str | None = None) -> bool:
+    """Drop what a run has staged, for one domain or all; false if there is nothing."""
+    return _delete(spark, f"{path}/_staging/run={run}" + (f"/domain={domain}" if domain else ""))
+
+
+def clean_orphans(spark: SparkSession, path: str, alive: list[str]) -> list[str]:
+    """Drop the staging areas of runs that are no longer alive; returns their names."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_staging")
+    files = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for s in files.listStatus(at)] if files.exists(at) else []
+    gone = sorted(n.removeprefix("run=") for n in names if n.startswith("run=") and n.removeprefix("run=") not in alive)
+    for run in gone:
+        _delete(spark, f"{path}/_staging/run={run}")
+    return gone
+
+
+def append_rows(df: DataFrame, path: str) -> None:
+    """Append index rows in the index's column order; columns that it does not know are left out, missing ones are empty."""
+    df.select(*[(F.coalesce(F.col(c).cast("string"), F.lit("")) if c in df.columns else F.lit("")).alias(c) for c in INDEX_COLUMNS]).write.mode("append").option("header", True).option("escape", '"').csv(path)
+
+
 def retire(spark: SparkSession, path: str, gone: DataFrame, key: str, to: str) -> None:
     """The table without some keys, to a new place."""
     spark.read.parquet(path).join(gone.select(key).distinct(), key, "left_anti").write.mode("overwrite").parquet(to)
