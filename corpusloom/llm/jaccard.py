@@ -12,9 +12,9 @@ Keys travel as packed runs, one for each batch and range of keys. Of a batch's s
 key that a third of all sets have is one entry for each batch; a range meets those and the least of them leads. So each key has a
 tree: sets, leaders of batches, leader of the key.
 
-A set's sketch is the parity of the number of its shingles in each of SKETCH hashed places: a shingle that two sets do
-not share turns one place, so sketches never differ in more places than the sets in shingles, and pairs whose sketches
-differ too much are no links. The rest is verified on the words themselves. A set is first compared with the leader that it
+A set's sketch is the parity of the number of its shingles in each of SKETCH hashed places (and of WIDE, for pairs that these do
+not tell apart): a shingle that two sets do not share turns one place, so sketches never differ in more places than the sets in
+shingles, and pairs whose sketches differ too much are no links. The rest is verified on the words themselves. A set is first compared with the leader that it
 meets most often, then with its leaders of other components; sets of a key whose tree is still in several components are
 compared across these, behind the same sketch test. So a dense group of near copies costs about one verification a set, and no
 link between different components is missed.
@@ -46,9 +46,9 @@ from . import common as C
 from .components import components
 from .filters import MASK_BITS, mask_of
 
-#: Cost model: what a chance candidate costs in rows, and how often two sets share a given shingle by chance.
-CANDIDATE_COST, CHANCE = 4.0, 1e-4
-SKETCH = 256
+#: Cost model: what the verification of a chance candidate costs in rows, and how often two sets share a given shingle by chance.
+CANDIDATE_COST, CHANCE = 2000.0, 1e-4
+SKETCH, WIDE = 256, 2048
 #: Keys that a batch holds before it sends them, and that a range of keys shall have.
 BATCH_KEYS, RANGE_KEYS = 1 << 19, 1 << 20
 _SKETCHES = [f"s{i}" for i in range(SKETCH // 64)]
@@ -92,9 +92,9 @@ class Allocation:
 
 
 def allocate(h: int, size: float, sets: int) -> Allocation:
-    """The cheapest allocation for sets of about `size` shingles, `sets` of them in the band."""
+    """The cheapest allocation for `sets` sets of which the smallest, with the most empty segments, have `size` shingles."""
     best, found = math.inf, Allocation(h + 1, 0, 0)
-    for spare in range(0, h // 3 + 3, 1 + h // 64):
+    for spare in range(0, h // 2 + 3, 1 + h // 64):
         units = h + 1 + spare
         for double in sorted({0, units // 8, units // 4, units // 2}):
             single = units - 2 * double
@@ -103,7 +103,9 @@ def allocate(h: int, size: float, sets: int) -> Allocation:
             expect = single * empty
             tail = 0.5 * math.erfc((spare + 0.5 - expect) / math.sqrt(2 * expect + 1e-12))  # more empty ones than spare
             rows = single + double * (1 + 2 * mean)
-            chance = single * (empty * mean * CHANCE + tail**2 * empty) + double * math.exp(-2 * mean) * (1 + 2 * mean) * (math.exp(-2 * mean) + CHANCE)
+            few = (1 + 2 * mean) * math.exp(-2 * mean)  # a double segment of one shingle at most
+            alone = size * CHANCE * empty**2  # a shingle in common by chance, alone in its segment in both
+            chance = alone + tail**2 * min(1.0, single * empty**2) + double * few * (few + 2 * mean * CHANCE)
             cost = rows + CANDIDATE_COST * sets * chance
             if cost < best:
                 best, found = cost, Allocation(single, double, spare)
@@ -151,12 +153,13 @@ class Shingles:
         self.short = (few > 0) & (few < size)
         self.n[self.short] = 1
 
-    def sketches(self) -> np.ndarray:
-        """Parity of the number of shingles in each of SKETCH places, as 64-bit integers."""
-        texts = len(self.n)
-        place = (C.mix(self.hashes ^ np.uint64(0xB17B17B17)) % np.uint64(SKETCH)).astype(np.int64)
-        counts = np.bincount(np.repeat(np.arange(texts) * SKETCH, np.diff(self.cut)) + place, minlength=texts * SKETCH)
-        return np.packbits((counts & 1).astype(np.uint8)).view("<i8").reshape(texts, SKETCH // 64)
+    def sketches(self, places: int) -> np.ndarray:
+        """Parity of the number of shingles in each of so many places, as 64-bit integers."""
+        out = np.zeros((len(self.n), places // 64), np.int64)
+        place = (C.mix(self.hashes ^ np.uint64(0xB17B17B17)) % np.uint64(places)).astype(np.int64)
+        for i, (a, b) in enumerate(zip(self.cut[:-1].tolist(), self.cut[1:].tolist(), strict=True)):
+            out[i] = np.packbits((np.bincount(place[a:b], minlength=places) & 1).astype(np.uint8)).view("<i8")
+        return out
 
 
 def exact_windows(number: np.ndarray, kinds: int, starts: np.ndarray, size: int) -> np.ndarray:
@@ -197,10 +200,11 @@ def _describe(words: int, bits: int):
             for i, j, raw, off in sliced(batch["__text"]):
                 sets = Shingles(raw, off, words, bits)
                 named = [digest(x, bits) if x else (None, None) for x in canonical(raw, off)]
-                sk = sets.sketches()
+                sk, wide = sets.sketches(SKETCH), sets.sketches(WIDE)
+                places = pa.array(np.arange(j - i + 1, dtype=np.int32) * (WIDE // 64))
                 yield pa.RecordBatch.from_arrays(
-                    [batch["__id"].slice(i, j - i), pa.array(sets.n, pa.int64()), *[pa.array([x[k] for x in named], pa.int64()) for k in (0, 1)], *[pa.array(sk[:, k]) for k in range(len(_SKETCHES))]],
-                    names=["id", "n", "d1", "d2", *_SKETCHES],
+                    [batch["__id"].slice(i, j - i), pa.array(sets.n, pa.int64()), *[pa.array([x[k] for x in named], pa.int64()) for k in (0, 1)], *[pa.array(sk[:, k]) for k in range(len(_SKETCHES))], pa.ListArray.from_arrays(places, pa.array(wide.ravel()))],
+                    names=["id", "n", "d1", "d2", *_SKETCHES, "wide"],
                 )
 
     return describe
@@ -367,6 +371,14 @@ class _Search:
         apart = sum((F.bit_count(F.col(f"{c}_x").bitwiseXOR(F.col(f"{c}_y"))) for c in _SKETCHES), F.lit(0))
         return (F.least(x, y) * t.den >= F.greatest(x, y) * t.num) & (apart * (t.den + t.num) <= (x + y) * (t.den - t.num))
 
+    def closer(self, pairs: DataFrame) -> DataFrame:
+        """Pairs (node_x, node_y) that the wide sketches leave too."""
+        t, out = self.t, pairs
+        for side in ("x", "y"):
+            out = out.join(self.nodes.select(F.col("node").alias(f"node_{side}"), F.col("n").alias(f"size_{side}"), F.col("wide").alias(f"wide_{side}")), f"node_{side}")
+        apart = F.aggregate(F.zip_with("wide_x", "wide_y", lambda a, b: F.bit_count(a.bitwiseXOR(b)).cast("int")), F.lit(0), lambda a, b: a + b)
+        return out.where(apart * (t.den + t.num) <= (F.col("size_x") + F.col("size_y")) * (t.den - t.num)).select(pairs.columns)
+
     def links(self, pairs: DataFrame) -> DataFrame:
         """Verified links (a, b) of pairs (node_x, node_y and their digests). A text moves once, and once more for each pair
         that has it as x; texts of the corpus that are in no pair do not move."""
@@ -400,13 +412,13 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     id_type = slim.schema["__id"].dataType.simpleString()
     ends = t.bands(1 << 40)
     band = F.size(F.filter(F.array(*[F.lit(e) for e in ends]), lambda e: e <= F.col("n"))) - 1
-    described = C.stash(slim.mapInArrow(_describe(words, hash_bits), f"id {id_type}, n bigint, d1 bigint, d2 bigint, " + ", ".join(f"{c} bigint" for c in _SKETCHES)), "described")
-    grouped = described.where("d1 IS NOT NULL").groupBy("d1", "d2").agg(F.min("id").alias("least"), *[F.first(c).alias(c) for c in ("n", *_SKETCHES)])
+    described = C.stash(slim.mapInArrow(_describe(words, hash_bits), f"id {id_type}, n bigint, d1 bigint, d2 bigint, " + ", ".join(f"{c} bigint" for c in _SKETCHES) + ", wide array<bigint>"), "described")
+    grouped = described.where("d1 IS NOT NULL").groupBy("d1", "d2").agg(F.min("id").alias("least"), *[F.first(c).alias(c) for c in ("n", *_SKETCHES, "wide")])
     nodes = C.stash(grouped.withColumn("node", F.monotonically_increasing_id()), "nodes")
     schemes: dict[int, Allocation] = {}
     held = {r["band"]: (r["sets"], r["size"]) for r in nodes.groupBy(band.alias("band")).agg(F.count(F.lit(1)).alias("sets"), F.avg("n").alias("size")).collect()}
     for k in held:
-        schemes[k] = allocate(t.differences(2 * (ends[k + 1] - 1)), held[k][1], held[k][0])
+        schemes[k] = allocate(t.differences(2 * (ends[k + 1] - 1)), max(1.0, t.num * ends[k] / t.den), held[k][0])
     rows = sum(2 * held[k][0] * (a.single + a.double * (1 + 2 * held[k][1] / (a.single + 2 * a.double))) for k, a in schemes.items())
     parts = max(C.partitions(docs.sparkSession), int(rows // RANGE_KEYS) + 1)
     search = _Search(slim, nodes, words, t, hash_bits)
@@ -416,7 +428,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     pairs = met.groupBy(F.col("x").alias("d1_x"), F.col("lead").alias("d1_y")).count()
     if not nodes.groupBy("d1").count().where("count > 1").isEmpty():
         pairs = pairs.unionByName(nodes.select(F.col("d1").alias("d1_x"), F.col("d1").alias("d1_y"), F.lit(1).cast("bigint").alias("count")).distinct())
-    near = C.stash(pairs.join(search.side("x"), "d1_x").join(search.side("y"), "d1_y").where("node_x <> node_y").where(search.close()).select("node_x", "node_y", "d1_x", "d2_x", "d1_y", "d2_y", "count"), "near")
+    near = pairs.join(search.side("x"), "d1_x").join(search.side("y"), "d1_y").where("node_x <> node_y").where(search.close()).select("node_x", "node_y", "d1_x", "d2_x", "d1_y", "d2_y", "count")
+    near = C.stash(search.closer(near), "near")
     nearest = near.groupBy("node_x", "d1_x", "d2_x").agg(F.max(F.struct("count", "node_y", "d1_y", "d2_y")).alias("best")).select("node_x", "d1_x", "d2_x", "best.node_y", "best.d1_y", "best.d2_y")
     found = search.links(nearest)
     linked = components(found)
@@ -434,7 +447,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         sets = _roots(there.join(nodes.select("d1", "d2", "node", "n", *_SKETCHES), "d1"), "node", linked, "root")
         side = lambda name: sets.select("key", *[F.col(c).alias(f"{c}_{name}") for c in ("d1", "d2", "node", "root", "n", *_SKETCHES)])
         cross = side("x").join(side("y"), "key").where("node_x > node_y AND root_x <> root_y").where(search.close())
-        cross = C.stash(cross.select("node_x", "node_y", "d1_x", "d2_x", "d1_y", "d2_y").distinct(), "cross")
+        cross = C.stash(search.closer(cross.select("node_x", "node_y", "d1_x", "d2_x", "d1_y", "d2_y").distinct()), "cross")
         if not cross.isEmpty():
             linked = _joined(linked, search.links(cross))
         C.drop(cross)
