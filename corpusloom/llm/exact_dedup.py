@@ -138,7 +138,7 @@ def routed_mask(texts: DataFrame, bits: int = MASK_BITS) -> bytes:
     n = C.partitions(texts.sparkSession)
     filters = texts.select("__text").mapInArrow(_build(n), "part int, slots binary, runs binary, rems binary, counts binary")
     mask = np.zeros(1 << (bits - 3), np.uint8)
-    for row in filters.groupBy("part").applyInArrow(_merge(bits), "at bigint, mask binary").toLocalIterator():
+    for row in filters.groupBy("part").applyInArrow(_merge(bits), "at bigint, mask binary").collect():  # 2**bits bits in all
         own = np.frombuffer(row["mask"], np.uint8)
         mask[row["at"] : row["at"] + len(own)] |= own
     return mask.tobytes()

@@ -23,7 +23,7 @@ def mask_of(hashes: DataFrame, column: str, bits: int = MASK_BITS) -> bytes:
     lead = F.shiftrightunsigned(column, 64 - bits)
     coarse = hashes.select(F.shiftright(lead, bits - 8).cast("int").alias("stretch"), lead.bitwiseAND((1 << (bits - 8)) - 1).alias("place")).distinct()
     out = bytearray(1 << (bits - 3))
-    for r in coarse.groupBy("stretch").applyInArrow(stretch, "stretch int, mask binary").toLocalIterator():
+    for r in coarse.groupBy("stretch").applyInArrow(stretch, "stretch int, mask binary").collect():  # 2**bits bits in all
         out[r["stretch"] << (bits - 11) : (r["stretch"] + 1) << (bits - 11)] = r["mask"]
     return bytes(out)
 
