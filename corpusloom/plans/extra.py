@@ -6,10 +6,10 @@ from pyspark.sql import functions as F
 
 from ..functions import rules as R
 from ..functions import url as U
-from ..operators import contacts, etl, hybrid, links, organisation, people, retrieval, scoring
+from ..operators import contacts, etl, hybrid, links, organisation, people, retrieval, scoring, sites
 from ..session import table
 from ..streaming import events as ST
-from .catalog import _CLASS, _CONTAINS, _EDGES, _L, _P, _REG, _UTILITY, QUESTION, _in, query
+from .catalog import _CLASS, _CONTAINS, _EDGES, _L, _P, _TECH, _UTILITY, QUESTION, _host_caps, _in, _marked, query
 
 
 def _pick(key: str, values: list[str]):
@@ -251,3 +251,94 @@ def q_crawl(spark, d):
     pages = table(spark, d, "pages")
     start = pages.groupBy(U.host(F.col("url")).alias("site")).agg(F.min(U.normalize(F.col("url"))).alias("url"))
     return links.crawl(start, links.edges(pages).select(F.col("domain").alias("site"), "src", "dst"), depth=1, pages=5)
+
+
+@query("SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'a' || c_custkey || '@x.test' WHEN 3 THEN 'b@y.test | c@z.test' ELSE 'N/A' END AS emails FROM customer")
+def q_clean_multi(spark, d):
+    key = F.col("c_custkey").cast("string")
+    cell = F.when(F.col("c_custkey") % 4 == 0, F.concat(F.lit("A"), key, F.lit("@x.test | bad | a"), key, F.lit("@X.test"))).when(F.col("c_custkey") % 4 == 1, "N/A").when(F.col("c_custkey") % 4 == 2, "").otherwise("b@y.test|c@z.test")
+    return table(spark, d, "customer").select("c_custkey", sites.clean_multi(cell, contacts.is_valid_strict, lower=True).alias("emails"))
+
+
+def _cells(spark, d):
+    mail = F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("x"), F.col("o_orderkey") % 4, F.lit("@other.test | me@gmail.com"))).when(F.col("o_custkey") % 2 == 0, "y@far.test").otherwise("N/A")
+    return table(spark, d, "orders").select(F.concat(F.lit("s"), F.col("o_custkey") % 50, F.lit(".test")).alias("site"), "o_orderkey", mail.alias("email"), F.concat(F.lit("+"), F.col("o_orderkey") % 11).alias("phone"), F.when(F.col("o_orderkey") % 5 == 0, F.concat(F.col("o_orderkey"), F.lit(" Mill Lane"))).otherwise("N/A").alias("address"))
+
+
+@query("""WITH r AS (SELECT 's' || (o_custkey % 50) || '.test' AS site, o_orderkey, o_custkey FROM orders),
+m AS (SELECT site, o_orderkey, 0 AS p, 'x' || (o_orderkey % 4) || '@other.test' AS v, false AS near FROM r WHERE o_orderkey % 3 = 0 UNION ALL SELECT site, o_orderkey, 1, 'me@gmail.com', true FROM r WHERE o_orderkey % 3 = 0 UNION ALL SELECT site, o_orderkey, 0, 'y@far.test', false FROM r WHERE o_orderkey % 3 <> 0 AND o_custkey % 2 = 0),
+f AS (SELECT site, v, near, min(o_orderkey * 10 + p) AS o FROM m GROUP BY 1, 2, 3), g AS (SELECT *, bool_or(near) OVER (PARTITION BY site) AS anynear FROM f), e AS (SELECT site, string_agg(v, ' | ' ORDER BY o) AS emails FROM g WHERE near OR NOT anynear GROUP BY 1),
+p AS (SELECT site, '+' || (o_orderkey % 11) AS v, min(o_orderkey) AS o FROM r GROUP BY 1, 2), q AS (SELECT *, row_number() OVER (PARTITION BY site ORDER BY o) AS rk FROM p), h AS (SELECT site, string_agg(v, ' | ' ORDER BY o) AS phones FROM q WHERE rk <= 8 GROUP BY 1),
+a AS (SELECT site, min(o_orderkey) AS o FROM r WHERE o_orderkey % 5 = 0 GROUP BY 1)
+SELECT s.site, coalesce(emails, 'N/A') AS emails, coalesce(phones, 'N/A') AS phones, coalesce(a.o || ' Mill Lane', 'N/A') AS address FROM (SELECT DISTINCT site FROM r) s LEFT JOIN e ON e.site = s.site LEFT JOIN h ON h.site = s.site LEFT JOIN a ON a.site = s.site""")
+def q_site_contacts(spark, d):
+    return sites.site_contacts(_cells(spark, d), "site", "o_orderkey", "email", "phone", "address")
+
+
+@query("WITH h AS (SELECT DISTINCT source, k FROM documents, (VALUES ('tion'), ('ing'), ('zzqq')) AS v(k) WHERE contains(lower(text), k)) SELECT s.source, coalesce(string_agg(k, ',' ORDER BY k), '') AS keywords FROM (SELECT DISTINCT source FROM documents) s LEFT JOIN h ON h.source = s.source GROUP BY 1")
+def q_site_keywords(spark, d):
+    from ..functions import text as T
+
+    return sites.keyword_union(table(spark, d, "documents").select("source", T.keyword_hits(F.col("text"), ["tion", "ing", "zzqq"]).alias("hits")), "source", "hits")
+
+
+_DEPS = ["Sales", "Technology", "Wizardry", "Executive"]
+
+
+def _staff(spark, d):
+    k = F.col("c_custkey")
+    return table(spark, d, "customer").select("c_nationkey", F.when(k % 5 > 0, F.col("c_name")).alias("name"), _pick("c_custkey", _DEPS).alias("department"), F.when(k % 2 == 0, "website").otherwise("search").alias("source"), F.when(k % 7 == 0, "p").alias("profile"))
+
+
+@query(f"SELECT c_nationkey, CASE WHEN x = 'Wizardry' THEN 'Unclassified' ELSE x END AS department, count(*) AS n FROM (SELECT c_nationkey, {_picked('c_custkey', _DEPS)} AS x FROM customer) GROUP BY 1, 2")
+def q_organisation(spark, d):
+    return sites.organisation(_staff(spark, d), "c_nationkey")
+
+
+@query(f"SELECT c_nationkey, count(*) FILTER (WHERE c_custkey % 5 > 0) AS named, string_agg(DISTINCT CASE WHEN c_custkey % 2 = 0 THEN 'website' ELSE 'search' END, ',' ORDER BY CASE WHEN c_custkey % 2 = 0 THEN 'website' ELSE 'search' END) AS sources, count(DISTINCT {_picked('c_custkey', _DEPS)}) AS departments, bool_or(c_custkey % 4 = 3) AS has_executive, bool_or(c_custkey % 4 = 1) AS has_technology, bool_or(c_custkey % 7 = 0) AS has_profile FROM customer GROUP BY 1")
+def q_people_summary(spark, d):
+    return sites.summary(_staff(spark, d), "c_nationkey")
+
+
+@query(f"WITH {_P}, {_TECH}, r AS (SELECT n.host, category, technology, confidence, row_number() OVER (PARTITION BY n.host, category ORDER BY confidence DESC, ord) AS rk FROM t JOIN n ON t.page_id = n.page_id), h AS (SELECT DISTINCT host FROM n) SELECT h.host, c.category, CASE WHEN technology IS NULL THEN 'not_publicly_detected' ELSE 'detected' END AS status, technology, confidence FROM h CROSS JOIN (VALUES ('crm'), ('chat'), ('payments')) AS c(category) LEFT JOIN r ON r.host = h.host AND r.category = c.category AND rk = 1")
+def q_capability_grid(spark, d):
+    pages, caps = _host_caps(spark, d)
+    return sites.grid(pages.select("host").distinct(), caps, "host", ["crm", "chat", "payments"])
+
+
+@query(f"WITH {_P}, {_TECH} SELECT n.host, category, string_agg(DISTINCT technology, ',' ORDER BY technology) AS technologies FROM t JOIN n ON t.page_id = n.page_id GROUP BY 1, 2")
+def q_categories_view(spark, d):
+    pages = _marked(spark, d).withColumn("host", U.host(F.col("url")))
+    return sites.categories_view(organisation.detections(pages.select("host", "html"), "host", "html"), "host")
+
+
+_LINKS = ["https://x.com/@port", "https://www.linkedin.com/company/port-co/", "https://facebook.com/sharer/x", "https://x.com/port/status/1", "https://youtube.com/"]
+
+
+@query("SELECT s_suppkey, [true, true, false, false, false][CAST(s_suppkey % 5 AS INTEGER) + 1] AS profile, ['port', 'port-co', 'sharer', 'port', NULL][CAST(s_suppkey % 5 AS INTEGER) + 1] AS handle FROM supplier")
+def q_handles(spark, d):
+    rows = table(spark, d, "supplier").select("s_suppkey", _pick("s_suppkey", _LINKS).alias("u"))
+    return rows.select("s_suppkey", sites.is_profile(F.col("u")).alias("profile"), sites.handle(F.col("u")).alias("handle"))
+
+
+@query("WITH r AS (SELECT o_custkey, o_orderkey, o_totalprice, o_orderstatus = 'F' AS w, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderstatus = 'F' DESC, o_totalprice DESC, o_orderkey) AS rk FROM orders) SELECT o_custkey, o_orderkey, CAST(rk AS INTEGER) AS \"rank\" FROM r WHERE (w AND rk <= 8) OR rk <= 3")
+def q_chosen(spark, d):
+    return sites.chosen(table(spark, d, "orders"), "o_custkey", "o_totalprice", "o_orderkey", F.col("o_orderstatus") == "F", 8, 3).select("o_custkey", "o_orderkey", "rank")
+
+
+@query("WITH r AS (SELECT page_id, length(html) + CASE WHEN page_id % 2 = 0 THEN 5000 ELSE 0 END + CASE WHEN page_id % 3 = 0 THEN 2000 ELSE 0 END AS n FROM pages) SELECT page_id, CAST(n AS INTEGER) AS richness FROM r")
+def q_richness(spark, d):
+    mail, phone = F.when(F.col("page_id") % 2 == 0, "a@b.c").otherwise("N/A"), F.when(F.col("page_id") % 3 == 0, "+1").otherwise("")
+    return table(spark, d, "pages").select("page_id", sites.richness(F.length("html"), mail, phone).alias("richness"))
+
+
+@query(f"SELECT page_id, priority FROM (SELECT page_id, host, priority, row_number() OVER (PARTITION BY host ORDER BY priority DESC, page_id) AS rk FROM (SELECT page_id, host, CASE WHEN len(segs) = 0 THEN 100 " + " ".join("WHEN list_has_any(toks, [" + ", ".join(f"'{x}'" for x in w.split()) + f"]) THEN {s}" for s, w in R.FALLBACK_SCORES) + f" ELSE 40 END AS priority FROM (WITH {_P} SELECT * FROM n)) WHERE priority >= 30) WHERE rk <= 3")
+def q_crawl_selection(spark, d):
+    rows = table(spark, d, "pages").select("page_id", U.host(F.col("url")).alias("host"), R.fallback_score(F.col("url")).alias("priority")).where("priority >= 30")
+    return sites.chosen(rows, "host", "priority", "page_id", F.lit(True), 3, 0).select("page_id", "priority")
+
+
+@query(f"WITH {_P} SELECT page_id, host, stripped FROM n WHERE host = (SELECT min(host) FROM n)")
+def q_indexed_urls(spark, d):
+    rows = table(spark, d, "pages").select("page_id", U.host(F.col("url")).alias("host"), U.strip_tracking(F.col("url")).alias("stripped"))
+    return rows.join(F.broadcast(rows.agg(F.min("host").alias("host"))), "host", "left_semi").select("page_id", "host", "stripped")
