@@ -16,8 +16,8 @@ THROWAWAY = "mailinator.com guerrillamail.com 10minutemail.com tempmail.com temp
 
 def deobfuscate(s: Column) -> Column:
     """[at], (at), [dot], (dot) and the full-width sign as plain characters."""
-    at = F.regexp_replace(F.coalesce(s, F.lit("")), r"(?i) *[\[(] *at *[\])] *|＠", "@")
-    return F.regexp_replace(at, r"(?i) *[\[(] *dot *[\])] *", ".")
+    at = F.regexp_replace(F.coalesce(s, F.lit("")), r"(?i)(?:(?<! ) +)?[\[(] *at *[\])] *|＠", "@")
+    return F.regexp_replace(at, r"(?i)(?:(?<! ) +)?[\[(] *dot *[\])] *", ".")
 
 
 def decode_xor(code: Column) -> Column:
@@ -28,7 +28,8 @@ def decode_xor(code: Column) -> Column:
 
 
 def addresses(docs: DataFrame, ident: str, text: str) -> DataFrame:
-    """One row for each distinct address of a text, in lower case."""
+    """One row for each distinct address of a text, in lower case. Texts without a sign, plain or written out, are left aside first."""
+    docs = docs.where(F.col(text).rlike(r"(?i)@|＠|[\[(] *at *[\])]"))
     found = F.array_distinct(F.transform(F.regexp_extract_all(deobfuscate(F.col(text)), F.lit(EMAIL), F.lit(1)), lambda x: F.lower(x)))
     return docs.select(ident, F.explode(found).alias("address"))
 

@@ -75,12 +75,26 @@ def nearest(vectors: DataFrame, query: list[float], k: int, where: Column | None
 
 def strengths(docs: DataFrame, ident: str, text: str, words: list[str]) -> DataFrame:
     """(ident, word, strength): 1 for the whole word, STEM for one of its stem; texts without either have no row."""
-    own = F.inline(F.array(F.struct(F.array_distinct(T.words(F.col(text))).alias("words"))))
-    base = docs.select(ident, own).select(ident, "words", F.transform("words", T.stem).alias("stems"))
-    hits = F.array(*[F.struct(F.lit(w).alias("word"), F.when(F.array_contains("words", w), 1.0).when(F.array_contains("stems", stem_of(w)), STEM).otherwise(0.0).alias("strength")) for w in words])
+    base = docs.select(ident, F.inline(F.array(F.struct(F.array_distinct(T.words(F.col(text))).alias("words")))))
+    hits = F.array(*[F.struct(F.lit(w).alias("word"), strength(F.col("words"), w).alias("strength")) for w in words])
     return base.select(ident, F.inline(hits)).where("strength > 0")
 
 
+def strength(own: Column, word: str) -> Column:
+    """How a text's distinct words match a word. Only words that begin like its stem are stemmed."""
+    stem = stem_of(word)
+    return F.when(F.array_contains(own, word), 1.0).when(F.exists(F.filter(own, lambda x: x.startswith(stem[:3])), lambda x: T.stem(x) == stem), STEM).otherwise(0.0)
+
+
+def weights_of(docs: DataFrame, text: str, words: list[str]) -> DataFrame:
+    """word_weights of texts in one pass: their number and the words' document frequencies are one aggregate."""
+    base = docs.select(F.inline(F.array(F.struct(F.array_distinct(T.words(F.col(text))).alias("words")))))
+    one = base.agg(F.count(F.lit(1)).alias("n"), *[F.count_if(strength(F.col("words"), w) > 0).alias(f"d{i}") for i, w in enumerate(words)])
+    rows = one.select("n", F.inline(F.array(*[F.struct(F.lit(w).alias("word"), F.col(f"d{i}").alias("df")) for i, w in enumerate(words)])))
+    out = rows.withColumn("idf", F.round(idf_weight(F.col("df"), F.col("n")), 6)).withColumn("saturation", F.round(saturation(F.col("df"), F.col("n")), 6))
+    return out.select("word", "df", "idf", "saturation", F.round(F.col("idf") * F.col("saturation"), 6).alias("weight"))
+
+
 def stem_of(word: str) -> str:
     return next((word[: -len(s)] for s in T.SUFFIXES if word.endswith(s) and len(word) - len(s) >= 3), word)
 

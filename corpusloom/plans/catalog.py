@@ -327,8 +327,7 @@ i AS (SELECT word, df, n, CASE WHEN df = 0 OR n <= 1 THEN 1.0 ELSE ln((n + 1.0)
 SELECT word, df, round(idf, 6) AS idf, round(sat, 6) AS saturation, round(round(idf, 6) * round(sat, 6), 6) AS weight FROM i"""
 )
 def q_idf(spark, d):
-    docs = table(spark, d, "documents")
-    return retrieval.word_weights(retrieval.strengths(docs, "doc_id", "text", _WORDS), docs.count(), _WORDS)
+    return retrieval.weights_of(table(spark, d, "documents"), "text", _WORDS)
 
 
 @query(f"WITH {_STRENGTH} SELECT doc_id, round(1.0 - exp(sum(ln(1.0 - 0.5 * strength))), 6) AS combined FROM s WHERE strength > 0 GROUP BY 1")
