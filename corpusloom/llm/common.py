@@ -15,7 +15,7 @@ import uuid
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The characters of [\x20\x09-\x0D], which separate words.
@@ -27,7 +27,7 @@ LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _LOWER = np.frombuffer(LOWER, dtype=np.uint8)
 
 #: Modulus and base of the Rabin-Karp polynomials: a prime, so that no pattern of words meets another by its structure.
-PRIME, BASE = (1 << 61) - 1, 0x0D6E8FEB86659FD9
+PRIME, BASE, SECOND_BASE = (1 << 61) - 1, 0x0D6E8FEB86659FD9, 0x1B873593CC9E2D51
 _U = np.uint64
 _ENDS = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
 #: Words of more bytes than this are hashed one by one.
@@ -145,17 +145,17 @@ def window_starts(n: int, at: np.ndarray, size: int) -> np.ndarray:
     return np.flatnonzero(inside)
 
 
-def windows(words: np.ndarray, at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+def windows(words: np.ndarray, at: np.ndarray, size: int, base: int = BASE) -> tuple[np.ndarray, np.ndarray]:
     """(starts, hashes): Rabin-Karp hashes modulo PRIME of every window of `size` words that lies within one text. A window's
     polynomial is put together of those of its halves, so that no table of powers is kept."""
     starts = window_starts(len(words), at, size)
     if not len(starts):
         return starts, np.zeros(0, np.uint64)
     own = _reduced(words)
-    out, done, power, m = None, 0, BASE, 1
+    out, done, power, m = None, 0, base, 1
     while m <= size:
         if size & m:
-            out, done = (own, m) if out is None else (_reduced(_times(own[: len(own) - done], pow(BASE, done, PRIME)) + out[m : m + len(own) - done]), done + m)
+            out, done = (own, m) if out is None else (_reduced(_times(own[: len(own) - done], pow(base, done, PRIME)) + out[m : m + len(own) - done]), done + m)
         if 2 * m <= size:
             own = _reduced(_times(own[:-m], power) + own[m:])
             power = power * power % PRIME
@@ -203,6 +203,28 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def blocks_of(df: DataFrame, stored: int = 16 << 20) -> int:
+    """How many blocks a table falls into: the session's shuffle partitions, or more so that a block holds about `stored` bytes
+    of its files."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return max(partitions(df.sparkSession), size // stored if size < 1 << 60 else 1)
+
+
+def even_labels(spark: SparkSession, n: int) -> list[int]:
+    """n integers that hash partitioning deals to n different partitions, so that no task gets several blocks."""
+    tries = spark.range(n * (n.bit_length() + 10)).select(F.col("id").cast("int").alias("v"))
+    found = tries.groupBy(F.pmod(F.hash("v"), F.lit(n)).alias("p")).agg(F.min("v").alias("v")).orderBy("p").collect()
+    out = [r["v"] for r in found]
+    spare = iter(range(n * (n.bit_length() + 10), 1 << 31))
+    return out + [next(spare) for _ in range(n - len(out))]
+
+
+def labelled(place: Column, labels: list[int]) -> Column:
+    """The label of a place; a place beyond the labels has one of its own. The list is a constant of the plan."""
+    known = F.get(F.split(F.lit(",".join(map(str, labels))), ","), place).cast("int")
+    return F.coalesce(known, -1 - place)
+
+
 _own: list[str] = []
 
 

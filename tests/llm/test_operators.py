@@ -49,10 +49,11 @@ def words(t, lower=False):
     return WORD.findall(t.translate({c: c + 32 for c in range(65, 91)}) if lower else t)
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_substring_dedup(spark, seed):
-    rows = texts(seed)
-    got = {r.doc_id: r for r in substring_dedup.substring_dedup(frame(spark, rows), carry=["lang", "t"]).collect()}
+@pytest.mark.parametrize(("seed", "bits"), [(1, 64), (2, 64), (2, 8)])
+def test_substring_dedup(spark, seed, bits):
+    a, b = thue_morse(2048, "ab"), thue_morse(2048, "ba")
+    rows = [*texts(seed), " ".join([a] * 20), " ".join([b] * 20)]
+    got = {r.doc_id: r for r in substring_dedup.substring_dedup(frame(spark, rows), carry=["lang", "t"], hash_bits=bits).collect()}
     seen = set()
     for i, t in enumerate(rows):
         w = words(t)
@@ -303,6 +304,66 @@ def test_host_boilerplate(spark):
     assert got == {**{k: f"own text of page number {k} with words w{k}" for k in range(4)}, 9: line, 10: "", 11: line}
 
 
+def test_names_beside_other_words_are_prose():
+    for html in ("<main><div id='related-work'>kept</div></main>", "<main><section class='social-history'>kept</section></main>", "<div class='post-share-story'>kept</div>"):
+        main, opened, out, _ = html_text.scan(html)
+        assert main + opened == ["kept"] and out == []
+    for name in ("ad", "ad-slot", "siteFooter", "x share-buttons", "comment_list", "related-posts"):
+        assert html_text.scan(f"<main><div class='{name}'>gone</div></main>")[0] == []
+
+
+def by_hand(pages, least=html_text.REPEAT):
+    """Texts of one host's pages by comparing all windows of words."""
+    seen = collections.defaultdict(lambda: collections.defaultdict(set))
+    scanned = []
+    for k, html in pages:
+        main, opened, out, declared = html_text.scan(html)
+        kinds = [("d", x) for x in main] + [("l" if declared else "o", x) for x in opened] + [("l", x) for x in out]
+        scanned.append(kinds)
+        for kind, block in kinds:
+            w = block.split(" ")
+            for i in range(len(w) - least + 1):
+                seen[tuple(w[i : i + least])][kind].add(k)
+    texts_ = {}
+    for (k, _), kinds in zip(pages, scanned, strict=True):
+        blocks = []
+        for kind, block in kinds:
+            w = block.split(" ")
+            gone = [False] * len(w)
+            for i in range(len(w) - least + 1):
+                s = seen[tuple(w[i : i + least])]
+                if kind == "o" and len(s["o"] | s["l"]) > 1 or kind == "d" and len(s["d"]) > 1 and len(s["l"]) > 1:
+                    gone[i : i + least] = [True] * least
+            left = " ".join(x for x, g in zip(w, gone, strict=True) if not g)
+            if kind != "l" and left:
+                blocks.append(left)
+        texts_[k] = "\n\n".join(blocks)
+    return texts_
+
+
+@pytest.mark.parametrize("shard", [4, 1024])
+def test_html_against_brute_force(spark, monkeypatch, shard):
+    monkeypatch.setattr(html_text, "SHARD", shard)
+    r = random.Random(31)
+    lines = [" ".join(r.choice("abcdefgh") + str(r.randrange(40)) for _ in range(r.choice((6, 9, 14)))) for _ in range(25)]
+    def page(k):
+        line = lambda: r.choice(lines) if r.random() < 0.5 else " ".join(f"q{r.randrange(9999)}" for _ in range(10))
+        body = "".join(f"<p>{line()} {line()}</p>" for _ in range(3))
+        if k % 3 == 0:
+            return f"<body><div>{line()}</div>{body}<footer>{line()}</footer></body>"
+        return f"<body><nav>{line()}</nav><article>{body}</article><div class='notice'>{line()}</div></body>"
+
+    pages = [(k, page(k)) for k in range(60)]
+    want = by_hand(pages)
+    rows = [(k, f"https://h.example/{k}", h, "x", 1) for k, h in pages]
+    got = {x.page_id: x.text for x in html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string, text string, __host int")).collect()}
+    assert got == want and any(want[k] != "\n\n".join(html_text.scan(h)[0]) for k, h in pages if k % 3)
+
+
+def test_html_empty_table(spark):
+    assert html_text.main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
 def test_language_id(spark):
     r = random.Random(12)
     speak = {"aa": ("the", "of", "and", "tion"), "bb": ("der", "und", "schl", "ung"), "cc": ("que", "ción", "los", "ñar")}
@@ -360,7 +421,7 @@ def test_lm_base_and_gradients(spark):
         assert abs(got[i].base_score - base) < 1e-6 * max(1, abs(base)) and got[i].score < 0
     rng = np.random.default_rng(1)
     ids = rng.integers(0, 50, 200)
-    m = lm.Model(rng, np.arange(50), np.arange(50) % lm.CLASSES, np.zeros(50))
+    m = lm.Model(rng, np.arange(50), np.arange(50) % lm.CLASSES, np.zeros((lm.CLASSES, 50)))
     m.p = {k: w.astype(np.float64) for k, w in m.p.items()}
     x, real, y, use = lm.cut_windows(ids, np.array([120, 80]), 49)
     assert y[use].tolist() == ids.tolist()  # each id is scored once, in order
