@@ -13,7 +13,8 @@ grams (each as often as it stands) that some language's sample texts have. The b
 from the other half of the sample; texts of few grams get the slack of their standard error.
 
 Defined cases: null texts and texts without a letter are `und` with score 0; with nothing to learn from, all are; rows
-repeated or with null ids are scored one by one (a null id is never learned from nor held out).
+repeated or with null ids are scored one by one (a null id is never learned from nor held out); of equal scores the label that sorts
+first wins; texts of any length are read whole; a table without rows gives none; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -176,18 +177,18 @@ def fit(docs: DataFrame, id_col: str, text_col: str, label_col: str, train) -> M
 
 
 def language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", train=None, carry: list[str] = ()) -> DataFrame:
-    """Returns doc_id, lang_pred, score, learned, and text with the columns of `carry`. `train` is the condition that marks rows
-    to learn from; by default those whose crc32(id as text) mod 5 is not 0."""
+    """Returns doc_id, lang_pred, score, learned, and the columns of `carry`; texts come back from the workers only if `carry` names
+    them. `train` is the condition that marks rows to learn from; by default those whose crc32(id as text) mod 5 is not 0."""
     train = C.crc_fold(F.col(id_col)) != 0 if train is None else train
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, id_col, text_col, label_col, train))
-    slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), *[F.col(c).alias(f"__c{i}") for i, c in enumerate(carry)])
+    slim = docs.select(F.col(id_col).alias("doc_id"), *[F.col(c).alias(f"__c{i}") for i, c in enumerate(carry)], F.col(text_col).cast("string").alias("__text"))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
         for batch in batches:
             for a in range(0, batch.num_rows, 256):
                 part = batch.slice(a, 256)
-                counts, has = gram_counts(part["text"].to_pylist())
+                counts, has = gram_counts(part["__text"].to_pylist())
                 learned = has
                 if m.labels:
                     best, p = m.score((counts > 0).astype(np.float32))
@@ -196,7 +197,7 @@ def language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     p = np.where(has, p, 0.0)
                 else:
                     pred, p = [UNKNOWN] * len(has), np.zeros(len(has))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(pred, pa.string()), pa.array(p.astype(np.float64)), pa.array(learned)], names=[*part.schema.names, "__pred", "__score", "__learned"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(pred, pa.string()), pa.array(p.astype(np.float64)), pa.array(learned)], names=[*part.schema.names[:-1], "__pred", "__score", "__learned"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema.fields) + ", __pred string, __score double, __learned boolean"
-    return slim.mapInArrow(score, schema).select("doc_id", F.col("__pred").alias("lang_pred"), F.col("__score").alias("score"), F.col("__learned").alias("learned"), "text", *[F.col(f"__c{i}").alias(c) for i, c in enumerate(carry)])
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema.fields[:-1]) + ", __pred string, __score double, __learned boolean"
+    return slim.mapInArrow(score, schema).select("doc_id", F.col("__pred").alias("lang_pred"), F.col("__score").alias("score"), F.col("__learned").alias("learned"), *[F.col(f"__c{i}").alias(c) for i, c in enumerate(carry)])
