@@ -25,7 +25,7 @@ SHINGLE_WORDS, SIMILARITY = 5, (80, 100)
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects texts without a letter, texts of no learned language, and texts that stand out in none."""
-    seen = language_id.language_id(docs, carry=["lang", "source", "n_chars"])
+    seen = language_id.language_id(docs, carry=["text", "lang", "source", "n_chars"])
     return seen.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= MIN_LANGUAGE_SCORE) & F.col("learned")).select(COLUMNS)
 
 
