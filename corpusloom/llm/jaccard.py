@@ -15,9 +15,10 @@ tree: sets, leaders of batches, leader of the key.
 A set's sketch is the parity of the number of its shingles in each of SKETCH hashed places (and of WIDE, for pairs that these do
 not tell apart): a shingle that two sets do not share turns one place, so sketches never differ in more places than the sets in
 shingles, and pairs whose sketches differ too much are no links. The rest is verified on the words themselves. A set is first compared with the leader that it
-meets most often, then with its leaders of other components; sets of a key whose tree is still in several components are
-compared across these, behind the same sketch test. So a dense group of near copies costs about one verification a set, and no
-link between different components is missed.
+meets most often, then with its leaders of other components. Keys whose sets are still in several components get ROUNDS more
+leaders, drawn by a hash of key and set, with which their sets of other components are compared; so a dense group whose sets link to
+some of each other soon is one component, at one row for each key and set. What is left is compared across components, each pair at
+its least common key, behind the same sketch test. So no link between different components is missed.
 
 Exactness: sizes and verified links come from words that are numbered by hash and compared byte by byte. Hashes of shingles only
 make candidates: equal shingles have equal hashes, so linked sets differ in no more hashes than shingles. Equal sequences of words
@@ -49,6 +50,8 @@ from .filters import MASK_BITS, mask_of
 #: Cost model: what the verification of a chance candidate costs in rows, and how often two sets share a given shingle by chance.
 CANDIDATE_COST, CHANCE = 2000.0, 1e-4
 SKETCH, WIDE = 256, 2048
+#: Leaders drawn for keys in several components before all of their sets are compared.
+ROUNDS = 3
 #: Keys that a batch holds before it sends them, and that a range of keys shall have.
 BATCH_KEYS, RANGE_KEYS = 1 << 19, 1 << 20
 _SKETCHES = [f"s{i}" for i in range(SKETCH // 64)]
@@ -379,13 +382,15 @@ class _Search:
         apart = F.aggregate(F.zip_with("wide_x", "wide_y", lambda a, b: F.bit_count(a.bitwiseXOR(b)).cast("int")), F.lit(0), lambda a, b: a + b)
         return out.where(apart * (t.den + t.num) <= (F.col("size_x") + F.col("size_y")) * (t.den - t.num)).select(pairs.columns)
 
-    def links(self, pairs: DataFrame) -> DataFrame:
+    def texts(self, ends: DataFrame) -> DataFrame:
+        """Packed words (d1, d2, body) of the nodes with these digests d1, and of some others."""
+        mask = self.slim.sparkSession.sparkContext.broadcast(mask_of(ends, "d1"))
+        return self.slim.select("__text").mapInArrow(_fetch(mask, self.bits), "d1 bigint, d2 bigint, body binary").groupBy("d1", "d2").agg(F.first("body").alias("body"))
+
+    def links(self, pairs: DataFrame, texts: DataFrame | None = None) -> DataFrame:
         """Verified links (a, b) of pairs (node_x, node_y and their digests). A text moves once, and once more for each pair
         that has it as x; texts of the corpus that are in no pair do not move."""
-        spark = self.slim.sparkSession
-        ends = pairs.select(F.explode(F.array("d1_x", "d1_y")).alias("d1"))
-        mask = spark.sparkContext.broadcast(mask_of(ends, "d1"))
-        texts = self.slim.select("__text").mapInArrow(_fetch(mask, self.bits), "d1 bigint, d2 bigint, body binary").groupBy("d1", "d2").agg(F.first("body").alias("body"))
+        texts = self.texts(pairs.select(F.explode(F.array("d1_x", "d1_y")).alias("d1"))) if texts is None else texts
         named = lambda side: texts.select(F.col("d1").alias(f"d1_{side}"), F.col("d2").alias(f"d2_{side}"), F.col("body").alias(f"b{side}"))
         slim = pairs.select("d1_x", "d2_x", "d1_y", "d2_y", F.col("node_x").alias("x"), F.col("node_y").alias("y"))
         both = slim.join(named("x"), ["d1_x", "d2_x"]).join(named("y"), ["d1_y", "d2_y"])
@@ -444,13 +449,26 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     there = C.stash(met.join(split, "key", "left_semi").select("key", F.explode(F.array("x", "lead")).alias("d1")).distinct(), "there")
     C.drop(met)
     if not there.isEmpty():
-        sets = _roots(there.join(nodes.select("d1", "d2", "node", "n", *_SKETCHES), "d1"), "node", linked, "root")
-        side = lambda name: sets.select("key", *[F.col(c).alias(f"{c}_{name}") for c in ("d1", "d2", "node", "root", "n", *_SKETCHES)])
-        cross = side("x").join(side("y"), "key").where("node_x > node_y AND root_x <> root_y").where(search.close())
-        cross = C.stash(search.closer(cross.select("node_x", "node_y", "d1_x", "d2_x", "d1_y", "d2_y").distinct()), "cross")
-        if not cross.isEmpty():
-            linked = _joined(linked, search.links(cross))
-        C.drop(cross)
+        columns = ["node_x", "node_y", "d1_x", "d2_x", "d1_y", "d2_y"]
+        sets = C.stash(there.join(nodes.select("d1", "d2", "node", "n", *_SKETCHES), "d1"), "sets")
+        texts = C.stash(search.texts(sets.select("d1")), "texts")
+        side = lambda df, name: df.select("key", *[F.col(c).alias(f"{c}_{name}") for c in ("d1", "d2", "node", "root", "n", *_SKETCHES)])
+        for k in range(ROUNDS + 1):
+            rooted = _roots(sets, "node", linked, "root")
+            several = rooted.groupBy("key").agg(F.min("root").alias("r"), F.max("root").alias("s"), F.max(F.struct(F.xxhash64("key", "node", F.lit(k)), "node")).alias("drawn")).where("r <> s")
+            open_ = rooted.join(several.select("key", F.col("drawn.node").alias("drawn")), "key")
+            if k < ROUNDS:
+                cross = side(open_, "x").join(side(open_.where("node = drawn"), "y"), "key").where("root_x <> root_y").where(search.close()).select(columns).distinct()
+            else:
+                keys = open_.groupBy("node").agg(F.array_sort(F.collect_list("key")).alias("keys"))
+                x, y = (side(open_, name).join(keys.toDF(f"node_{name}", f"keys_{name}"), f"node_{name}") for name in ("x", "y"))
+                first = F.array_min(F.array_intersect("keys_x", "keys_y")) == x["key"]
+                cross = x.join(y, x["key"] == y["key"]).where("node_x > node_y AND root_x <> root_y").where(search.close()).where(first).select(columns)
+            cross = C.stash(search.closer(cross), "cross")
+            if not cross.isEmpty():
+                linked = _joined(linked, search.links(cross, texts))
+            C.drop(cross)
+        C.drop(sets, texts)
     C.drop(there)
     least = linked.join(nodes.select("node", "least"), "node").groupBy("root").agg(F.min("least").alias("component"))
     named = linked.join(least, "root").select("node", "component")
