@@ -5,17 +5,22 @@ where they merge into one table of counts that grows with the corpus. Its totals
 by the vocabulary), come to the driver.
 
 Model: subword ids fall into CLASSES clusters (k-means on neighbour profiles, which count the neighbours of every id in all
-training texts); one causal self-attention layer and a feed-forward layer predict the class of the next id; within a class
-an id has its share of all training texts. Weights start from SAMPLE training texts on the driver. Then every training text
-is learned from once: texts are dealt by a hash into ROUNDS rounds and each round's into groups; a group takes Adam steps
-over all its windows from the weights of the round before, and the groups' weights are averaged, by their windows.
+training texts); one causal self-attention layer and a feed-forward layer predict the class of the next id. Within its class an id has the
+share that it has in all training texts after ids of the group of the id before it (GROUPS clusters of the same profiles), so that
+the table of shares grows with the vocabulary alone: GROUPS x ids in half precision, 26 MB for 50k ids. Weights start from SAMPLE
+training texts on the driver. Then every training text is learned from once: texts are dealt by a hash into ROUNDS rounds and each
+round's into groups of texts; each takes Adam steps over all its windows from the weights of the round before, and the weights are
+averaged, by their windows. A word's probability is the mean of the attention model's and of its smoothed share of all words.
 
 Scoring: texts are dealt into blocks; a block asks the ranges for the counts of its distinct words (one key for each word
-and block, however frequent), gets them back, and scores its texts: each id is scored once, in windows of STRIDE new ids
+and block, however frequent), gets them back, and scores its texts (blocks are as many as the shuffle partitions, or more where one would
+hold over 16 MB of files, and each is dealt to a partition of its own): each id is scored once, in windows of STRIDE new ids
 that see the STRIDE ids before them, by batched masked attention.
 
 Defined cases: null texts are empty and consist of the end alone; rows with null ids are learned from as not held out only
-if their fold says so (a null fold is neither); repeated rows are scored and counted one by one; words are 64-bit hashes.
+if their fold says so (a null fold is neither); repeated rows are scored and counted one by one; texts of any length are scored whole,
+a long one makes its block longer; a table without rows gives none; other columns, whatever their names, are ignored. Words are
+known by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -31,9 +36,11 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-SAMPLE, CLASSES, WIDTH, HIDDEN, STRIDE, ROWS, STEPS, BATCH = 512, 64, 16, 32, 16, 4096, 400, 128
+SAMPLE, CLASSES, GROUPS, WIDTH, HIDDEN, STRIDE, ROWS, STEPS, BATCH = 512, 16, 256, 16, 16, 16, 4096, 400, 128
 #: Neighbours that a profile counts on each side; passes of averaging, the rate of each, and pieces in which weights are averaged.
 BESIDE, ROUNDS, RATES, PIECES = 192, 2, (0.003, 0.001), 16
+#: Weight of an id's share of its class in its share after the class of the id before it, in counts.
+PRIOR = 8.0
 #: Share of the attention component in the probability of a word; the rest is the word's smoothed share of the corpus.
 MIX = 0.5
 LN10 = float(np.log(10.0))
@@ -156,6 +163,41 @@ def _beside(slot: np.ndarray, parts: int):
     return count
 
 
+def _after(groups: np.ndarray, parts: int):
+    """Counts of each id after an id of each group (the end's before a text's first), over the texts of a task."""
+    schema = pa.schema([("part", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
+    size, end = len(groups), len(groups) - 1
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = np.zeros(GROUPS * size, np.uint32)
+        for batch in batches:
+            for a in range(0, batch.num_rows, 1024):
+                ids, _ = _join(batch["seq"].slice(a, 1024).to_pylist(), size)
+                before = groups[np.concatenate(([end], ids[:-1]))]  # texts close with the end
+                np.add.at(found, before * size + ids, np.uint32(1))
+        keys = np.flatnonzero(found).astype(np.uint64)
+        counts = found[keys.astype(np.int64)]
+        edges = np.searchsorted(keys, np.array([GROUPS * size * p // parts for p in range(parts + 1)], np.uint64))
+        full = np.flatnonzero(np.diff(edges))
+        yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array([C.pack_sorted(keys[edges[p] : edges[p + 1]]) for p in full], pa.binary()), pa.array([C.pack_counts(counts[edges[p] : edges[p + 1]]) for p in full], pa.binary())], schema=schema)
+
+    return count
+
+
+def shares(classes: np.ndarray, counts: np.ndarray, after: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """within of a model: an id's smoothed share of its class after each group of the id before it."""
+    size = len(classes)
+    total = np.bincount(classes, counts + 0.5, minlength=CLASSES)
+    plain = (counts + 0.5) / total[classes]
+    out, row = np.zeros((GROUPS, size), np.float16), np.zeros(size)
+    for g, (a, b) in enumerate(zip(*(np.searchsorted(after[0], (np.arange(GROUPS) + k) * size) for k in (0, 1)), strict=True)):
+        row[:] = 0
+        row[after[0][a:b] - g * size] = after[1][a:b]
+        seen = np.bincount(classes, row, minlength=CLASSES)
+        out[g] = np.log((row + PRIOR * plain) / (seen[classes] + PRIOR))
+    return out
+
+
 def _sum_beside(rows: pa.Table) -> pa.Table:
     keys = np.concatenate([C.unpack_sorted(x) for x in rows["keys"].to_pylist()])
     counts = np.concatenate([C.unpack_counts(x).astype(np.int64) for x in rows["counts"].to_pylist()])
@@ -188,8 +230,9 @@ def _sum(rows: pa.Table) -> pa.Table:
 class Model:
     """One causal self-attention layer and a feed-forward layer over embeddings of ids, with classes as outputs."""
 
-    def __init__(self, rng: np.random.Generator, rows: np.ndarray, classes: np.ndarray, within: np.ndarray):
-        self.rows, self.classes, self.within = rows.astype(np.int32), classes.astype(np.int32), within  # of each id: embedding row, class, log share in it
+    def __init__(self, rng: np.random.Generator, rows: np.ndarray, classes: np.ndarray, groups: np.ndarray, within: np.ndarray):
+        """within[g, id]: log share of an id in its class after an id of group g."""
+        self.rows, self.classes, self.groups, self.within = rows.astype(np.int32), classes.astype(np.int32), groups.astype(np.int32), within
         d, f = WIDTH, np.float32
         put = lambda *s: (rng.standard_normal(s) / np.sqrt(s[0])).astype(f)
         self.p = {"emb": (rng.standard_normal((ROWS, d)) * 0.5).astype(f), "pos": (rng.standard_normal((2 * STRIDE, d)) * 0.1).astype(f), "q": put(d, d), "k": put(d, d), "v": put(d, d), "o": put(d, d), "w1": put(d, HIDDEN), "b1": np.zeros(HIDDEN, f), "w2": put(HIDDEN, d), "u": put(d, CLASSES), "bias": np.zeros(CLASSES, f)}
@@ -200,7 +243,7 @@ class Model:
     def like(cls, other: Model, p: dict) -> Model:
         """The same classes and rows with other weights."""
         out = cls.__new__(cls)
-        out.rows, out.classes, out.within, out.seen, out.p = other.rows, other.classes, other.within, other.seen, p
+        out.rows, out.classes, out.groups, out.within, out.seen, out.p = other.rows, other.classes, other.groups, other.within, other.seen, p
         return out
 
     def prepare(self) -> None:
@@ -234,7 +277,7 @@ class Model:
         y += p["bias"]
         np.minimum(y, 80.0, out=y)
         flat = target.ravel()
-        got = y[np.arange(len(y)), self.classes[flat]] + self.within[flat]
+        got = y[np.arange(len(y)), self.classes[flat]] + self.within[self.groups[tokens[:, s:]].ravel(), flat]
         np.exp(y, out=y)
         return (got - np.log(y.sum(-1))).reshape(n, s)
 
@@ -326,14 +369,14 @@ def cut_windows(ids: np.ndarray, lens: np.ndarray, end: int) -> tuple[np.ndarray
     return np.maximum(x, 0), x >= 0, np.maximum(y, 0), y >= 0
 
 
-def cluster(beside: tuple[np.ndarray, np.ndarray], coder_spaced: np.ndarray, counts: np.ndarray, end: int) -> np.ndarray:
-    """Class of each id: k-means on the neighbours that ids seen often enough have in all training texts, given as places
+def cluster(beside: tuple[np.ndarray, np.ndarray], coder_spaced: np.ndarray, counts: np.ndarray, end: int, kinds: int = CLASSES) -> np.ndarray:
+    """Which of `kinds` classes each id is in: k-means on the neighbours that ids seen often enough have in all training texts, given as places
     in a matrix of ids by neighbours and their counts; the others by whether they begin a word; the end has its own."""
     size = len(counts)
     out = np.where(coder_spaced, 0, 1).astype(np.int64)
     out[end] = 2
     often = np.flatnonzero((counts >= 4) & (np.arange(size) != end))
-    if len(often) > CLASSES:
+    if len(often) > kinds:
         line = np.full(size, -1)
         line[often] = np.arange(len(often))
         wide = 2 * BESIDE
@@ -343,7 +386,7 @@ def cluster(beside: tuple[np.ndarray, np.ndarray], coder_spaced: np.ndarray, cou
         prof[mine[mine >= 0], (place % wide)[mine >= 0]] = many[mine >= 0]
         np.sqrt(prof, out=prof)
         prof /= np.maximum(1e-9, np.linalg.norm(prof, axis=1, keepdims=True))
-        k = CLASSES - 3
+        k = kinds - 3
         centre = prof[np.argsort(-counts[often], kind="stable")[:k]]
         weight = np.sqrt(counts[often]).astype(np.float32)[:, None]
         for _ in range(10):
@@ -364,16 +407,13 @@ def top_slots(counts: np.ndarray) -> np.ndarray:
     return slot
 
 
-def begin(ids: np.ndarray, lens: np.ndarray, counts: np.ndarray, beside: tuple[np.ndarray, np.ndarray], spaced: np.ndarray, end: int) -> Model:
-    """Model from the counts of ids and neighbours over all training texts; its first weights are fitted to the ids given."""
+def begin(ids: np.ndarray, lens: np.ndarray, counts: np.ndarray, classes: np.ndarray, groups: np.ndarray, within: np.ndarray, end: int) -> Model:
+    """Model from the counts over all training texts; its first weights are fitted to the ids given."""
     rng = np.random.default_rng(11)
-    classes = cluster(beside, spaced, counts, end)
-    total = np.bincount(classes, counts + 0.5, minlength=CLASSES)
-    within = (np.log(counts + 0.5) - np.log(total[classes])).astype(np.float32)
     rows = classes.copy()
     top = np.argsort(-counts, kind="stable")[: ROWS - CLASSES]
     rows[top] = CLASSES + np.arange(len(top))
-    model = Model(rng, rows, classes, within)
+    model = Model(rng, rows, classes, groups, within)
     model.prepare()
     if not len(lens):
         return model
@@ -420,11 +460,19 @@ def _add(rows: pa.Table) -> pa.Table:
 def fit(seqs: DataFrame, counts: np.ndarray, coder: Subwords, n: int) -> Model:
     """Model from the ids (h, seq) of all training texts."""
     spark = seqs.sparkSession
-    found = seqs.select("seq").mapInArrow(_beside(top_slots(counts), n), "part int, keys binary, counts binary").groupBy("part").applyInArrow(_sum_beside, "keys binary, counts binary").collect()
-    place = np.concatenate([C.unpack_sorted(r["keys"]) for r in found]).astype(np.int64) if found else np.zeros(0, np.int64)
-    beside = place, np.concatenate([np.frombuffer(r["counts"], "<i8") for r in found]) if found else place
+
+    def gathered(count) -> tuple[np.ndarray, np.ndarray]:
+        found = seqs.select("seq").mapInArrow(count, "part int, keys binary, counts binary").groupBy("part").applyInArrow(_sum_beside, "keys binary, counts binary").collect()
+        place = np.concatenate([C.unpack_sorted(r["keys"]) for r in found]).astype(np.int64) if found else np.zeros(0, np.int64)
+        many = np.concatenate([np.frombuffer(r["counts"], "<i8") for r in found]) if found else place
+        order = np.argsort(place, kind="stable")
+        return place[order], many[order]
+
+    beside = gathered(_beside(top_slots(counts), n))
+    classes, groups = (cluster(beside, coder.spaced, counts, coder.end, k) for k in (CLASSES, GROUPS))
+    within = shares(classes, counts, gathered(_after(groups, n)))
     first = sorted(bytes(r["seq"]) for r in seqs.orderBy("h", "seq").limit(SAMPLE).select("seq").collect())
-    model = begin(*_join(first, coder.size), counts, beside, coder.spaced, coder.end)
+    model = begin(*_join(first, coder.size), counts, classes, groups, within, coder.end)
     deal = F.pmod(F.shiftright("h", 8), F.lit(n)).cast("int")
     for k in range(ROUNDS if first else 0):
         shared = spark.sparkContext.broadcast(model)
@@ -535,7 +583,9 @@ def score_texts(docs: DataFrame, vocab_path: str, pattern: str, id_col: str = "d
     coder = subwords(vocab_path, pattern)
     counts = np.concatenate([np.frombuffer(r["ids"], "<i8") for r in totals]) if totals else np.zeros(coder.size, np.int64)
     shared = spark.sparkContext.broadcast(fit(raw.where("part < 0").select("h", "seq"), counts, coder, n))
-    dealt = slim.withColumn("__t", F.pmod(F.xxhash64("__id", "__text"), F.lit(2 * n)).cast("int")).repartition(n, "__t")
+    blocks = C.blocks_of(docs)
+    place = F.pmod(F.xxhash64("__id", "__text"), F.lit(blocks)).cast("int")
+    dealt = slim.withColumn("__t", C.labelled(place, C.even_labels(spark, blocks))).repartition(blocks, "__t")
     asked = dealt.groupBy("__t").applyInArrow(_ask(n), "t int, part int, run binary")
     answers = asked.groupBy("part").cogroup(table.select("part", "keys", "counts").groupBy("part")).applyInArrow(_answer, "t int, part int, counts binary")
     scored = dealt.groupBy("__t").cogroup(answers.groupBy("t")).applyInArrow(
