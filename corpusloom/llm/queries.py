@@ -1,11 +1,11 @@
-"""The registered queries op1 .. op10: thin views of the operators that derive what each contract names."""
+"""The registered queries op1 .. op13: thin views of the operators that derive what each contract names."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, common, exact_dedup, html_text, jaccard, language_id, lm, packing, substring_dedup
+from . import bpe, common, exact_dedup, html_text, jaccard, language_id, lexical_search, lm, packing, substring_dedup, vector_codes, vector_search
 from . import quality as quality_model
 from . import quality_rules as rules
 
@@ -120,3 +120,56 @@ def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     out = lm.score_texts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     return out.select("doc_id", held_out("doc_id", 1), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@query
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+_TERMS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+SQL["op11_lexical_search"] = rf"""
+WITH d AS (SELECT doc_id, {_TERMS} AS ts FROM documents),
+g AS (SELECT count(*) AS n_docs, sum(len(ts)) AS total FROM d WHERE len(ts) > 0),
+p AS (SELECT doc_id, n, t, count(*) AS tf FROM (SELECT doc_id, len(ts) AS n, unnest(ts) AS t FROM d) GROUP BY ALL),
+w AS (SELECT t, CAST(floor(1000 * ln(CAST(2 * any_value(n_docs) + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS w FROM p, g GROUP BY t),
+q AS (SELECT DISTINCT item_id, unnest({_TERMS}) AS t FROM benchmark),
+s AS (SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * n_docs) // CAST(total AS BIGINT))))) AS BIGINT) AS score
+      FROM q JOIN p USING (t) JOIN w USING (t), g GROUP BY item_id, doc_id)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0) WHERE rank <= 50
+"""
+
+
+@query
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.encode(table(spark, sf_dir, "embeddings"))
+
+
+def _lloyd_sql(parts: int = 4, entries: int = 256, rounds: int = 4) -> str:
+    """Lloyd rounds as one query: cb0 .. cb4 are the codebooks, a0 .. a4 the assignments by them."""
+    nearest = """a{k} AS MATERIALIZED (SELECT vec_id, pos, label, v, min(d) AS d, arg_min(e, (d, e)) AS e
+FROM (SELECT x.vec_id, x.pos, x.label, x.v, c.e, CAST(list_dot_product(x.v, x.v) - 2 * list_dot_product(x.v, c.v) + list_dot_product(c.v, c.v) AS BIGINT) AS d FROM x JOIN cb{k} c ON x.pos = c.pos)
+GROUP BY vec_id, pos, label, v)"""
+    step = """f{n} AS (SELECT pos, e, i, CAST(floor(sum(CAST(y AS BIGINT)) / count(*)) AS DOUBLE) AS y FROM (SELECT pos, e, unnest(v) AS y, unnest(range(len(v))) AS i FROM a{k}) GROUP BY pos, e, i),
+cb{n} AS MATERIALIZED (SELECT pos, e, coalesce(any_value(new.v), any_value(old.v)) AS v FROM cb{k} old LEFT JOIN (SELECT pos, e, list(y ORDER BY i) AS v FROM f{n} GROUP BY pos, e) new USING (pos, e) GROUP BY pos, e)"""
+    steps = ",\n".join([nearest.format(k=0)] + [step.format(n=n, k=n - 1) + ",\n" + nearest.format(k=n) for n in range(1, rounds + 1)])
+    return rf"""
+WITH k AS (SELECT vec_id, label, list_transform(embedding, lambda c: floor(1024 * CAST(c AS DOUBLE))) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+x AS MATERIALIZED (SELECT vec_id, label, pos, v[pos * len(v) // {parts} + 1:(pos + 1) * len(v) // {parts}] AS v FROM k, (SELECT unnest(range({parts})) AS pos)),
+cb0 AS MATERIALIZED (SELECT pos, CAST(row_number() OVER (PARTITION BY pos ORDER BY vec_id) - 1 AS BIGINT) AS e, v FROM x QUALIFY e < {entries}),
+{steps},
+h AS (SELECT sha256(string_agg(array_to_string(list_transform(v, lambda c: CAST(CAST(c AS BIGINT) AS VARCHAR)), ','), ',' ORDER BY pos, e)) AS codebooks_sha256 FROM cb{rounds}),
+r AS (SELECT vec_id, label, string_agg(printf('%02x', e), '' ORDER BY pos) AS code, CAST(sum(d) AS BIGINT) AS error FROM a{rounds} GROUP BY vec_id, label)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM r, h
+"""
+
+
+SQL["op12_vector_codes"] = _lloyd_sql()
+
+
+@query
+def op13_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_search.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
