@@ -10,7 +10,7 @@
    column blocks; a query's lists are scanned nearest first. After each block a hypothesis test drops the candidates whose distance, judged by the
    dimensions seen, is beyond the k-th best so far at confidence EPSILON; what is left after the last block is scored exactly on the original vectors in double precision.
 
-The sample and the trial queries are bounded (SAMPLE_PER_LIST * LISTS rows, TRIAL rows) and drawn by a hash of the row, and so is the model, whatever the input.
+The sample and the trial queries are bounded (SAMPLE_PER_LIST * LISTS rows and SAMPLE components, TRIAL rows) and drawn by a hash of the row, and so is the model, whatever the input.
 
 Defined cases: vectors that are null, zero, without components or with null or non-finite ones take no part, nor do those of another length than most have; null ids are no queries, and come
 last among equal scores; rows that repeat an id are rows of their own, also as queries; a query has every row but itself as candidate, so equal vectors find each
@@ -33,6 +33,8 @@ from .vectors import dimension, usable
 
 K, LIST, LISTS, SAMPLE_PER_LIST, TRIAL, RECALL = 5, 512, 4096, 32, 256, 0.98
 CELL, QUERIES, COLUMNS, EPSILON = 16384, 2048, 16, 2.1
+#: Components of all sample vectors together.
+SAMPLE = 1 << 23
 #: Float noise of a squared distance of unit vectors.
 NOISE = 1e-5
 
@@ -249,8 +251,8 @@ def nearest(vectors: DataFrame, is_query, id_col: str = "vec_id", vector_col: st
     if not count:
         return vectors.sparkSession.createDataFrame([], f"query_id {name}, rank int, vec_id {name}, score double")
     lists = min(LISTS, max(1, count // list_size))
-    sample = [r["v"] for r in kept.orderBy(F.xxhash64("row"), "row").limit(lists * SAMPLE_PER_LIST).select("v").collect()]
-    c = centroids(unit(np.array(sample, np.float64)), min(lists, len(sample)))
+    drawn = kept.orderBy(F.xxhash64("row"), "row").limit(min(lists * SAMPLE_PER_LIST, max(1, SAMPLE // width))).select("v").toArrow()
+    c = centroids(unit(matrix(drawn["v"], width)), min(lists, drawn.num_rows))
     listed = C.stash(kept.mapInArrow(_assign(c), f"vec_id {name}, v {array}, row bigint, list int"), "listed")
     C.drop(kept)
     asked = F.coalesce(is_query, F.lit(False))
