@@ -53,14 +53,15 @@ def stem(word: Column) -> Column:
 
 
 def negated(s: Column, word: str) -> Column:
-    """Whether the word's first whole occurrence is negated: a negation within 40 characters before it, or a "not yet" phrase within
-    40 after. Null if the word does not occur."""
+    """Whether the first whole occurrence of a word (or of a pattern of words) is negated: a negation within 40 characters before it, or a
+    "not yet" phrase within 40 after. Null if the word does not occur."""
     low = F.lower(F.coalesce(s, F.lit("")))
     before = F.regexp_extract(low, rf"(?s)^(.*?)(?<![a-z0-9_]){word}(?![a-z0-9_])", 1)
     there = low.rlike(rf"(?<![a-z0-9_]){word}(?![a-z0-9_])")
     start = F.length(before)
     near = F.substring(before, F.greatest(start - (WINDOW - 1), F.lit(1)), F.lit(WINDOW))
-    after = F.substring(low, start + len(word) + 1, F.lit(WINDOW))
+    there_len = F.lit(len(word)) if word.isalnum() else F.length(F.regexp_extract(low, rf"(?<![a-z0-9_])({word})(?![a-z0-9_])", 1))
+    after = F.substring(low, start + there_len + 1, F.lit(WINDOW))
     return F.when(there, near.rlike(NEGATION) | after.rlike(SOFT_NEGATION))
 
 

@@ -1,11 +1,11 @@
 """Hybrid ranking of chunks: cosine of hashed vectors, a keyword bonus, and the question's focus, in tiers.
 
-The question is read on the driver (a few words). Chunks are scored in one projection: words, stems and vectors are computed once a row,
-matches and their polarity follow from them. Document frequencies of the question's words are one aggregate over the chunks, whose few
-results go back as literals; scores never need all chunks in one place, and the best k are a TakeOrderedAndProject.
+The question is read on the driver (a few words). Chunks are written once with their words and hashed places; then one pass over their vocabulary finds the words that
+stand for the question's words, one aggregate their document frequencies, and one projection the scores. Only these words and few numbers go back as
+literals; scores never need all chunks in one place, and the best k are a TakeOrderedAndProject.
 
-Vectors are signed feature hashing of words, a deterministic stand-in for a sentence model. Matching by the meaning of single words, which
-such vectors cannot give, is left out: a word matches literally (1) or by its stem (0.9).
+Vectors are signed feature hashing of words, a deterministic stand-in for a sentence model: a chunk's dot products are sums over its words, and no
+dense vector is built. A word matches literally (1), by a similar word (see operators.similar; the cosine) or by its stem (0.9).
 """
 
 from __future__ import annotations
@@ -17,7 +17,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.scratch import written
 from . import retrieval as V
+from . import similar as S
 
 #: Weights of the keyword bonus, of the focus, of a phrase's words that stand alone, of the wrong polarity; the least
 #: similarity of a partner to its phrase.
@@ -111,25 +113,27 @@ def rank(chunks: DataFrame, ident: list[str], text: str, question: str, k: int =
     first, then those that have its partner, then by score, then by ident. A boost of 0 leaves the cosine and the focus alone."""
     q = Question.read(question)
     pool = chunks if where is None else chunks.where(where)
-    rows = pool.select(*ident, F.col(text).alias("text"), F.array_distinct(T.words(F.col(text))).alias("words"))
-    strength = lambda w: F.when(F.array_contains("words", w), 1.0).when(F.exists(F.filter("words", lambda x: x.startswith(V.stem_of(w)[:3])), lambda x: T.stem(x) == V.stem_of(w)), V.STEM).otherwise(0.0)
-    rows = rows.select(*ident, "text", *[strength(w).alias(f"s{i}") for i, w in enumerate(q.words)])
+    held = written(pool.select(*ident, F.col(text).alias("text"), F.array_distinct(T.words(F.col(text))).alias("words"), V.hash_places(F.col(text), dim).alias("places")), "chunks")
+    levels = alike(held, q.words)
+    rows = held.select(*ident, "text", "places", *[strength(levels[w]).alias(f"s{i}") for i, w in enumerate(q.words)])
     found = rows.agg(F.count(F.lit(1)).alias("n"), *[F.count_if(F.col(f"s{i}") > 0).alias(f"d{i}") for i in range(len(q.words))]).first()
     n, df = found["n"], {w: found[f"d{i}"] for i, w in enumerate(q.words)}
     idf = {w: idf_of(df[w], n) for w in q.words}
     f = focus(q, idf)
     s = {w: F.col(f"s{i}") for i, w in enumerate(q.words)}
-    opposite = {w: (s[w] > 0) & (F.coalesce(T.negated(F.col("text"), re.escape(w)), F.lit(w in q.negated)) != F.lit(w in q.negated)) for w in q.words}
+    opposite = {w: (s[w] > 0) & (F.coalesce(polarity(levels[w], s[w]), F.lit(w in q.negated)) != F.lit(w in q.negated)) for w in q.words}
     low = F.lower("text")
     both = {(a, b): proximity(low, (a, b), T.WINDOW) for a, b in f.gate.items()}
     weight = lambda w: s[w] * float(idf[w] * saturation_of(df[w], n)) * F.when(opposite[w], MISMATCH).otherwise(1.0) * (F.when((s[f.gate[w]] > 0) & both[w, f.gate[w]], 1.0).otherwise(SOLO) if w in f.gate else F.lit(1.0))
     bonus = F.lit(boost) * V.noisy_or(F.array(*[weight(w) for w in q.words])) if q.words else F.lit(0.0)
-    vector = V.hash_vector(F.col("text"), dim)
-    asked = V.hash_vector(F.lit(question), dim)
-    semantic = V.dot(vector, asked)
+    phrase = " ".join(f.phrase)
+    asked, sought = chunks.sparkSession.range(1).select(V.hash_vector(F.lit(question), dim), V.hash_vector(F.lit(phrase), dim)).first()
+    norm = V.hash_norm(F.col("places"), dim)
+    cosine = lambda vector: F.coalesce(F.try_divide(V.hash_dot(F.col("places"), vector), norm), F.lit(0.0))
+    semantic = cosine(asked)
     lift, has, partner, evidence = F.lit(0.0), F.lit(False), F.lit(False), F.lit("no_evidence")
     if f.word:
-        lift = FOCUS * F.greatest(V.dot(vector, V.hash_vector(F.lit(" ".join(f.phrase)), dim)), F.lit(0.0))
+        lift = FOCUS * F.greatest(cosine(sought), F.lit(0.0))
         has = s[f.word] > 0
         whole = has
         if len(f.phrase) > 1:
@@ -147,6 +151,36 @@ def rank(chunks: DataFrame, ident: list[str], text: str, question: str, k: int =
     return scored.orderBy(F.desc(F.col("has_focus") | F.col("has_partner")), F.desc("has_focus"), F.desc("score"), *ident).limit(k)
 
 
+def alike(chunks: DataFrame, words: tuple[str, ...]) -> dict[str, list[tuple[float, list[str]]]]:
+    """Of each word, (strength, the chunks' words that stand for it with this strength), best first: itself, similar ones, those of its stem."""
+    out: dict[str, list[tuple[float, list[str]]]] = {w: [(1.0, [w])] for w in words}
+    if not words:
+        return out
+    known = chunks.select(F.explode("words").alias("word")).where((F.length("word") >= 3) & ~F.col("word").isin(*T.STOPWORDS)).distinct()
+    found: dict[tuple, list[str]] = {}
+    for r in S.concepts_of(list(words), known).where("tier > 0").collect():  # words that look like a few words
+        found.setdefault((r["asked"], r["tier"], -r["strength"]), []).append(r["known"])
+    for (w, _, less), own in sorted(found.items()):
+        out[w].append((-less, sorted(own)))
+    return out
+
+
+def strength(levels: list[tuple[float, list[str]]]) -> Column:
+    """How a chunk's `words` speak of a word: by its best level."""
+    out = F.when(F.array_contains("words", levels[0][1][0]), levels[0][0])
+    for s, own in levels[1:]:
+        out = out.when(F.exists("words", lambda x: x.isin(*own)), s)  # noqa: B023
+    return out.otherwise(0.0)
+
+
+def polarity(levels: list[tuple[float, list[str]]], s: Column) -> Column:
+    """Whether the word that gave a chunk its strength is negated there."""
+    out = F.lit(None).cast("boolean")
+    for level, own in reversed(levels):
+        out = F.when(F.abs(s - level) < 1e-12, T.negated(F.col("text"), own[0] if len(own) == 1 else "(?:" + "|".join(own) + ")")).otherwise(out)
+    return out
+
+
 def idf_of(df: int, n: int) -> float:
     import math
 

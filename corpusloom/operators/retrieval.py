@@ -56,10 +56,16 @@ def _chunk_series(texts: pd.Series) -> pd.Series:
     return texts.map(chunk_text)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table of so few splits that most cores would have none is dealt over all of them; a larger one stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def chunks(docs: DataFrame, ident: str, text: str) -> DataFrame:
     """(ident, chunk_no, chunk): a sequential fold over each text, so a pandas function, then a generator."""
     cut = F.pandas_udf(_chunk_series, "array<string>")
-    return docs.select(ident, F.posexplode(cut(F.col(text))).alias("chunk_no", "chunk"))
+    return spread(docs.select(ident, text)).select(ident, F.posexplode(cut(F.col(text))).alias("chunk_no", "chunk"))
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -143,6 +149,30 @@ def hash_vector(text: Column, dim: int = 32) -> Column:
     return F.transform(F.array(dense), lambda v: F.transform(F.array(norm(v)), lambda r: F.transform(v, lambda x: F.coalesce(F.try_divide(x, r), F.lit(0.0))))[0])[0]
 
 
+def hash_places(text: Column, dim: int) -> Column:
+    """Where the words of a text fall: place below `dim` with a plus, above it with a minus."""
+    return F.transform(T.words(text), lambda w: F.pmod(F.xxhash64(w), F.lit(2 * dim)).cast("int"))
+
+
+def hash_norm(places: Column, dim: int) -> Column:
+    """Length of the hashed vector, from its sorted places: no vector is put together."""
+    slots = F.array_sort(F.transform(places, lambda p: F.pmod(p, F.lit(dim)) * 2 + F.when(p >= dim, 1).otherwise(0)))
+    start = F.struct(F.lit(-1).alias("slot"), F.lit(0.0).alias("run"), F.lit(0.0).alias("total"))
+
+    def add(a, x):
+        slot, sign = F.shiftright(x, 1), F.when(x.bitwiseAND(1) == 1, -1.0).otherwise(1.0)
+        same = a["slot"] == slot
+        return F.struct(slot.alias("slot"), F.when(same, a["run"] + sign).otherwise(sign).alias("run"), F.when(same, a["total"]).otherwise(a["total"] + a["run"] * a["run"]).alias("total"))
+
+    return F.sqrt(F.aggregate(slots, start, add, lambda a: a["total"] + a["run"] * a["run"]))
+
+
+def hash_dot(places: Column, vector: list[float]) -> Column:
+    """Dot product of a text's hashed counts with a vector on the driver."""
+    signed = F.array(*[F.lit(float(x)) for x in (*vector, *(-x for x in vector))])
+    return F.aggregate(places, F.lit(0.0), lambda a, p: a + F.get(signed, p))
+
+
 def negated_literal(question: str, word: str) -> bool:
     low = question.lower()
     m = re.search(rf"\b{re.escape(word)}\b", low)
