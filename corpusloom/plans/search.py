@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import similar
+from ..operators.vector_index import VectorIndex
 from ..session import table
+from ..sources.scratch import folder
 from .catalog import _WORDS, _in, query
 
 _SIGNIFICANT = f"list_distinct(list_filter(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+'), lambda w: len(w) >= 3 AND w NOT IN {_in(T.STOPWORDS)}))"
@@ -39,3 +43,17 @@ SELECT doc_id, asked AS word, known AS matched, round(CAST(s AS DOUBLE), 6) AS s
 def q_fuzzy_strengths(spark, d):
     """How strongly each document speaks of each word of a question, and by which word."""
     return similar.strengths(table(spark, d, "documents"), "doc_id", "text", _ASKED).select("doc_id", "word", "matched", F.round("strength", 6).alias("strength"))
+
+
+_UNIT = "list_transform(embedding, lambda c: CAST(c AS DOUBLE) / sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))))"
+
+
+@query(f"""WITH v AS (SELECT vec_id, {_UNIT} AS u FROM embeddings), q AS (SELECT CAST(row_number() OVER (ORDER BY vec_id) - 1 AS INTEGER) AS question, u FROM v ORDER BY vec_id LIMIT 10),
+s AS (SELECT question, vec_id, round(list_dot_product(q.u, v.u), 9) AS similarity FROM q, v)
+SELECT question, CAST(rank AS INTEGER) AS rank, vec_id, similarity FROM (SELECT *, row_number() OVER (PARTITION BY question ORDER BY similarity DESC, vec_id) AS rank FROM s) WHERE rank <= 10""")
+def q_vector_index(spark, d):
+    """The nearest of all vectors to the ten first, from an index of all of them in which every list is probed."""
+    rows = table(spark, d, "embeddings")
+    index = VectorIndex.build(rows, f"{folder(spark)}/scratch/index-{uuid.uuid4().hex}", "vec_id", "embedding", ["label"], lists=8)
+    questions = [r["embedding"] for r in rows.orderBy("vec_id").limit(10).collect()]
+    return index.search(questions, 10, probes=8).withColumn("similarity", F.round("similarity", 9))
