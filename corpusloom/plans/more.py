@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import url as U
-from ..operators import contacts, links, pages, retrieval, scoring
+from ..operators import contacts, dom, links, pages, retrieval, scoring
 from ..session import table
 from .catalog import _CONTAINS, _EDGES, _KIND, _L, _P, _REG, _TIER, SQL, _in, _list, query
 
@@ -84,10 +83,23 @@ def q_first_non_null(spark, d):
     return rows.groupBy("o_custkey").agg(F.min_by("p", F.when(F.col("p").isNotNull(), F.col("o_orderkey"))).alias("first_priority"))
 
 
-@query("SELECT o_orderkey, last_value(CASE WHEN o_totalprice > 250000 THEN o_orderkey END IGNORE NULLS) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS UNBOUNDED PRECEDING) AS heading FROM orders")
+@query(r"""WITH t AS (SELECT page_id, unnest(toks) AS tok, unnest(range(len(toks))) AS k FROM (SELECT page_id, regexp_extract_all(regexp_replace(coalesce(html, ''), '(?is)<(script|style)[^>]*>.*?</(script|style)>', '', 'g'), '(?is)<h1[^>]*>.*?</h1>|<a [^>]*>|</?(?:nav|header|footer|main|aside)\b[^>]*>') AS toks FROM pages)),
+s AS (SELECT *, last_value(CASE WHEN regexp_matches(tok, '(?i)^</?(nav|header|footer|main|aside)') THEN CASE WHEN tok LIKE '</%' THEN 'body' ELSE lower(regexp_extract(tok, '(?i)^<([a-z]+)', 1)) END END IGNORE NULLS) OVER w AS sec FROM t WINDOW w AS (PARTITION BY page_id ORDER BY k ROWS UNBOUNDED PRECEDING)),
+h AS (SELECT *, last_value(CASE WHEN regexp_matches(tok, '(?i)^<h1') THEN coalesce(sec, 'body') END IGNORE NULLS) OVER w AS hsec FROM s WINDOW w AS (PARTITION BY page_id ORDER BY k ROWS UNBOUNDED PRECEDING))
+SELECT page_id, regexp_extract(tok, '(?i)href="([^"]*)"', 1) AS href, coalesce(sec, 'body') AS section, coalesce(hsec = coalesce(sec, 'body'), false) AS headed, count(*) AS n FROM h WHERE regexp_matches(tok, '(?i)^<a ') GROUP BY ALL""")
 def q_nearest_heading(spark, d):
-    w = Window.partitionBy("o_custkey").orderBy("o_orderkey").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return table(spark, d, "orders").select("o_orderkey", F.last(F.when(F.col("o_totalprice") > 250000, F.col("o_orderkey")), ignorenulls=True).over(w).alias("heading"))
+    """Links of each page by section, and whether a heading stands before them there."""
+    found = dom.headed_links(dom.elements(table(spark, d, "pages"), "page_id", "html"), "page_id")
+    return found.groupBy("page_id", "href", "section", F.col("heading").isNotNull().alias("headed")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(r"""WITH b AS (SELECT page_id, regexp_replace(coalesce(html, ''), '(?is)<(script|style)[^>]*>.*?</(script|style)>', '<$1>', 'g') AS h FROM pages),
+n AS (SELECT page_id, regexp_replace(regexp_replace(h, '(?s)<!--.*?-->', '', 'g'), '(?s)^.*<nav>(.*)</nav>.*$', '\1') AS nav, regexp_replace(h, '(?s)<!--.*?-->', '', 'g') AS h FROM b)
+SELECT page_id, len(regexp_extract_all(h, '<[A-Za-z$]')) AS elements, len(regexp_extract_all(h, '(?i)<a ')) AS links, len(regexp_extract_all(nav, '(?i)<(ul|li|a)[ >]')) AS in_nav FROM n""")
+def q_elements(spark, d):
+    """Elements and links of each page, and the elements within its navigation."""
+    rows = dom.within(dom.elements(table(spark, d, "pages"), "page_id", "html"), "page_id", F.col("tag") == "nav")
+    return rows.groupBy("page_id").agg(F.count(F.lit(1)).alias("elements"), F.count_if(F.col("tag") == "a").alias("links"), F.count_if("inside").alias("in_nav"))
 
 
 @query(f"WITH {_P}, x AS (SELECT *, {_KIND} AS kind FROM n), y AS (SELECT host, {_TIER} AS tier FROM x) SELECT host, CASE WHEN avg(CASE WHEN coalesce(tier, '') IN ('high', 'medium') THEN 1.0 ELSE 0.0 END) >= 0.75 THEN 'high' WHEN avg(CASE WHEN coalesce(tier, '') IN ('high', 'medium') THEN 1.0 ELSE 0.0 END) >= 0.4 THEN 'medium' ELSE 'low' END AS confidence FROM y GROUP BY 1")
