@@ -118,19 +118,3 @@ def navigation(pages: DataFrame, found: DataFrame) -> DataFrame:
     """Rows of pages and rows of patterns as one list of JSON objects; the usual place of a link (body) is left out."""
     rows = pages.select(F.lit("page").alias("kind"), F.col("url").alias("target"), "anchor", F.nullif("section", F.lit("body")).alias("section")).unionByName(found.select(F.lit("pattern").alias("kind"), F.col("pattern").alias("target"), "n"), allowMissingColumns=True)
     return rows.select("target", F.to_json(F.struct("kind", "target", "anchor", "section", "n")).alias("entry"))
-
-
-def crawl(start: DataFrame, edges: DataFrame, depth: int = 50, pages: int = 40, checkpoint=None) -> DataFrame:
-    """(site, url, depth) of the pages that a breadth-first visit of known links reaches: at most `pages` for each site, in order of
-    depth and of address. Each round joins the frontier to the links; `checkpoint` (a table writer) cuts its lineage."""
-    keep = checkpoint or (lambda df: df)
-    seen = front = keep(start.select("site", "url").distinct().withColumn("depth", F.lit(0)))
-    for k in range(1, depth + 1):
-        room = seen.groupBy("site").agg(F.count(F.lit(1)).alias("__n"))
-        next_ = front.join(edges.select("site", F.col("src").alias("url"), "dst"), ["site", "url"]).select("site", F.col("dst").alias("url")).distinct().join(seen, ["site", "url"], "left_anti")
-        ranked = next_.withColumn("__r", F.row_number().over(Window.partitionBy("site").orderBy("url"))).join(room, "site").where(F.col("__r") + F.col("__n") <= pages)
-        front = keep(ranked.select("site", "url", F.lit(k).alias("depth")))
-        if front.isEmpty():
-            break
-        seen = keep(seen.unionByName(front))
-    return seen

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import rules as R
 from ..functions import url as U
-from ..operators import contacts, etl, hybrid, links, organisation, people, retrieval, scoring, sites
+from ..operators import contacts, crawl, etl, hybrid, links, organisation, people, retrieval, scoring, sites
 from ..session import table
 from ..streaming import events as ST
 from .catalog import _CLASS, _CONTAINS, _EDGES, _L, _P, _TECH, _UTILITY, QUESTION, _host_caps, _in, _marked, query
@@ -246,11 +247,27 @@ def q_revisit(spark, d):
     return ST.revisit(state, told, "c_custkey")
 
 
-@query(f"WITH {_P}, {_EDGES}, s AS (SELECT host AS site, min(norm) AS url FROM n GROUP BY 1), one AS (SELECT DISTINCT s.site, e.dst AS url FROM s JOIN e ON e.domain = s.site AND e.src = s.url WHERE e.dst <> s.url), r AS (SELECT *, row_number() OVER (PARTITION BY site ORDER BY url) AS rk FROM one) SELECT site, url, 0 AS depth FROM s UNION ALL SELECT site, url, 1 FROM r WHERE rk + 1 <= 5")
+_PRIORITY = lambda p: f"CAST(CASE WHEN string_split({p}, '/')[-1] IN {_in(R.CONTACT_HINTS)} OR {p} IN {_in(R.CONTACT_HINTS)} THEN 0 WHEN {_CONTAINS(p, R.CONTACT_HINTS)} THEN 1 ELSE 2 END AS INTEGER)"
+
+
+@query(f"""WITH RECURSIVE {_P}, {_EDGES}, kn AS (SELECT host AS site, norm AS url, min(page_id) AS id FROM n GROUP BY 1, 2),
+near AS (SELECT a.site, a.url AS src, b.url AS dst, 1000 + b.k - a.k AS pos FROM (SELECT *, row_number() OVER (PARTITION BY site ORDER BY id) AS k FROM kn) a JOIN (SELECT *, row_number() OVER (PARTITION BY site ORDER BY id) AS k FROM kn) b ON a.site = b.site AND b.k BETWEEN a.k + 1 AND a.k + 2),
+l AS (SELECT site, src, dst, pos, {_PRIORITY("regexp_replace(lower(regexp_extract(dst, '^[a-z]+://[^/]*(.*)$', 1)), '^/+|/+$', '', 'g')")} AS priority FROM (SELECT domain AS site, src, dst, pos FROM e WHERE dst <> '://' UNION ALL SELECT site, src, dst, pos FROM near)),
+adj AS (SELECT site, src, list(dst ORDER BY priority, pos, dst) AS links FROM l GROUP BY 1, 2),
+r AS (SELECT site, 0 AS step, list_transform(links, lambda x: struct_pack(u := x, d := 1)) AS q, [struct_pack(u := url, d := 0, kept := true)] AS seen, [url] AS urls FROM (SELECT site, arg_min(url, url) AS url FROM kn GROUP BY 1) s LEFT JOIN adj USING (site) WHERE adj.src = url OR adj.src IS NULL
+  UNION ALL SELECT r.site, step + 1, list_concat(q[2:], CASE WHEN kn.url IS NULL OR list_contains(urls, q[1].u) OR q[1].d >= 50 THEN [] ELSE list_transform(list_filter(coalesce(links, []), lambda x: NOT list_contains(urls, x)), lambda x: struct_pack(u := x, d := q[1].d + 1)) END),
+    CASE WHEN list_contains(urls, q[1].u) THEN seen ELSE list_append(seen, struct_pack(u := q[1].u, d := q[1].d, kept := kn.url IS NOT NULL)) END, CASE WHEN list_contains(urls, q[1].u) THEN urls ELSE list_append(urls, q[1].u) END
+  FROM r LEFT JOIN kn ON kn.site = r.site AND kn.url = q[1].u LEFT JOIN adj ON adj.site = r.site AND adj.src = q[1].u WHERE len(q) > 0 AND len(urls) <= 150 AND len(list_filter(seen, lambda x: x.kept)) < 40)
+SELECT site, v.u AS url, v.d AS depth, CAST(place - 1 AS INTEGER) AS place, v.kept AS kept FROM (SELECT site, unnest(seen) AS v, unnest(range(1, len(seen) + 1)) AS place FROM (SELECT site, arg_max(seen, step) AS seen FROM r GROUP BY 1))""")
 def q_crawl(spark, d):
+    """Visits of each site from its first address, by the links of its pages and by links from each page to the site's next two."""
     pages = table(spark, d, "pages")
-    start = pages.groupBy(U.host(F.col("url")).alias("site")).agg(F.min(U.normalize(F.col("url"))).alias("url"))
-    return links.crawl(start, links.edges(pages).select(F.col("domain").alias("site"), "src", "dst"), depth=1, pages=5)
+    known = pages.groupBy(U.host(F.col("url")).alias("site"), U.normalize(F.col("url")).alias("url")).agg(F.min("page_id").alias("id"))
+    in_order = Window.partitionBy("site").orderBy("id")
+    after = known.withColumns({"a": F.lead("url", 1).over(in_order), "b": F.lead("url", 2).over(in_order)})
+    near = after.select("site", F.col("url").alias("src"), F.posexplode(F.array_compact(F.array("a", "b"))).alias("k", "dst")).select("site", "src", "dst", (F.col("k") + 1001).alias("pos"))
+    found = links.edges(pages).select(F.col("domain").alias("site"), "src", "dst", "pos").unionByName(near)
+    return crawl.crawl(known.select("site", "url"), found.withColumn("priority", R.contact_priority(F.col("dst"))), known.select("site", "url", F.lit(True).alias("has")))
 
 
 @query("SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'a' || c_custkey || '@x.test' WHEN 3 THEN 'b@y.test | c@z.test' ELSE 'N/A' END AS emails FROM customer")

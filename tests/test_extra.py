@@ -165,13 +165,6 @@ def test_staging(spark, tmp_path):
     assert sorted(r.domain for r in tables.read_index(spark, f"{path}/index").collect()) == ["d.test", "e.test"]
 
 
-def test_crawl_stops_at_its_limits(spark):
-    start = spark.createDataFrame([("s", "0")], "site string, url string")
-    edges = spark.createDataFrame([("s", str(k), str(k + 1)) for k in range(9)] + [("s", "0", "x"), ("s", "1", "0")], "site string, src string, dst string")
-    got = lambda **a: sorted((r.depth, r.url) for r in links.crawl(start, edges, **a).collect())
-    assert got(depth=2) == [(0, "0"), (1, "1"), (1, "x"), (2, "2")] and got(pages=3) == [(0, "0"), (1, "1"), (1, "x")]
-
-
 def test_rounds_stop_when_enough(spark):
     asked = []
 
