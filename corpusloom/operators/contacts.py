@@ -11,7 +11,7 @@ PHONE = r"(\+?\(?[0-9][0-9 ().-]{5,}[0-9])"
 ROLES = "info contact hello enquiries enquiry team sales support office mail general reception reservations bookings dock harbor harbour marina service services help admin reach connect hi".split()
 UNREAD = "noreply no-reply donotreply bounce mailer-daemon postmaster abuse spam webmaster auto automated notification newsletter unsubscribe billing".split()
 FREE = "gmail.com googlemail.com yahoo.com yahoo.co.uk ymail.com hotmail.com hotmail.co.uk outlook.com live.com msn.com aol.com icloud.com me.com mac.com gmx.com gmx.net gmx.de web.de mail.com protonmail.com proton.me zoho.com yandex.com yandex.ru qq.com 163.com 126.com naver.com".split()
-THROWAWAY = "mailinator.com guerrillamail.com 10minutemail.com tempmail.com temp-mail.org throwawaymail.com yopmail.com trashmail.com getnada.com maildrop.cc".split()
+THROWAWAY = "mailinator.com guerrillamail.com 10minutemail.com tempmail.com temp-mail.org throwawaymail.com yopmail.com trashmail.com getnada.com maildrop.cc dispostable.com fakeinbox.com sharklasers.com guerrillamailblock.com mailnesia.com mintemail.com spam4.me tempr.email discard.email 33mail.com mailcatch.com".split()
 
 
 def deobfuscate(s: Column) -> Column:
@@ -48,34 +48,6 @@ def decode_base64(code: Column) -> Column:
     return F.when(F.decode(text, "UTF-8").rlike(EMAIL), F.trim(F.decode(text, "UTF-8")))
 
 
-def _matches(html: Column, pattern: str, group: int = 1) -> Column:
-    return F.regexp_extract_all(html, F.lit(pattern), F.lit(group))
-
-
-def collected(pages: DataFrame, ident: str, html: str) -> DataFrame:
-    """(ident, address, source, base): addresses of raw pages by the collector that is least likely wrong, once each. Each collector runs
-    on pages that have its mark only."""
-    h = F.coalesce(F.col(html), F.lit(""))
-    gate = lambda mark, found: F.when(h.rlike(mark), found)
-    emails = lambda s: F.transform(_matches(s, EMAIL), lambda x: F.lower(x))
-    of_all = lambda parts: F.flatten(F.transform(parts, lambda x: emails(decode_entities(x))))
-    bare = F.regexp_replace(F.regexp_replace(h, r"(?is)<(script|style)[^>]*>.*?</(script|style)>", " "), r"<[^>]*>", " ")
-    tiers = (
-        ("xor", 100, gate("data-cfemail", F.flatten(F.transform(_matches(h, "data-cfemail=[\"']([0-9a-fA-F]+)"), lambda x: emails(F.coalesce(decode_xor(x), F.lit(""))))))),
-        ("mailto", 95, gate("(?i)mailto:", of_all(_matches(h, "(?i)href=[\"']mailto:([^\"'?]+)")))),
-        ("jsonld", 90, gate("ld\\+json", of_all(_matches(h, r"(?is)<script[^>]*ld\+json[^>]*>(.*?)</script>")))),
-        ("meta", 85, gate("(?i)<meta", of_all(_matches(h, "(?i)<meta[^>]*content=[\"']([^\"']*@[^\"']*)")))),
-        ("attribute", 75, gate("=[\"'][^\"'<>]*(@|&#)", of_all(_matches(h, "=[\"']([^\"'<>]*(?:@|&#0*64;|&#x0*40;|&commat;)[^\"'<>]*)[\"']")))),
-        ("text", 70, gate("@|&#|&commat", emails(decode_entities(bare)))),
-        ("obfuscated", 60, gate(r"(?i)[\[(] ?at ?[\])]|＠", emails(deobfuscate(bare)))),
-        ("raw", 40, gate("@", emails(decode_entities(h)))),
-        ("base64", 30, gate("(?i)email", F.flatten(F.transform(_matches(h, "(?i)email[^A-Za-z0-9+/]{1,20}([A-Za-z0-9+/]{16,}={0,2})"), lambda x: emails(F.coalesce(decode_base64(x), F.lit(""))))))),
-    )
-    each = F.concat(*[F.transform(F.coalesce(found, F.array().cast("array<string>")), lambda x: F.struct(x.alias("address"), F.lit(k).alias("source"), F.lit(base).alias("base"))) for k, base, found in tiers])  # noqa: B023
-    best = pages.select(ident, F.inline(each)).groupBy(ident, "address").agg(F.max_by("source", "base").alias("source"), F.max("base").alias("base"))
-    return best
-
-
 # Parts of addresses that nobody reads or that are no addresses.
 JUNK_PARTS = ("example.", "yourdomain", "domain.com", "email@", "sentry", "wixpress", ".png", ".jpg", ".jpeg", ".gif", ".svg", ".webp", "@2x", "u003e", "name@", "noreply@", "no-reply@", "donotreply@")
 

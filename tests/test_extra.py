@@ -46,13 +46,6 @@ def test_addresses_and_codes(spark):
         assert one(spark, contacts.is_valid_strict(F.lit(address))) is good
 
 
-def test_collectors_take_the_surest_source(spark):
-    html = """<a href="mailto:Ann@x.test?subject=hi">ann@x.test</a><script type="application/ld+json">{"email": "bob@x.test"}</script>
-    <meta name="email" content="cy@x.test"><i data-cfemail="422c02276c3636">x</i><p>dee [at] x [dot] test</p><script>var email = "ZXZlQHgudGVzdGluZw==";</script>"""
-    got = {r.address: r.source for r in contacts.collected(spark.createDataFrame([(1, html), (2, None)], "page_id long, html string"), "page_id", "html").collect()}
-    assert got == {"ann@x.test": "mailto", "bob@x.test": "jsonld", "cy@x.test": "meta", "n@e.tt": "xor", "dee@x.test": "obfuscated", "eve@x.testing": "base64"}
-
-
 def test_real_suffixes(spark):
     found = spark.createDataFrame([("a.co.uk",), ("b.there",), ("com",), ("x.y.com",)], "domain string")
     suffixes = spark.createDataFrame([("com",), ("co.uk",), ("uk",)], "suffix string")
