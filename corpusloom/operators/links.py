@@ -13,23 +13,29 @@ from ..functions import url as U
 GENERIC = "read more,learn more,click here,here,more,home,next,previous,back,menu".split(",")
 
 
-LINK = r"""(?i)<a\b[^>]*?\bhref\s*=\s*(?:"([^"]*)"|'([^']*)')[^>]*>[^<]*"""
+#: A link with its text up to its end, or to the next link if it never ends; the target in double quotes, single ones or none.
+LINK = r"""(?is)<a\b[^>]*?\bhref\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'>]+)[^>]*>.*?(?=</a\s*>|<a\b|\z)"""
+HREF = r"""(?is)^<a\b[^>]*?\bhref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
 
 
 def edges(pages: DataFrame) -> DataFrame:
-    """(page_id, domain, src, pos, dst, anchor) of every quoted link. Targets that begin with two slashes get the page's scheme, those
-    that begin with one its host, relative ones its folder too; absolute ones are taken as they are; other schemes and places within
-    the page are no links. One generator, no shuffle, no Python."""
-    found = F.regexp_extract_all("html", F.lit(LINK), F.lit(0))
-    raw = pages.select("page_id", "url", F.posexplode(found).alias("pos", "a"))
-    href, anchor = F.trim(F.coalesce(F.nullif(F.regexp_extract("a", LINK, 1), F.lit("")), F.regexp_extract("a", LINK, 2))), T.clean(F.regexp_extract("a", r">([^<]*)$", 1))
-    base = F.concat(U.scheme(F.col("url")), F.lit("://"), U.host(F.col("url")))
-    folder = F.concat(F.lit("/"), F.regexp_extract(U.path(F.col("url")), "^/*(.*/)?[^/]*$", 1))
+    """(page_id, domain, src, pos, dst, anchor) of every link; the anchor is the link's text without markup. Targets that begin with two slashes get the page's
+    scheme, those that begin with one its host, relative ones its folder too; absolute ones are taken as they are; other schemes and places within
+    the page are no links. What belongs to the page is worked out once a page, before the one generator; no shuffle, no Python."""
+    url = F.col("url")
+    parts = pages.select(
+        "page_id", U.host(url).alias("domain"), U.normalize(url).alias("src"), U.scheme(url).alias("scheme"), U.path(url).alias("path"), F.regexp_extract_all("html", F.lit(LINK), F.lit(0)).alias("found")
+    )
+    raw = parts.withColumns({"base": F.concat("scheme", F.lit("://"), "domain"), "folder": F.concat(F.lit("/"), F.regexp_extract("path", "^/*(.*/)?[^/]*$", 1))}).select("page_id", "domain", "src", "scheme", "path", "base", "folder", F.posexplode("found").alias("pos", "a"))
+    quoted = [F.nullif(F.regexp_extract("a", HREF, k), F.lit("")) for k in (1, 2, 3)]
+    anchor = T.clean(F.regexp_replace(F.regexp_replace("a", r"(?s)^<[^>]*>", ""), r"(?s)<[^>]*>", " "))
+    href = F.col("href")
     dst = (
-        F.when(href.rlike("^(?i)https?://"), href).when(href.startswith("//"), F.concat(U.scheme(F.col("url")), F.lit(":"), href)).when(href.startswith("/"), F.concat(base, U.without_dots(href)))
-        .when(href.rlike("^[A-Za-z][A-Za-z0-9+.-]*:") | href.rlike("^(#|$)"), F.lit(None)).when(href.startswith("?"), F.concat(base, U.path(F.col("url")), href)).otherwise(F.concat(base, U.without_dots(F.concat(folder, href))))
+        F.when(href.rlike("^(?i)https?://"), href).when(href.startswith("//"), F.concat("scheme", F.lit(":"), href)).when(href.startswith("/"), F.concat("base", U.without_dots(href)))
+        .when(href.rlike("^[A-Za-z][A-Za-z0-9+.-]*:") | href.rlike("^(#|$)"), F.lit(None)).when(href.startswith("?"), F.concat("base", "path", href)).otherwise(F.concat("base", U.without_dots(F.concat("folder", href))))
     )
-    return raw.select("page_id", U.host(F.col("url")).alias("domain"), U.normalize(F.col("url")).alias("src"), "pos", U.normalize(dst).alias("dst"), anchor.alias("anchor")).where("dst <> '://'")
+    named = raw.select("*", F.trim(F.coalesce(*quoted, F.lit(""))).alias("href"), anchor.alias("anchor"))
+    return named.select("page_id", "domain", "src", "pos", U.normalize(dst).alias("dst"), "anchor").where("dst <> '://'")
 
 
 def in_degree(e: DataFrame) -> DataFrame:

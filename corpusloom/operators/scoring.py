@@ -48,11 +48,15 @@ class JunkFilter:
     hosts: tuple = JUNK_HOSTS
 
 
+# Hosts and paths that a crawl leaves out, profile hosts, function words by language.
 NOISE_LABELS = "cdn static assets img images media".split()
-NOISE_PARTS = "/wp-admin /wp-login /wp-json /cdn-cgi /cart /wishlist /privacy /terms /cookies /sitemap /robots.txt /feed /rss /tag/ /author/ /search /logout /forgot-password /reset-password /blog /news /article /press /category /page/ /booking /schedule /appointments".split()
+NOISE_PARTS = "/wp-admin /wp-login /wp-json /cdn-cgi /cart /wishlist /privacy /terms /cookies /cookie-policy /sitemap /robots.txt /feed /rss /tag/ /author/ /search /logout /log-out /forgot-password /reset-password /blog /blogs /news /article /articles /press /category /categories /page/ /booking /book- /schedule /appointments".split()
 PLATFORMS = ("facebook.com", "instagram.com", "linkedin.com", "youtube.com", "twitter.com", "x.com", "tiktok.com", "pinterest.com")
-ENGLISH = "the and of to in is for with on that this are".split()
-OTHERS = "der die das und ist mit el la los de que y le les des et est un une".split()
+ENGLISH = "the and of to is for in on with are this your our we you from as at by".split()
+OTHERS = {
+    "it": "il la di che per un una sono questo nel della con non sei gli".split(), "fr": "le la de et pour un une les des est dans que vous nous".split(), "de": "der die das und ist für mit nicht ein eine sie auf wir".split(),
+    "es": "el la de que para un una los las es en con no nosotros".split(), "pt": "o a de que para um uma os as em com não nós".split(),
+}
 
 
 def _sum(parts: list[Column]) -> Column:
@@ -91,11 +95,19 @@ def is_crawl_noise(url: Column) -> Column:
 
 
 def is_non_english(lang: Column, text: Column) -> Column:
-    """By the declared language, else by function words: 20 tokens or more, five foreign ones, half as many again as English."""
-    tokens = T.words(text)
-    count = lambda words: F.size(F.filter(tokens, lambda w: w.isin(*words)))
-    known = F.coalesce(lang, F.lit("")) != ""
-    return F.when(known, ~F.lower(lang).startswith("en")).otherwise((F.size(tokens) >= 20) & (count(OTHERS) >= 5) & (count(OTHERS) > 1.5 * count(ENGLISH)))
+    """By the declared language's code, else by function words: 20 tokens or more, and of one other language five or more, half as many again as
+    English ones. Each language is tested by itself; letters with accents belong to tokens."""
+    tokens = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("([a-zà-ÿ]+)"), F.lit(1))
+    count = lambda t, words: F.size(F.filter(t, lambda w: w.isin(*words)))
+    code = F.trim(F.split_part(F.coalesce(lang, F.lit("")), F.lit("-"), F.lit(1)))
+
+    def foreign(t):
+        english, out = count(t, ENGLISH), F.lit(False)
+        for words in OTHERS.values():
+            out = out | ((count(t, words) >= 5) & (count(t, words) > 1.5 * english))
+        return (F.size(t) >= 20) & out
+
+    return F.when(code != "", code != "en").otherwise(F.transform(F.array(tokens), foreign)[0])
 
 
 def site_score(title: Column, outbound: Column, patterns: Column) -> Column:

@@ -59,10 +59,10 @@ _CLASS = (
     f"WHEN {_CONTAINS('lower(path)', R.LISTICLE_PATHS)} OR regexp_matches(TITLE, '{R.LISTICLE_TITLE}') THEN 'discovery_source' ELSE 'official' END"
 )
 _L = ", l AS (SELECT *, string_split(host, '.') AS labels FROM n)"
-_LINK = links.LINK.replace("'", "''")
+_HREF = """(?is)href\\s*=\\s*(?:"([^"]*)"|''([^'']*)''|([^\\s"''>]+))"""
 _EDGES = (
-    f"e0 AS (SELECT page_id, host AS domain, norm AS src, scheme, path, unnest(regexp_extract_all(html, '{_LINK}')) AS a, unnest(range(0, len(regexp_extract_all(html, '{_LINK}')))) AS pos FROM n), "
-    f"e1 AS (SELECT *, trim(coalesce(nullif(regexp_extract(a, '{_LINK}', 1), ''), regexp_extract(a, '{_LINK}', 2))) AS href, trim(regexp_replace(regexp_extract(a, '>([^<]*)$', 1), '\\s+', ' ', 'g')) AS anchor FROM e0), "
+    """e0 AS (SELECT page_id, host AS domain, norm AS src, scheme, path, unnest(found) AS a, unnest(range(0, len(found))) AS pos FROM (SELECT *, regexp_extract_all(html, '(?is)<a\\s[^>]*href\\s*=[^>]*>.*?</a>') AS found FROM n)), """
+    f"e1 AS (SELECT *, trim(regexp_extract(a, '{_HREF}', 1) || regexp_extract(a, '{_HREF}', 2) || regexp_extract(a, '{_HREF}', 3)) AS href, trim(regexp_replace(regexp_replace(a, '(?s)<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g')) AS anchor FROM e0), "
     "e2 AS (SELECT *, CASE WHEN regexp_matches(href, '^(?i)https?://') THEN href WHEN href LIKE '//%' THEN scheme || ':' || href WHEN href LIKE '/%' THEN scheme || '://' || domain || href WHEN regexp_matches(href, '^[A-Za-z][A-Za-z0-9+.-]*:') OR regexp_matches(href, '^(#|$)') THEN NULL "
     "WHEN href LIKE '?%' THEN scheme || '://' || domain || path || href ELSE scheme || '://' || domain || '/' || regexp_extract(path, '^/*(.*/)?[^/]*$', 1) || href END AS full_url FROM e1), "
     "e AS (SELECT page_id, domain, src, CAST(pos AS INTEGER) AS pos, lower(regexp_extract(full_url, '^([A-Za-z]+)://', 1)) || '://' || regexp_replace(regexp_replace(lower(regexp_extract(full_url, '^[A-Za-z]+://([^/?#]*)', 1)), '^.*@|:[0-9]+$', ''), '^www\\.', '') || regexp_replace(lower(regexp_extract(full_url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1)), '/+$', '') AS dst, anchor FROM e2 WHERE full_url IS NOT NULL)"

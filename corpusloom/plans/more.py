@@ -31,7 +31,15 @@ def q_crawl_noise(spark, d):
 _TOK = "regexp_extract_all(lower(text), '[a-z0-9]+')"
 
 
-@query(f"WITH w AS (SELECT doc_id, {_TOK} AS ws FROM documents), c AS (SELECT doc_id, len(ws) AS n, len(list_filter(ws, lambda x: x IN {_in(scoring.OTHERS)})) AS o, len(list_filter(ws, lambda x: x IN {_in(scoring.ENGLISH)})) AS e FROM w) SELECT doc_id, n >= 20 AND o >= 5 AND o > 1.5 * e AS foreign_text FROM c")
+_HITS = lambda words: f"len(list_filter(ws, lambda x: x IN ({words})))"
+_LANGUAGES = {
+    "en": "'the','and','of','to','is','for','in','on','with','are','this','your','our','we','you','from','as','at','by'", "it": "'il','la','di','che','per','un','una','sono','questo','nel','della','con','non','sei','gli'",
+    "fr": "'le','la','de','et','pour','un','une','les','des','est','dans','que','vous','nous'", "de": "'der','die','das','und','ist','für','mit','nicht','ein','eine','sie','auf','wir'",
+    "es": "'el','la','de','que','para','un','una','los','las','es','en','con','no','nosotros'", "pt": "'o','a','de','que','para','um','uma','os','as','em','com','não','nós'",
+}
+
+
+@query("WITH w AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-zà-ÿ]+') AS ws FROM documents), c AS (SELECT doc_id, len(ws) AS n, " + ", ".join(f"{_HITS(w)} AS n_{k}" for k, w in _LANGUAGES.items()) + " FROM w) SELECT doc_id, n >= 20 AND (" + " OR ".join(f"(n_{k} >= 5 AND 2 * n_{k} > 3 * n_en)" for k in ("it", "fr", "de", "es", "pt")) + ") AS foreign_text FROM c")
 def q_non_english(spark, d):
     return table(spark, d, "documents").select("doc_id", scoring.is_non_english(F.lit(""), F.col("text")).alias("foreign_text"))
 

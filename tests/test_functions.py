@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import rules as R
 from corpusloom.functions import text as T
 from corpusloom.functions import url as U
-from corpusloom.operators import contacts, etl, links, organisation, retrieval
+from corpusloom.operators import contacts, etl, links, organisation, retrieval, scoring
 from corpusloom.sources import tables
 from corpusloom.streaming import events
 
@@ -183,3 +183,18 @@ def test_tech_rules_cover_every_indicator(spark):
     rows = [*((f"<p>{t}</p>",) for t in found.values()), ("track(12) my_account \u00e9cart clients portal",), (None,)]
     got = organisation.detections(spark.createDataFrame(rows, "html string").withColumn("k", F.monotonically_increasing_id()), "k", "html").collect()
     assert {(r.technology, r.confidence) for r in got} == {(t, 55 if t in generic else 85) for t in found} and len(got) == len(found) == 37
+
+
+def test_non_english(spark):
+    portuguese = "o barco que para em um porto com uma vela e os remos que não são para as ondas de verão"
+    mixed = " ".join(["il la der die und el los le des est"] + ["alpha"] * 20)
+    cases = [(portuguese, "", True), (portuguese, "en-GB", False), ("short", "pt", True), ("short", "eng", True), ("short", "", False), (mixed, "", False), ("the and of to is " * 9, None, False), (None, None, False), ("für mit nicht wir über " * 5, "", True)]
+    got = spark.createDataFrame(cases, "t string, lang string, want boolean").select("want", scoring.is_non_english(F.col("lang"), F.col("t")).alias("got")).collect()
+    assert [r.got for r in got] == [r.want for r in got]
+
+
+def test_edges_of_all_kinds_of_links(spark):
+    html = """<a href="/y"><span>Contact</span> <b>us</b></a> <a class=x href=/z>z</a><A HREF='//o.example/p?q'>o</A> <a href="open">never ended <a href=" rel/./a ">r</a><a name=n>no</a><a href="#top">t</a><a href="mailto:a@b.c">m</a>"""
+    df = spark.createDataFrame([(1, "https://www.s.example/d/e", html), (2, "https://s.example", None)], "page_id int, url string, html string")
+    got = [(r.dst, r.anchor) for r in links.edges(df).orderBy("pos").collect()]
+    assert got == [("https://s.example/y", "Contact us"), ("https://s.example/z", "z"), ("https://o.example/p", "o"), ("https://s.example/d/open", "never ended"), ("https://s.example/d/rel/a", "r")]
