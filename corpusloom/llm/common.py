@@ -7,6 +7,7 @@ hashed with a few numpy passes and no Python object per word. Everything here ha
 from __future__ import annotations
 
 import atexit
+import gc
 import hashlib
 import shutil
 import tempfile
@@ -266,6 +267,12 @@ def drop(*stashed: DataFrame) -> None:
         files.delete(at, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets the driver forget plans that nothing names any more; the shuffle files of their jobs then go from the executors' disks."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def crc_fold(col, folds: int = 5):
     """crc32(id as text) mod folds."""
     return F.crc32(col.cast("string").cast("binary")) % folds

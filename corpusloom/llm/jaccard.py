@@ -439,24 +439,35 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     found = search.links(nearest)
     linked = components(found)
     C.drop(found)
+    C.release(docs.sparkSession)
     other = C.stash(_roots(_roots(near.drop("count"), "node_x", linked, "rx"), "node_y", linked, "ry").where("rx <> ry").select(near.drop("count").columns), "other")
     if not other.isEmpty():
         linked = _joined(linked, search.links(other))
     C.drop(other, near)
+    pairs = near = nearest = found = other = grouped = None
+    C.release(docs.sparkSession)
     # Keys whose sets are still in several components: these sets across components.
     named = _roots(nodes.select("node", "d1"), "node", linked, "root").groupBy("d1").agg(F.min("root").alias("root"), F.max("root").alias("last"))
     split = met.join(named.select(F.col("d1").alias("x"), F.col("root").alias("rx"), F.col("last").alias("lx")), "x").join(named.select(F.col("d1").alias("lead"), F.col("root").alias("ry"), F.col("last").alias("ly")), "lead").where("rx <> ry OR rx <> lx OR ry <> ly").select("key").distinct()
     there = C.stash(met.join(split, "key", "left_semi").select("key", F.explode(F.array("x", "lead")).alias("d1")).distinct(), "there")
     C.drop(met)
+    named = split = met = None
+    C.release(docs.sparkSession)
     if not there.isEmpty():
         columns = ["node_x", "node_y", "d1_x", "d2_x", "d1_y", "d2_y"]
         sets = C.stash(there.join(nodes.select("d1", "d2", "node", "n", *_SKETCHES), "d1"), "sets")
         texts = C.stash(search.texts(sets.select("d1")), "texts")
         side = lambda df, name: df.select("key", *[F.col(c).alias(f"{c}_{name}") for c in ("d1", "d2", "node", "root", "n", *_SKETCHES)])
+        C.drop(there)
         for k in range(ROUNDS + 1):
             rooted = _roots(sets, "node", linked, "root")
             several = rooted.groupBy("key").agg(F.min("root").alias("r"), F.max("root").alias("s"), F.max(F.struct(F.xxhash64("key", "node", F.lit(k)), "node")).alias("drawn")).where("r <> s")
-            open_ = rooted.join(several.select("key", F.col("drawn.node").alias("drawn")), "key")
+            open_ = C.stash(rooted.join(several.select("key", F.col("drawn.node").alias("drawn")), "key"), "open")
+            C.drop(sets)
+            sets = open_.drop("root", "drawn")  # the keys still open are all that a later round reads
+            sets.stashed_at = open_.stashed_at
+            if open_.isEmpty():
+                break
             if k < ROUNDS:
                 cross = side(open_, "x").join(side(open_.where("node = drawn"), "y"), "key").where("root_x <> root_y").where(search.close()).select(columns).distinct()
             else:
@@ -468,8 +479,11 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             if not cross.isEmpty():
                 linked = _joined(linked, search.links(cross, texts))
             C.drop(cross)
+            rooted = several = open_ = None
+            C.release(docs.sparkSession)
         C.drop(sets, texts)
-    C.drop(there)
+    else:
+        C.drop(there)
     least = linked.join(nodes.select("node", "least"), "node").groupBy("root").agg(F.min("least").alias("component"))
     named = linked.join(least, "root").select("node", "component")
     of = nodes.select("d1", "d2", "least", "node").join(named, "node", "left").select("d1", "d2", F.coalesce("component", "least").alias("component"))
