@@ -455,24 +455,26 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     C.release(docs.sparkSession)
     if not there.isEmpty():
         columns = ["node_x", "node_y", "d1_x", "d2_x", "d1_y", "d2_y"]
-        sets = C.stash(there.join(nodes.select("d1", "d2", "node", "n", *_SKETCHES), "d1"), "sets")
-        texts = C.stash(search.texts(sets.select("d1")), "texts")
+        sets = C.stash(there.join(nodes.select("d1", "node"), "d1").select("key", "node"), "sets")
+        texts = C.stash(search.texts(there.select("d1")), "texts")
         side = lambda df, name: df.select("key", *[F.col(c).alias(f"{c}_{name}") for c in ("d1", "d2", "node", "root", "n", *_SKETCHES)])
         C.drop(there)
         for k in range(ROUNDS + 1):
             rooted = _roots(sets, "node", linked, "root")
-            several = rooted.groupBy("key").agg(F.min("root").alias("r"), F.max("root").alias("s"), F.max(F.struct(F.xxhash64("key", "node", F.lit(k)), "node")).alias("drawn")).where("r <> s")
-            open_ = C.stash(rooted.join(several.select("key", F.col("drawn.node").alias("drawn")), "key"), "open")
+            several = rooted.groupBy("key").agg(F.min("root").alias("r"), F.max("root").alias("s"), F.max(F.struct(F.xxhash64("key", "node", F.lit(k)), "node", "root")).alias("drawn")).where("r <> s")
+            open_ = C.stash(rooted.join(several.select("key", F.col("drawn.node").alias("drawn"), F.col("drawn.root").alias("of")), "key"), "open")
             C.drop(sets)
-            sets = open_.drop("root", "drawn")  # the keys still open are all that a later round reads
+            sets = open_.select("key", "node")  # the keys still open are all that a later round reads
             sets.stashed_at = open_.stashed_at
             if open_.isEmpty():
                 break
-            if k < ROUNDS:
-                cross = side(open_, "x").join(side(open_.where("node = drawn"), "y"), "key").where("root_x <> root_y").where(search.close()).select(columns).distinct()
+            if k < ROUNDS:  # every set against the one drawn for its key; sizes and sketches come to pairs, not to sets
+                drawn = open_.where("root <> of").select(F.col("node").alias("node_x"), F.col("drawn").alias("node_y")).distinct()
+                cross = drawn.join(search.side("x"), "node_x").join(search.side("y"), "node_y").where(search.close()).select(columns)
             else:
+                wide = open_.join(nodes.select("d1", "d2", "node", "n", *_SKETCHES), "node")
                 keys = open_.groupBy("node").agg(F.array_sort(F.collect_list("key")).alias("keys"))
-                x, y = (side(open_, name).join(keys.toDF(f"node_{name}", f"keys_{name}"), f"node_{name}") for name in ("x", "y"))
+                x, y = (side(wide, name).join(keys.toDF(f"node_{name}", f"keys_{name}"), f"node_{name}") for name in ("x", "y"))
                 first = F.array_min(F.array_intersect("keys_x", "keys_y")) == x["key"]
                 cross = x.join(y, x["key"] == y["key"]).where("node_x > node_y AND root_x <> root_y").where(search.close()).where(first).select(columns)
             cross = C.stash(search.closer(cross), "cross")
