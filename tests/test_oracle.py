@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from corpusloom.plans import catalog, extra, more, search  # noqa: F401
+from corpusloom.plans import catalog, extra, markup, more, search  # noqa: F401
 from corpusloom.session import TABLES
 
 DIR = "/root/testdata/sf0.001"
