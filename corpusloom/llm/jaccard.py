@@ -17,8 +17,9 @@ not tell apart): a shingle that two sets do not share turns one place, so sketch
 shingles, and pairs whose sketches differ too much are no links. The rest is verified on the words themselves. A set is first compared with the leader that it
 meets most often, then with its leaders of other components. Keys whose sets are still in several components get ROUNDS more
 leaders, drawn by a hash of key and set, with which their sets of other components are compared; so a dense group whose sets link to
-some of each other soon is one component, at one row for each key and set. What is left is compared across components, each pair at
-its least common key, behind the same sketch test. So no link between different components is missed.
+some of each other soon is one component, at one row for each key and set. What is left is compared across components behind
+the same sketch test, and pairs that pass it once, however many keys they share. Keys of two sets, which have met, and keys that have
+the sets of another take no part in this. So no link between different components is missed.
 
 Exactness: sizes and verified links come from words that are numbered by hash and compared byte by byte. Hashes of shingles only
 make candidates: equal shingles have equal hashes, so linked sets differ in no more hashes than shingles. Equal sequences of words
@@ -368,6 +369,9 @@ class _Search:
     def side(self, name: str) -> DataFrame:
         return self.nodes.select(*[F.col(c).alias(f"{c}_{name}") for c in ("d1", "d2", "node", "n", *_SKETCHES)])
 
+    def names(self, name: str) -> DataFrame:
+        return self.nodes.select(*[F.col(c).alias(f"{c}_{name}") for c in ("d1", "d2", "node")])
+
     def close(self):
         """Whether sizes and sketches of x and y leave room for a link; false only for pairs that are none."""
         t, x, y = self.t, F.col("n_x"), F.col("n_y")
@@ -409,6 +413,13 @@ def _roots(df: DataFrame, column: str, of: DataFrame, name: str) -> DataFrame:
     return df.join(of.select(F.col("node").alias(column), F.col("root").alias(name)), column, "left").withColumn(name, F.coalesce(name, column))
 
 
+def _undecided(there: DataFrame) -> DataFrame:
+    """The keys (of key, d1) that still have pairs to compare: those of two sets have none, as one of them led the other, and
+    of keys with the same sets, told by 128 bits of hashes beside their number and ends, the least stands for all."""
+    told = [F.count(F.lit(1)).alias("sets"), F.min("d1").alias("a"), F.max("d1").alias("b"), F.bit_xor(F.xxhash64("d1")).alias("h"), F.bit_xor(F.xxhash64("d1", F.lit(1))).alias("g")]
+    return there.groupBy("key").agg(*told).where("sets > 2").groupBy("sets", "a", "b", "h", "g").agg(F.min("key").alias("key")).select("key")
+
+
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, num: int = 90, den: int = 100, hash_bits: int = 64) -> DataFrame:
     """One row for each row of docs: doc_id, n_shingles, component_id (the least id reachable by links). `hash_bits` cuts
     hashes, so that tests can force collisions."""
@@ -453,11 +464,13 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     C.drop(met)
     named = split = met = None
     C.release(docs.sparkSession)
+    kept = C.stash(there.join(_undecided(there), "key", "left_semi"), "there")
+    C.drop(there)
+    there = kept
     if not there.isEmpty():
         columns = ["node_x", "node_y", "d1_x", "d2_x", "d1_y", "d2_y"]
         sets = C.stash(there.join(nodes.select("d1", "node"), "d1").select("key", "node"), "sets")
         texts = C.stash(search.texts(there.select("d1")), "texts")
-        side = lambda df, name: df.select("key", *[F.col(c).alias(f"{c}_{name}") for c in ("d1", "d2", "node", "root", "n", *_SKETCHES)])
         C.drop(there)
         for k in range(ROUNDS + 1):
             rooted = _roots(sets, "node", linked, "root")
@@ -472,11 +485,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                 drawn = open_.where("root <> of").select(F.col("node").alias("node_x"), F.col("drawn").alias("node_y")).distinct()
                 cross = drawn.join(search.side("x"), "node_x").join(search.side("y"), "node_y").where(search.close()).select(columns)
             else:
-                wide = open_.join(nodes.select("d1", "d2", "node", "n", *_SKETCHES), "node")
-                keys = open_.groupBy("node").agg(F.array_sort(F.collect_list("key")).alias("keys"))
-                x, y = (side(wide, name).join(keys.toDF(f"node_{name}", f"keys_{name}"), f"node_{name}") for name in ("x", "y"))
-                first = F.array_min(F.array_intersect("keys_x", "keys_y")) == x["key"]
-                cross = x.join(y, x["key"] == y["key"]).where("node_x > node_y AND root_x <> root_y").where(search.close()).where(first).select(columns)
+                wide = open_.select("key", "node", "root").join(nodes.select("node", "n", *_SKETCHES), "node")
+                side = lambda name: wide.toDF(*[c if c == "key" else f"{c}_{name}" for c in wide.columns])
+                met = side("x").join(side("y"), "key").where("node_x > node_y AND root_x <> root_y").where(search.close()).select("node_x", "node_y").distinct()
+                cross = met.join(search.names("x"), "node_x").join(search.names("y"), "node_y").select(columns)
             cross = C.stash(search.closer(cross), "cross")
             if not cross.isEmpty():
                 linked = _joined(linked, search.links(cross, texts))

@@ -544,3 +544,24 @@ def test_host_boilerplate_across_shards(spark, monkeypatch):
     pages += [(50, "https://h.example/50", f"<body><div>{own(50)} {own(50)}</div></body>"), (51, "https://other.example/", f"<body><div>{line(1)}</div></body>")]
     got = {r.page_id: r.text for r in html_text.main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
     assert got == {**{k: own(k) for k in range(40)}, 50: f"{own(50)} {own(50)}", 51: line(1)}
+
+
+def test_jaccard_compares_each_group_of_sets_once(spark, monkeypatch):
+    """Texts that share a passage and are no links: keys of two sets, and keys with the same sets, are not compared again."""
+    r = random.Random(31)
+    own = lambda n: [f"o{r.randrange(10**6)}" for _ in range(n)]
+    shared, pairs = own(60), [own(60) for _ in range(12)]
+    rows = [" ".join([*shared, *own(60)]) for _ in range(8)] + [" ".join([*p, *own(60)]) for p in pairs for _ in range(2)]
+    rows += [" ".join([*shared, *"a b c d e f g h".split(), *(f"n{k}" for k in range(52)), f"z{k}"]) for k in range(3)]
+    written, stash = {}, common.stash
+    monkeypatch.setattr(common, "stash", lambda df, tag: written.setdefault(tag, []).append(stash(df, tag)) or written[tag][-1])
+    monkeypatch.setattr(common, "drop", lambda *_: None)
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in jaccard.jaccard_components(frame(spark, rows), words=5, num=80, den=100).collect()}
+    assert got == components_by_hand(rows, 5, 80, 100) and got[len(rows) - 1][1] == len(rows) - 3
+    for opened in written["open"]:
+        groups = collections.defaultdict(set)
+        for x in opened.collect():
+            groups[x.key].add(x.node)
+        assert all(len(g) > 2 for g in groups.values()) and len({frozenset(g) for g in groups.values()}) == len(groups)
+        assert not any("keys" in c for c in opened.columns)
+    assert written["open"][0].count()
