@@ -1,12 +1,13 @@
 """A vector index on disk: inverted lists as partitions, one-byte residual codes, exact re-ranking, upsert and delete.
 
 A vector's list is its nearest centroid; the table is partitioned by list, so a search reads the folders of the lists it probes and no others. It reads the codes
-first (a byte for each dimension: the unit vector less its centroid, in 255 steps), keeps RERANK * k candidates of each question, and then fetches only
-their vectors for the exact cosine. Questions are few and come from the driver in blocks of QUESTIONS; rows are scored where they are read, in batches,
-so no list is ever gathered in one task. Changes rewrite the lists they touch.
+first (a byte for each dimension: the unit vector less its centroid, in 255 steps) and how far each vector lies from its code. That bounds every score from both sides, so
+of each question's rows all stay whose upper bound reaches the k-th best lower bound, and only their vectors are fetched for the exact cosine: the answer is the exact one among
+the lists probed, however close the scores are. Questions are few and come from the driver in blocks of QUESTIONS; rows are scored where they are read, in batches, so no list
+is ever gathered in one task. Changes rewrite the lists they touch.
 
 Defined cases: null or zero vectors and those of another length are left out; ids are unique within the index (the last of a batch of changes wins: the greatest vector); unknown ids
-are deleted without effect; an index without rows answers with no rows; equal scores go by id.
+are deleted without effect; an index without rows answers with no rows; scores equal to DIGITS places go by id.
 """
 
 from __future__ import annotations
@@ -21,7 +22,9 @@ from pyspark.sql import functions as F
 
 from ..sources.scratch import written
 
-LIST, LISTS, SAMPLE, RERANK, QUESTIONS = 1000, 4096, 64, 8, 1024
+LIST, LISTS, SAMPLE, QUESTIONS, DIGITS = 1000, 4096, 64, 1024, 9
+#: What single precision and rounding to DIGITS places can add to a bound.
+SLACK = 1e-5
 
 
 def _unit(rows: np.ndarray) -> np.ndarray:
@@ -79,7 +82,7 @@ class VectorIndex:
         return self.centroids.shape[1]
 
     def rows(self) -> DataFrame:
-        """All stored rows: id, vector, kept columns, code, list."""
+        """All stored rows: id, vector, kept columns, code, off (distance of the unit vector from its code), list."""
         return self.spark.read.parquet(f"{self.path}/lists")
 
     def count(self) -> int:
@@ -93,10 +96,12 @@ class VectorIndex:
                 x = _unit(_matrix(b[vector], width))
                 near = (x @ c.T).argmax(axis=1) if len(x) else np.zeros(0, np.int64)
                 codes = np.clip(np.rint((x - c[near]) / step), -127, 127).astype(np.int8)
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array([r.tobytes() for r in codes], pa.binary()), pa.array(near.astype(np.int32))], names=[*b.schema.names, "code", "list"])
+                left = x - c[near] - codes * step
+                off = np.sqrt((left * left).sum(axis=1))
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array([r.tobytes() for r in codes], pa.binary()), pa.array(off, pa.float64()), pa.array(near.astype(np.int32))], names=[*b.schema.names, "code", "off", "list"])
 
         fit = self._sound(rows, vector).where(F.size(vector) == width)
-        return fit.mapInArrow(code, f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in fit.schema)}, code binary, list int")
+        return fit.mapInArrow(code, f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in fit.schema)}, code binary, off double, list int")
 
     def probed(self, questions: np.ndarray, probes: int) -> np.ndarray:
         """The nearest lists of each question."""
@@ -117,25 +122,29 @@ class VectorIndex:
 
     def _block(self, questions: np.ndarray, first: int, k: int, probes: int, where: Column | None, id_type: str) -> DataFrame:
         q, lists, c, step, ident, vector, width = _unit(questions), self.probed(questions, probes), self.centroids, self.step, self.ident, self.vector, self.width
-        base, most = q @ c.T, RERANK * k
+        base = q @ c.T
         asks = {int(x): np.flatnonzero((lists == x).any(axis=1)) for x in np.unique(lists)}
 
         def rough(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """Bounds of the scores; of a batch's rows those that k others of it do not surely beat."""
             for b in batches:
-                of, code = b["list"].to_numpy(), np.frombuffer(b"".join(b["code"].to_pylist()), np.int8).reshape(-1, width)
-                found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+                of, code, off = b["list"].to_numpy(), np.frombuffer(b"".join(b["code"].to_pylist()), np.int8).reshape(-1, width), b["off"].to_numpy()
+                found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0))]
                 for x in np.unique(of):
                     at, who = np.flatnonzero(of == x), asks[int(x)]
-                    score = (code[at].astype(np.float32) @ q[who].T.astype(np.float32)).T * step + base[who, x][:, None]
-                    top = np.argsort(-score, axis=1, kind="stable")[:, :most]
-                    found.append((np.repeat(who, top.shape[1]), at[top.ravel()], score[np.arange(len(who))[:, None], top].ravel()))
-                who, at, score = (np.concatenate(x) for x in zip(*found, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(who.astype(np.int32)), b[ident].take(pa.array(at)), pa.array(of[at].astype(np.int32)), pa.array(score.astype(np.float64))], names=["question", "id", "list", "score"])
+                    score = (code[at].astype(np.float32) @ q[who].T.astype(np.float32)).T.astype(np.float64) * step + base[who, x][:, None]
+                    low, high = score - off[at] - SLACK, score + off[at] + SLACK
+                    least = np.partition(low, -k, axis=1)[:, -k] if len(at) > k else np.full(len(who), -np.inf)
+                    mine, row = np.nonzero(high >= least[:, None])
+                    found.append((who[mine], at[row], low[mine, row], high[mine, row]))
+                who, at, low, high = (np.concatenate(x) for x in zip(*found, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(who.astype(np.int32)), b[ident].take(pa.array(at)), pa.array(of[at].astype(np.int32)), pa.array(low), pa.array(high)], names=["question", "id", "list", "low", "high"])
 
         pool = self.read(list(asks), where)
-        guess = pool.select(ident, "code", "list").mapInArrow(rough, f"question int, id {id_type}, list int, score double")
-        near = guess.withColumn("n", F.row_number().over(Window.partitionBy("question").orderBy(F.desc("score"), "id"))).where(F.col("n") <= most)
-        held = F.broadcast(near.select("question", F.col("id").alias(ident), "list"))  # at most QUESTIONS * RERANK * k rows
+        guess = written(pool.select(ident, "code", "off", "list").mapInArrow(rough, f"question int, id {id_type}, list int, low double, high double"), "bounds")
+        best = guess.withColumn("n", F.row_number().over(Window.partitionBy("question").orderBy(F.desc("low")))).where(F.col("n") <= k)
+        floor = best.where(F.col("n") == k).select("question", F.col("low").alias("floor"))  # at most QUESTIONS rows; none of questions with fewer rows
+        held = guess.join(F.broadcast(floor), "question", "left").where("floor IS NULL OR high >= floor").select("question", F.col("id").alias(ident), "list")
         full = pool.select(ident, "list", vector).join(held, ["list", ident]).select("question", ident, vector)
 
         def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,7 +154,7 @@ class VectorIndex:
                 yield pa.RecordBatch.from_arrays([pa.array(who + np.int32(first)), b[ident], pa.array(score)], names=["question", ident, "similarity"])
 
         scored = full.mapInArrow(exact, f"question int, `{ident}` {id_type}, similarity double")
-        rank = F.row_number().over(Window.partitionBy("question").orderBy(F.desc(F.round("similarity", 12)), ident))
+        rank = F.row_number().over(Window.partitionBy("question").orderBy(F.desc(F.round("similarity", DIGITS)), ident))
         return scored.withColumn("rank", rank).where(F.col("rank") <= k).select("question", "rank", ident, "similarity")
 
     def _rewrite(self, gone: DataFrame, new: DataFrame | None) -> None:

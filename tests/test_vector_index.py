@@ -77,3 +77,16 @@ def test_odd_rows(spark, tmp_path):
     assert index.count() == 4
     index.delete(index.rows().select("vec_id"))
     assert index.spark.read.schema("vec_id int, embedding array<double>, code binary, list int").parquet(f"{index.path}/lists").count() == 0
+
+
+def test_scores_closer_than_codes_tell(spark, tmp_path):
+    """Hundreds of vectors nearer to each other than the codes are exact, copies among them: still the exact nearest, ties by id."""
+    r = np.random.default_rng(9)
+    base, far = r.normal(size=(3, 16)), r.normal(size=(500, 16))
+    x = np.concatenate([np.repeat(base[:1], 600, 0) + r.normal(size=(600, 16)) * 1e-4, np.repeat(base[1:2], 300, 0), far])
+    rows = spark.createDataFrame([(len(x) - i, [float(v) for v in row]) for i, row in enumerate(x)], "vec_id long, embedding array<double>")
+    index = VectorIndex.build(rows, str(tmp_path / "ix"), "vec_id", "embedding", lists=4)
+    got = sorted((t.question, t["rank"], t.vec_id) for t in index.search(base.tolist(), 10, probes=4).collect())
+    unit = lambda m: m / np.linalg.norm(m, axis=1, keepdims=True)
+    score, ids = np.round(unit(base) @ unit(x).T, 9), len(x) - np.arange(len(x))
+    assert got == [(i, k + 1, int(ids[j])) for i in range(3) for k, j in enumerate(np.lexsort((ids, -score[i]))[:10])]
