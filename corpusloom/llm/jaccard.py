@@ -17,9 +17,11 @@ not tell apart): a shingle that two sets do not share turns one place, so sketch
 shingles, and pairs whose sketches differ too much are no links. The rest is verified on the words themselves. A set is first compared with the leader that it
 meets most often, then with its leaders of other components. Keys whose sets are still in several components get ROUNDS more
 leaders, drawn by a hash of key and set, with which their sets of other components are compared; so a dense group whose sets link to
-some of each other soon is one component, at one row for each key and set. What is left is compared across components behind
-the same sketch test, and pairs that pass it once, however many keys they share. Keys of two sets, which have met, and keys that have
-the sets of another take no part in this. So no link between different components is missed.
+some of each other soon is one component, at one row for each key and set; a round without a link is the last. Keys of two sets, which
+have met, and keys that have the sets of another take no part in this. The sets that are left share a passage more often than they link,
+so they are not paired by key: each sends its rarest shingles, one more than a linked set may lack (a prefix in one order for
+all sets), and those that share one where room for a link is left are compared across components, each pair once. The order comes from
+counts in PLACES hashed places; it decides how many sets meet, not which links are found. So no link between different components is missed.
 
 Exactness: sizes and verified links come from words that are numbered by hash and compared byte by byte. Hashes of shingles only
 make candidates: equal shingles have equal hashes, so linked sets differ in no more hashes than shingles. Equal sequences of words
@@ -41,7 +43,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common as C
@@ -51,8 +53,10 @@ from .filters import MASK_BITS, mask_of
 #: Cost model: what the verification of a chance candidate costs in rows, and how often two sets share a given shingle by chance.
 CANDIDATE_COST, CHANCE = 2000.0, 1e-4
 SKETCH, WIDE = 256, 2048
-#: Leaders drawn for keys in several components before all of their sets are compared.
+#: Leaders drawn for keys in several components before what is left meets by its rarest shingles.
 ROUNDS = 3
+#: Places in which shingles are counted, to be ordered, and the stretches of them that are summed apart.
+PLACES, STRETCHES = 1 << 20, 16
 #: Keys that a batch holds before it sends them, and that a range of keys shall have.
 BATCH_KEYS, RANGE_KEYS = 1 << 19, 1 << 20
 _SKETCHES = [f"s{i}" for i in range(SKETCH // 64)]
@@ -347,6 +351,68 @@ def compare(left: list[bytes], right: list[bytes], words: int, bits: int = 64) -
     return common, np.bincount(pair, minlength=len(left)) - common
 
 
+def _unpacked(bodies: pa.Array, words: int, bits: int, most: int = 1 << 19) -> Iterator[tuple[int, int, Shingles]]:
+    """Sets of packed texts i to j, about `most` bytes at a time."""
+    lens = np.array([int.from_bytes(b.as_py()[:4], "little") for b in bodies], np.int64)
+    for i, j in C.slices(np.concatenate(([0], np.cumsum(lens))), most):
+        raw = np.frombuffer(b"".join(_unpack(bodies.slice(i, j - i).to_pylist())), np.uint8)
+        yield i, j, Shingles(raw, np.concatenate(([0], np.cumsum(lens[i:j]))), words, bits)
+
+
+def _places(hashes: np.ndarray) -> np.ndarray:
+    return (C.mix(hashes ^ np.uint64(0xC0FFEE)) % np.uint64(PLACES)).astype(np.int64)
+
+
+def _count(words: int, bits: int):
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Shingles of a task's texts in each place, by stretches."""
+        own = np.zeros(PLACES, "<i8")
+        for batch in batches:
+            for _, _, sets in _unpacked(batch["body"], words, bits):
+                np.add.at(own, _places(sets.hashes), 1)
+        for s, part in enumerate(np.split(own, STRETCHES)):
+            if part.any():
+                yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([pa.compress(part.tobytes(), "zstd", asbytes=True)], pa.binary())], names=["stretch", "counts"])
+
+    return count
+
+
+def _sum(rows: pa.Table) -> pa.Table:
+    total = np.zeros(PLACES // STRETCHES, "<i8")
+    for b in rows["counts"]:
+        total += np.frombuffer(pa.decompress(b.as_py(), total.nbytes, "zstd", asbytes=True), "<i8")
+    return pa.table({"stretch": rows["stretch"].slice(0, 1), "counts": pa.array([_levels(total).tobytes()], pa.binary())})
+
+
+def _levels(counts: np.ndarray) -> np.ndarray:
+    """Counts in eighths of a doubling, a byte each."""
+    return np.minimum(255, 8 * np.log2(1 + counts)).astype(np.uint8)
+
+
+def prefix(sets: Shingles, levels: np.ndarray, t: Threshold) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(set, shingle, rank) of the rarest shingles of each set, as many as linked sets must share one of."""
+    of = np.repeat(np.arange(len(sets.n)), np.diff(sets.cut))
+    order = np.lexsort((sets.hashes, levels[_places(sets.hashes)], of))
+    h, n = sets.hashes[order], np.diff(sets.cut)[of]
+    rank = np.arange(len(h)) - sets.cut[of]
+    fresh = np.ones(len(h), bool)  # shingles with one hash count as often as they are, and meet by the first
+    fresh[1:] = (h[1:] != h[:-1]) | (of[1:] != of[:-1])
+    use = np.flatnonzero(fresh & (rank <= n + (-t.num * n // t.den)))
+    return of[use], h[use], rank[use]
+
+
+def _prefixes(words: int, t: Threshold, bits: int, shared):
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        levels = np.frombuffer(shared.value, np.uint8)
+        for batch in batches:
+            for i, _, sets in _unpacked(batch["body"], words, bits):
+                of, h, rank = prefix(sets, levels, t)
+                at = pa.array(of + i)
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), batch["node"].take(at), batch["root"].take(at), pa.array(sets.n[of].astype(np.int32)), pa.array(rank.astype(np.int32))], names=["shingle", "node", "root", "n", "rank"])
+
+    return prefixes
+
+
 def _verify(words: int, t: Threshold, bits: int, most: int = 1 << 19):
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -369,9 +435,6 @@ class _Search:
     def side(self, name: str) -> DataFrame:
         return self.nodes.select(*[F.col(c).alias(f"{c}_{name}") for c in ("d1", "d2", "node", "n", *_SKETCHES)])
 
-    def names(self, name: str) -> DataFrame:
-        return self.nodes.select(*[F.col(c).alias(f"{c}_{name}") for c in ("d1", "d2", "node")])
-
     def close(self):
         """Whether sizes and sketches of x and y leave room for a link; false only for pairs that are none."""
         t, x, y = self.t, F.col("n_x"), F.col("n_y")
@@ -400,6 +463,24 @@ class _Search:
         both = slim.join(named("x"), ["d1_x", "d2_x"]).join(named("y"), ["d1_y", "d2_y"])
         return C.stash(both.select("x", "y", "bx", "by").mapInArrow(_verify(self.words, self.t, self.bits), "a bigint, b bigint"), "links")
 
+    def rest(self, ends: DataFrame, texts: DataFrame) -> DataFrame:
+        """Pairs (node_x, node_y) of different components that share one of their rarest shingles and may link: of the nodes `ends`
+        (node, root) all that link are among them."""
+        t = self.t
+        summed = texts.mapInArrow(_count(self.words, self.bits), "stretch int, counts binary").groupBy("stretch").applyInArrow(_sum, "stretch int, counts binary").collect()  # a byte a place
+        levels = {r["stretch"]: bytes(r["counts"]) for r in summed}
+        shared = self.slim.sparkSession.sparkContext.broadcast(b"".join(levels.get(s, bytes(PLACES // STRETCHES)) for s in range(STRETCHES)))
+        bodies = texts.join(ends.join(self.nodes.select("d1", "d2", "node"), "node"), ["d1", "d2"]).select("node", "root", "body")
+        tokens = bodies.mapInArrow(_prefixes(self.words, t, self.bits, shared), "shingle bigint, node bigint, root bigint, n int, rank int")
+        same = Window.partitionBy("shingle")
+        tokens = C.stash(tokens.withColumn("r", F.min("root").over(same)).withColumn("s", F.max("root").over(same)).where("r <> s").drop("r", "s"), "rarest")
+        side = lambda name: tokens.toDF(*[c if c == "shingle" else f"{c}_{name}" for c in tokens.columns])
+        x, y = F.col("n_x").cast("bigint"), F.col("n_y").cast("bigint")
+        room = (F.least(x, y) * t.den >= F.greatest(x, y) * t.num) & (F.least(x - F.col("rank_x"), y - F.col("rank_y")) * (t.den + t.num) >= (x + y) * t.num)
+        pairs = C.stash(side("x").join(side("y"), "shingle").where("node_x > node_y AND root_x <> root_y").where(room).select("node_x", "node_y").distinct(), "rest")
+        C.drop(tokens)
+        return pairs
+
 
 def _joined(linked: DataFrame, more: DataFrame) -> DataFrame:
     """Components with further links."""
@@ -472,6 +553,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         sets = C.stash(there.join(nodes.select("d1", "node"), "d1").select("key", "node"), "sets")
         texts = C.stash(search.texts(there.select("d1")), "texts")
         C.drop(there)
+        last = ROUNDS
         for k in range(ROUNDS + 1):
             rooted = _roots(sets, "node", linked, "root")
             several = rooted.groupBy("key").agg(F.min("root").alias("r"), F.max("root").alias("s"), F.max(F.struct(F.xxhash64("key", "node", F.lit(k)), "node", "root")).alias("drawn")).where("r <> s")
@@ -481,18 +563,20 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             sets.stashed_at = open_.stashed_at
             if open_.isEmpty():
                 break
-            if k < ROUNDS:  # every set against the one drawn for its key; sizes and sketches come to pairs, not to sets
+            if k < last:  # every set against the one drawn for its key; sizes and sketches come to pairs, not to sets
                 drawn = open_.where("root <> of").select(F.col("node").alias("node_x"), F.col("drawn").alias("node_y")).distinct()
-                cross = drawn.join(search.side("x"), "node_x").join(search.side("y"), "node_y").where(search.close()).select(columns)
             else:
-                wide = open_.select("key", "node", "root").join(nodes.select("node", "n", *_SKETCHES), "node")
-                side = lambda name: wide.toDF(*[c if c == "key" else f"{c}_{name}" for c in wide.columns])
-                met = side("x").join(side("y"), "key").where("node_x > node_y AND root_x <> root_y").where(search.close()).select("node_x", "node_y").distinct()
-                cross = met.join(search.names("x"), "node_x").join(search.names("y"), "node_y").select(columns)
+                drawn = rare = search.rest(open_.select("node", "root").distinct(), texts)
+            cross = drawn.join(search.side("x"), "node_x").join(search.side("y"), "node_y").where(search.close()).select(columns)
             cross = C.stash(search.closer(cross), "cross")
+            before = linked
             if not cross.isEmpty():
                 linked = _joined(linked, search.links(cross, texts))
             C.drop(cross)
+            if k == last:
+                C.drop(rare)
+                break
+            last = k + 1 if linked is before else last
             rooted = several = open_ = None
             C.release(docs.sparkSession)
         C.drop(sets, texts)

@@ -565,3 +565,23 @@ def test_jaccard_compares_each_group_of_sets_once(spark, monkeypatch):
         assert all(len(g) > 2 for g in groups.values()) and len({frozenset(g) for g in groups.values()}) == len(groups)
         assert not any("keys" in c for c in opened.columns)
     assert written["open"][0].count()
+
+
+def test_jaccard_pairs_no_key_with_itself(spark, monkeypatch):
+    """Texts that share a passage and are no links meet by their rarest shingles, not in pairs behind each key; texts that link only
+    to each other behind the same passage are found."""
+    r = random.Random(41)
+    own = lambda n: [f"o{r.randrange(10**6)}" for _ in range(n)]
+    shared = own(90)
+    rows = [" ".join([*shared, *own(60)]) for _ in range(60)]
+    for _ in range(20):
+        base = [*shared, *own(60)]
+        rows += [" ".join([*base[:-8], *own(8)]) for _ in range(2)]
+    made, stash = {}, common.stash
+    monkeypatch.setattr(common, "stash", lambda df, tag: made.setdefault(tag, []).append(stash(df, tag)) or made[tag][-1])
+    monkeypatch.setattr(common, "drop", lambda *_: None)
+    monkeypatch.setattr(jaccard, "ROUNDS", 0)
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in jaccard.jaccard_components(frame(spark, rows), words=5, num=80, den=100).collect()}
+    assert got == components_by_hand(rows, 5, 80, 100) and len({c for _, c in got.values()}) == 80
+    hot = {x.key: x["count"] for x in made["open"][0].groupBy("key").count().collect()}
+    assert max(hot.values()) > 40 and made["rest"][0].count() <= len(rows)
